@@ -25,10 +25,11 @@ SAMPLE, BUCKETS, DIMENSIONS, NGRAMS, PASSAGE_WORDS = 2048, 1 << 18, 8, (3, 4, 5)
 LEAST_BAG = 256
 ROUNDS, EPOCHS, RATE, BATCH, SEED = 4, 4, 0.5, 128, 11
 
-#: Bytes of words: letters, digits, bytes of other scripts and the at sign.
-_WORD = np.zeros(256, dtype=bool)
-_WORD[128:] = True
-_WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("@")]] = True
+#: Bytes of words (letters, digits, bytes of other scripts and the at sign) stand for themselves, others for a space.
+_PLAIN = np.full(256, 32, dtype=np.uint32)
+_IN_WORDS = [*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("@"), *range(128, 256)]
+_PLAIN[_IN_WORDS] = _IN_WORDS
+_MIX, _LAST, _SHIFT, _TOP = np.uint32(0x01000193), np.uint32(0x9E3779B1), np.uint32(15), np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
 def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -37,34 +38,29 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     N-grams lie in one word each and may take in the space on either side. Passages are nearly equal numbers of
     words; each bucket counts once in a passage.
     """
-    raw = np.frombuffer(b" " + text.lower().encode() + b" ", dtype=np.uint8)
-    word = _WORD[raw]
-    begins = word & ~np.concatenate([[False], word[:-1]])
-    words = int(begins.sum())
+    byte = _PLAIN[np.frombuffer(b" " + text.lower().encode() + b" ", dtype=np.uint8)]
+    word = byte != 32
+    begins = word[1:] & ~word[:-1]
+    words = int(np.count_nonzero(begins))
     if not words:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 1
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), 1
     passages = max(1, round(words / PASSAGE_WORDS))
-    # the word that each byte is in or comes before
-    nth = np.cumsum(begins)
-    byte = np.where(word, raw, 32).astype(np.uint64)
-    ids, at = [], []
-    for n in NGRAMS:
-        last = len(raw) - n + 1
+    # the passage of the word that each byte, but for the first, is in or comes after
+    place = (np.cumsum(begins) - 1) * passages // words
+    place = place.astype(np.int32 if passages * BUCKETS < 1 << 31 else np.int64) * BUCKETS
+    code, inner, found = byte[:-1] * _MIX + byte[1:], word[1:-1], []
+    for n in range(3, max(NGRAMS) + 1):
+        last = len(byte) - n + 1
         if last <= 0:
-            continue
-        ok = word[1 : 1 + last].copy()
-        for k in range(2, n - 1):
-            ok &= word[k : k + last]
-        ok &= word[:last] | word[n - 1 : n - 1 + last]
-        where = np.flatnonzero(ok)
-        code = np.full(len(where), n, dtype=np.uint64)
-        for k in range(n):
-            code = code * np.uint64(0x100000001B3) ^ byte[where + k]
-        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        ids.append((code >> np.uint64(40)).astype(np.int64) % BUCKETS)
-        at.append(nth[where + 1])
-    inside = np.maximum(np.concatenate(at) - 1, 0) * passages // words
-    both = np.sort(inside * BUCKETS + np.concatenate(ids))
+            break
+        code = (code[:last] ^ (code[:last] >> _SHIFT)) * _MIX + byte[n - 1 :]
+        if n > 3:
+            inner = inner[:last] & word[n - 2 : n - 2 + last]
+        if n in NGRAMS:
+            # an n-gram's second byte is in a word always
+            bucket = ((code * _LAST) >> _TOP).astype(place.dtype)
+            found.append((bucket + place[:last])[inner])
+    both = np.sort(np.concatenate(found))
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both % BUCKETS, both // BUCKETS, passages
 
