@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, packing, quality, simhash, toxicity, vectors, warc
+from . import chat, decontamination, html, lm, packing, quality, simhash, toxicity, vectors, warc
 from .common import crc_mod
 
 
@@ -43,6 +43,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_summary(warc.archive_round_trip(_table(spark, sf_dir, "pages")))
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_warc": op7_warc,
+    "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
 }

@@ -9,12 +9,11 @@ that score highest and others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sample import labelled_sample
@@ -23,7 +22,9 @@ from .sample import labelled_sample
 SAMPLE, BUCKETS, DIMENSIONS, NGRAMS, PASSAGE_WORDS = 2048, 1 << 18, 8, (3, 4, 5), 48
 #: A bag counts each n-gram once and is filled up with zero vectors to this size, so that a few words repeated stay as weak as they are.
 LEAST_BAG = 256
-ROUNDS, EPOCHS, RATE, BATCH, SEED = 4, 4, 0.5, 128, 11
+ROUNDS, EPOCHS, RATE, BATCH, SEED = 5, 3, 0.5, 128, 11
+#: An n-gram has a vector if it is in so many sampled texts; passages of a clean text that a round learns at most.
+LEAST_TEXTS, CLEAN_PASSAGES = 3, 8
 
 #: Bytes of words (letters, digits, bytes of other scripts and the at sign) stand for themselves, others for a space.
 _PLAIN = np.full(256, 32, dtype=np.uint32)
@@ -81,7 +82,7 @@ class Subwords:
         return float(1 / (1 + np.exp(-np.clip(self.passages(text).max(), -40, 40))))
 
 
-def _train(bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, state: dict) -> None:
+def _train(bags: list[tuple[np.ndarray, int]], y: np.ndarray, rng: np.random.Generator, state: dict) -> None:
     """Adagrad over mini-batches of bags; ``state`` holds vectors, softmax and their squared gradients."""
     vectors, squares, weights, wsquares = state["vectors"], state["squares"], state["weights"], state["wsquares"]
     balance = np.array([len(y) / 2 / max((y == c).sum(), 1) for c in (0, 1)])
@@ -89,9 +90,11 @@ def _train(bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, stat
         order = rng.permutation(len(bags))
         for s in range(0, len(order), BATCH):
             some = order[s : s + BATCH]
-            counts = np.array([len(bags[i]) for i in some])
-            sizes = np.maximum(counts, LEAST_BAG)
-            ids, back = np.unique(np.concatenate([bags[i] for i in some]), return_inverse=True)
+            some = some[[len(bags[i][0]) > 0 for i in some]]
+            if not len(some):
+                continue
+            counts, sizes = np.array([len(bags[i][0]) for i in some]), np.array([bags[i][1] for i in some])
+            ids, back = np.unique(np.concatenate([bags[i][0] for i in some]), return_inverse=True)
             of = np.repeat(np.arange(len(some)), counts)
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             hidden = np.add.reduceat(vectors[ids][back], starts, axis=0) / sizes[:, None]
@@ -122,10 +125,15 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Subwords:
         "weights": np.concatenate([rng.uniform(-0.5, 0.5, (DIMENSIONS, 2)), np.zeros((1, 2))]),
         "wsquares": np.zeros((DIMENSIONS + 1, 2)),
     }
-    parts = []
+    parts, texts_with = [], np.zeros(BUCKETS, dtype=np.int32)
     for text in texts:
         ids, at, n = subwords(text)
+        texts_with[np.unique(ids)] += 1
         parts.append([x.astype(np.int32) for x in np.split(ids, np.cumsum(np.bincount(at, minlength=n))[:-1])])
+    common = texts_with >= LEAST_TEXTS
+    state["vectors"][~common] = 0
+    # a bag's size counts all its n-grams
+    parts = [[(p[common[p]], max(len(p), LEAST_BAG)) for p in own if len(p)] for own in parts]
 
     def model() -> Subwords:
         difference = state["weights"][:, 1] - state["weights"][:, 0]
@@ -134,14 +142,14 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Subwords:
     for k in range(ROUNDS):
         bags, kinds, now = [], [], model()
         for own, label in zip(parts, y, strict=True):
-            own = [p for p in own if len(p)]
             if not own:
                 continue
-            if not k:  # whole texts first
-                chosen = [np.unique(np.concatenate(own))]
+            if not k and label:  # a whole toxic text first, as the passage isn't known yet
+                ids = np.unique(np.concatenate([p for p, _ in own]))
+                chosen = [(ids, max(len(ids), LEAST_BAG))]
             else:
-                ranked = sorted(own, key=lambda p: -float(now.table[p].sum() / max(len(p), LEAST_BAG)))
-                chosen = ranked[:1] if label else ranked[:2] + [ranked[i] for i in rng.integers(0, len(ranked), 2)]
+                ranked = sorted(own, key=lambda p: -float(now.table[p[0]].sum() / p[1])) if k else own
+                chosen = ranked[:1] if label else ranked[: CLEAN_PASSAGES // 2] + [ranked[i] for i in rng.integers(0, len(ranked), CLEAN_PASSAGES // 2)]
             bags += chosen
             kinds += [int(label)] * len(chosen)
         _train(bags, np.array(kinds), rng, state)
@@ -155,27 +163,29 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-def score(documents: DataFrame, model: Subwords, *extra: str) -> DataFrame:
-    """doc_id, ``extra`` and ``score`` of every whole text of ``documents``; the model's size is fixed."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds, keep = dict(documents.dtypes), ["doc_id", *extra]
+def score(spark: SparkSession, model: Subwords, text: Column) -> Column:
+    """Scores of whole texts; the model's size is fixed."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                scores = pa.array([shared.value.score(t.as_py() or "") for t in part.column("_text")], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], [*keep, "score"])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py() or "") for t in texts], pa.float64())
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
-    return documents.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return scores(text.cast("string"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = SAMPLE, *extra: str) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``documents`` (doc_id, text).
 
     Labels are learnt only from rows for which ``held_out`` (of doc_id) is false. A null or empty text has no passages
-    and gets the bias alone; repeated rows are each scored; without labels every score is 0.5.
+    and gets the bias alone; repeated rows are each scored; extra columns are ignored; without labels every score is 0.5.
     """
-    scored = score(documents, fit(documents, labels, ~held_out, per_class), *extra)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *extra)
+    model = fit(documents, labels, ~held_out, per_class)
+    scored = documents.select("doc_id", held_out.alias("held_out"), score(documents.sparkSession, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> DataFrame:
+    """``documents``, with all their columns, without those that score 0.5 or more."""
+    model = fit(documents, labels, learn, per_class)
+    return documents.where(score(documents.sparkSession, model, F.col("text")) < 0.5)
