@@ -35,6 +35,21 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+#: Rows of a key table that are broadcast at most (8 bytes each); beyond that Spark joins by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def row_key(documents: DataFrame) -> Column:
+    """A hash of a row's id and text: rows alike in both share it."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("\x00"), F.col("text").cast("string"))
+
+
+def with_keys(documents: DataFrame, keys: DataFrame, how: str, on: str) -> DataFrame:
+    """Semi or anti join of ``documents`` with the written table ``keys`` (one long column ``on``), broadcast only if its size allows."""
+    small = keys.count() <= BROADCAST_ROWS
+    return documents.join(F.broadcast(keys) if small else keys, on, how)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest reachable id of every id that occurs in ``edges`` (columns ``a`` and ``b``, longs).
 

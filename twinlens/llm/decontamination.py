@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key, with_keys
 
 SHINGLE_WORDS, CONTAINMENT = 5, 0.8
-#: Rows of a key table that are broadcast at most (8 bytes each); beyond that Spark joins by shuffling.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -38,17 +36,6 @@ def shingles(w: Column, n: int = SHINGLE_WORDS) -> Column:
     return F.array_distinct(_windows(w, n, lambda i, short: F.array_join(w if short else F.slice(w, i, n), " ")))
 
 
-def row_key(documents: DataFrame) -> Column:
-    """A hash of a row's id and text: rows alike in both share it."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("\x00"), F.col("text").cast("string"))
-
-
-def with_keys(documents: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``documents`` with the written table ``keys`` (column ``row``), broadcast only if its size allows."""
-    small = keys.count() <= BROADCAST_ROWS
-    return documents.join(F.broadcast(keys) if small else keys, "row", how)
-
-
 def sketches(items: DataFrame, containment: float = CONTAINMENT, n: int = SHINGLE_WORDS) -> DataFrame:
     """item_id and hash: the sketch of each item, as long as its size partition (up to a power of 2) demands."""
     hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), n))).alias("hashes"))
@@ -60,7 +47,7 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT, n: int = SHINGL
 def find_items(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, n: int = SHINGLE_WORDS) -> DataFrame:
     """Items of ``benchmark`` (item_id, text) whose shingles lie in a document of ``documents`` (doc_id, text) by the share ``containment`` or more.
 
-    Returns row (see :func:`row_key`), doc_id, item_id, n_shingles, n_shared and containment, once for documents that
+    Returns row (see :func:`~twinlens.llm.common.row_key`), doc_id, item_id, n_shingles, n_shared and containment, once for documents that
     are alike in id and text. A shingle is ``n`` words; an item with fewer words has one shingle and is only found in documents of
     just these words. Null or wordless texts on either side meet nothing. Items that repeat an id count as their own
     texts each, the best one told. Extra columns are ignored; empty tables give no rows.
@@ -73,7 +60,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
     probed = docs.select("row", words(F.col("text")).alias("words")).select("row", F.explode(shingle_hashes(F.col("words"), n)).alias("hash"))
     met = materialize(probed.join(probes, "hash").select("row", "item").distinct(), "benchmark-candidates")
     rows = materialize(met.select("row").distinct(), "benchmark-rows")
-    held = with_keys(docs, rows, "left_semi").dropDuplicates(["row"]).select("row", "doc_id", words(F.col("text")).alias("words"))
+    held = with_keys(docs, rows, "left_semi", "row").dropDuplicates(["row"]).select("row", "doc_id", words(F.col("text")).alias("words"))
     held = held.select("row", "doc_id", F.explode(shingles(F.col("words"), n)).alias("shingle"))
     wanted = materialize(items.select("item", "item_id", shingles(F.col("words"), n).alias("all")).select("item", "item_id", F.size("all").alias("n_shingles"), F.explode("all").alias("shingle")), "benchmark-shingles")
     shared = held.join(wanted, "shingle").groupBy("row", "doc_id", "item", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
@@ -92,5 +79,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, containment: float
 def decontaminate(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, n: int = SHINGLE_WORDS) -> DataFrame:
     """``documents``, with all their columns, without those that hold an item."""
     found = materialize(find_items(documents, benchmark, containment, n).select("row").distinct(), "benchmark-found")
-    keyed = documents.withColumn("row", row_key(documents))
-    return with_keys(keyed, found, "left_anti").select(*documents.columns)
+    keyed = documents.withColumn("_row", row_key(documents))
+    return with_keys(keyed, found.withColumnRenamed("row", "_row"), "left_anti", "_row").select(*documents.columns)

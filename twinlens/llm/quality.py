@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sample import labelled_sample
@@ -130,28 +130,31 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     return votes
 
 
-def score(documents: DataFrame, votes: Votes, *extra: str) -> DataFrame:
-    """The columns doc_id and ``extra`` of ``documents`` and ``score``: the votes' share for label 1, of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(votes)
-    kinds, keep = dict(documents.dtypes), ["doc_id", *extra]
+def score(spark: SparkSession, votes: Votes, text: Column) -> Column:
+    """The votes' share for label 1, of whole texts; what is broadcast is as large as the sample."""
+    shared = spark.sparkContext.broadcast(votes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x = np.stack([terms(t.as_py() or b"") for t in part.column("_text")])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(shared.value.score(x))], [*keep, "score"])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        blocks = (texts.slice(at, 256) for at in range(0, len(texts), 256))
+        out = [shared.value.score(np.stack([terms(t.as_py() or b"") for t in block])) for block in blocks]
+        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
-    return documents.select(*keep, F.col("text").cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return scores(text.cast("string").cast("binary"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = SAMPLE, *extra: str) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``documents`` (doc_id, text).
 
     Labels are learnt only from rows for which ``held_out`` (of doc_id) is false. A null or empty text is scored
-    like any other; repeated rows are each scored; without labels every score is 0.5.
+    like any other; repeated rows are each scored; extra columns are ignored; without labels every score is 0.5.
     """
     votes = fit(documents, labels, ~held_out, per_class)
-    scored = score(documents, votes, *extra)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *extra)
+    scored = documents.select("doc_id", held_out.alias("held_out"), score(documents.sparkSession, votes, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> DataFrame:
+    """``documents``, with all their columns, that score 0.5 or more."""
+    votes = fit(documents, labels, learn, per_class)
+    return documents.where(score(documents.sparkSession, votes, F.col("text")) >= 0.5)

@@ -16,10 +16,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, row_key, with_keys
 from .forest import Forest
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -53,15 +53,15 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every document; a null text has no words."""
+    """doc_id, row (a hash of the row's id and text) and fp (the fingerprint's 64 bits as a long) of every document; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", row_key(documents).alias("row"), F.col("text").cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, row long, fp long")
 
 
 def _correlations(fps: DataFrame) -> np.ndarray:
@@ -217,17 +217,42 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(_compare(max_bits), "a long, b long")
 
 
+def _components(documents: DataFrame, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: doc_id, row and fp of every document, and fp, root of every fingerprint."""
+    docs = materialize(fingerprints(documents, shingle_words), "simhash-documents")
+    fps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fingerprints")
+    found = connected_components(fingerprint_links(fps, max_bits), "simhash").withColumnRenamed("id", "fp")
+    roots = fps.join(found, "fp", "left").select("fp", "first", F.coalesce("component_id", "fp").alias("root"))
+    return docs, materialize(roots, "simhash-roots")
+
+
 def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every document.
 
     Documents with one fingerprint are linked; so are documents whose fingerprints differ in at most ``max_bits`` bits. Rows
-    that repeat an id are each kept. A null doc_id gets its component's smallest id, or null if it is
-    alone. Extra columns are ignored; no documents, no rows.
+    that repeat an id are each kept. A null doc_id gets its component's smallest id, or null if it has
+    none. Extra columns are ignored; no documents, no rows.
     """
-    docs = materialize(fingerprints(documents, shingle_words), "simhash-documents")
-    fps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fingerprints")
-    found = connected_components(fingerprint_links(fps, max_bits), "simhash").withColumnRenamed("id", "fp")
-    of = fps.join(found, "fp", "left").select("fp", "first", F.coalesce("component_id", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(of.join(least, "root").select("fp", "component_id"), "simhash-components")
+    docs, roots = _components(documents, shingle_words, max_bits)
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialize(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``documents``, with all their columns, of which one row of each component stays: that of its smallest doc_id.
+
+    Null ids come last; of rows that share the smallest id any one text stays, the same in every run; of rows alike in id and
+    text the one whose other columns come first.
+    """
+    docs, roots = _components(documents, shingle_words, max_bits)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = docs.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("_row"))
+    times = docs.withColumnRenamed("row", "_row").groupBy("_row").agg(F.count("*").alias("n"))
+    kept = materialize(times.join(best, "_row", "left_semi"), "simhash-kept")
+    keyed = documents.withColumn("_row", row_key(documents))
+    once = with_keys(keyed, kept.where("n = 1").select("_row"), "left_semi", "_row")
+    # rows that occur several times, few if any, are put in order
+    order = Window.partitionBy("_row").orderBy(*(F.col(c).asc_nulls_first() for c in documents.columns))
+    again = with_keys(keyed, kept.where("n > 1").select("_row"), "left_semi", "_row").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return once.unionByName(again).drop("_row")

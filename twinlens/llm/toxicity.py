@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from .sample import labelled_sample
 
 #: Labelled rows of each class that are sampled at most, n-gram vectors and their size, bytes of an n-gram, words of a passage.
-SAMPLE, BUCKETS, DIMENSIONS, NGRAMS, PASSAGE_WORDS = 2048, 1 << 18, 8, (3, 4, 5), 48
+SAMPLE, BUCKETS, DIMENSIONS, NGRAMS, PASSAGE_WORDS = 2048, 1 << 18, 8, (3, 5, 7, 8), 48
 #: A bag counts each n-gram once and is filled up with zero vectors to this size, so that a few words repeated stay as weak as they are.
 LEAST_BAG = 256
-ROUNDS, EPOCHS, RATE, BATCH, SEED = 5, 3, 0.5, 128, 11
+ROUNDS, EPOCHS, RATE, BATCH, SEED = 4, 3, 2.0, 128, 11
+#: Where squared gradients start: the larger, the less one text alone can move the vectors of rare n-grams.
+START = 1e-7
 #: An n-gram has a vector if it is in so many sampled texts; passages of a clean text that a round learns at most.
-LEAST_TEXTS, CLEAN_PASSAGES = 3, 8
+LEAST_TEXTS, CLEAN_PASSAGES = 3, 4
 
 #: Bytes of words (letters, digits, bytes of other scripts and the at sign) stand for themselves, others for a space.
 _PLAIN = np.full(256, 32, dtype=np.uint32)
@@ -107,7 +109,7 @@ def _train(bags: list[tuple[np.ndarray, int]], y: np.ndarray, rng: np.random.Gen
             up = (p @ weights[:-1].T) / sizes[:, None]
             grad = np.stack([np.bincount(back, weights=up[of, d], minlength=len(ids)) for d in range(vectors.shape[1])], axis=1)
             squares[ids] += grad**2
-            vectors[ids] -= RATE * grad / np.sqrt(squares[ids] + 1e-10)
+            vectors[ids] -= RATE * grad / np.sqrt(squares[ids] + START)
             wgrad = full.T @ p
             wsquares += wgrad**2
             weights -= RATE * wgrad / np.sqrt(wsquares + 1e-10)
