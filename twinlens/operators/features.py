@@ -23,18 +23,39 @@ def normalized_texts(pairs: DataFrame, stable: bool = False) -> DataFrame:
     return pairs.withColumns(new)
 
 
-def text_block(field: str, n: int, b: Column, c: Column, long: bool) -> dict[str, Column]:
+def _set_sizes(df: DataFrame) -> DataFrame:
+    """``df`` with sets of words and n-grams of the normal forms, then with the sizes that the features need, each evaluated once."""
+    texts = [f"_{side}_{field}" for side in ("base", "cand") for field in TEXT_FIELDS]
+    df = df.withColumns({f"{t}_w": T.token_set(F.col(t)) for t in texts})
+    new = {f"{t}_d": T.digit_tokens(F.col(f"{t}_w")) for t in texts}
+    for field, (n, chars) in TEXT_FIELDS.items():
+        b, c = f"_base_{field}", f"_cand_{field}"
+        if chars:
+            new[f"_{field}_long"] = T.long_text_overlap(F.col(b), F.col(c), F.lit(n))
+        else:
+            new |= {f"{t}_g": T.char_ngrams(F.col(t), n) for t in (b, c)}
+    return df.withColumns(new)
+
+
+def _ratio(shared: Column, a: Column, b: Column, least: bool = False) -> Column:
+    """Shared elements over those of the union, or of the smaller set; 0 without any."""
+    whole = F.least(a, b) if least else a + b - shared
+    return F.when(whole > 0, shared / F.greatest(whole, F.lit(1))).otherwise(0.0)
+
+
+def text_block(field: str, long: bool) -> dict[str, Column]:
     """Nine features of two normal forms; all but ``both_empty`` are 0 if both are empty."""
-    tb, tc = T.token_set(b), T.token_set(c)
-    db, dc = T.digit_tokens(tb), T.digit_tokens(tc)
-    overlap = T.long_text_overlap(b, c, F.lit(n)) if long else None
+    b, c = F.col(f"_base_{field}"), F.col(f"_cand_{field}")
+    words, digits, grams = ((F.col(f"_base_{field}_{k}"), F.col(f"_cand_{field}_{k}")) for k in "wdg")
+    sizes = lambda x: (F.size(F.array_intersect(*x)), F.size(x[0]), F.size(x[1]))
+    w, d = sizes(words), sizes(digits)
     features = {
         "exact": ((b == c) & (b != "")).cast("double"),
-        "jaccard_tok": T.jaccard(tb, tc),
-        "containment_tok": T.containment(tb, tc),
-        "jaccard_ngram": overlap["ngram"] if long else T.jaccard(T.char_ngrams(b, n), T.char_ngrams(c, n)),
-        "digits_jaccard": F.when(F.size(db) + F.size(dc) == 0, -1.0).otherwise(T.jaccard(db, dc)),
-        "lcp_ratio": overlap["lcp"] if long else T.lcp_ratio(b, c),
+        "jaccard_tok": _ratio(*w),
+        "containment_tok": _ratio(*w, least=True),
+        "jaccard_ngram": F.col(f"_{field}_long.ngram") if long else _ratio(*sizes(grams)),
+        "digits_jaccard": F.when(d[1] + d[2] == 0, -1.0).otherwise(_ratio(*d)),
+        "lcp_ratio": F.col(f"_{field}_long.lcp") if long else T.lcp_ratio(b, c),
         "len_ratio": F.least(F.length(b), F.length(c)) / F.greatest(F.length(b), F.length(c), F.lit(1)),
         "len_diff": F.abs(F.length(b) - F.length(c)).cast("double"),
     }
@@ -42,12 +63,12 @@ def text_block(field: str, n: int, b: Column, c: Column, long: bool) -> dict[str
     return {f"{field}_{k}": F.when(empty, 0.0).otherwise(v) for k, v in features.items()} | {f"{field}_both_empty": empty.cast("double")}
 
 
-def cross_block(pairs_norm: DataFrame) -> dict[str, Column]:
+def cross_block() -> dict[str, Column]:
     """How much of each side's title lies in the other's description."""
-    words = {c: T.token_set(F.col(f"_{c}")) for c in ("base_title", "cand_title", "base_description", "cand_description")}
+    words = lambda c: F.col(f"_{c}_w")
     return {
-        "cross_base_title_in_cand_desc": T.containment(words["base_title"], words["cand_description"]),
-        "cross_cand_title_in_base_desc": T.containment(words["cand_title"], words["base_description"]),
+        "cross_base_title_in_cand_desc": T.containment(words("base_title"), words("cand_description")),
+        "cross_cand_title_in_base_desc": T.containment(words("cand_title"), words("base_description")),
     }
 
 
@@ -55,10 +76,10 @@ def build_features(pairs: DataFrame, keep: tuple[str, ...] = ("base_item_id", "c
     """All row-local features of ``pairs`` beside the ``keep`` columns. A block whose columns are absent is left out."""
     has = lambda *names: all(f"{s}_{n}" in pairs.columns for s in ("base", "cand") for n in names)
     side = lambda name: (F.col(f"base_{name}"), F.col(f"cand_{name}"))
-    df = normalized_texts(pairs, stable)
+    df = _set_sizes(normalized_texts(pairs, stable))
     out: dict[str, Column] = {}
-    for field, (n, chars) in TEXT_FIELDS.items():
-        out |= text_block(field, n, F.col(f"_base_{field}"), F.col(f"_cand_{field}"), bool(chars))
+    for field, (_, chars) in TEXT_FIELDS.items():
+        out |= text_block(field, bool(chars))
     if has("json_params"):
         df = df.withColumns({f"_{s}_params": A.parse_params(F.col(f"{s}_json_params")) for s in ("base", "cand")})
         out |= A.params_block(F.col("_base_params"), F.col("_cand_params"))
@@ -69,7 +90,7 @@ def build_features(pairs: DataFrame, keep: tuple[str, ...] = ("base_item_id", "c
             out |= A.category_block(name, *side(name))
     if has("title_image"):
         out |= A.title_image_block(*side("title_image"))
-    out |= cross_block(df)
+    out |= cross_block()
     return df.select(*keep, *(c.cast("double").alias(k) for k, c in out.items()))
 
 

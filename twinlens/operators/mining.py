@@ -21,25 +21,25 @@ def mine_triplets(pairs: DataFrame, n_negatives: int = 1, seed: int = 42) -> Dat
     """anchor_pair, draw, level and neg_pair: for each positive pair a negative pair whose candidate is drawn from the
     first level at which the anchor's bucket holds one.
 
-    ``pairs`` has pair_id, base_item_id, is_double and the category attributes of both sides. Only levels that
-    earlier ones leave open are searched. Fails if a class is missing.
+    ``pairs`` has pair_id, base_item_id, is_double and the category attributes of both sides. All levels share one
+    ranking of the pool and one join, on narrow rows: a level is part of the bucket's name. Fails if a class is missing.
     """
     classes = {r[0] for r in pairs.where("is_double in (0, 1)").select("is_double").distinct().collect()}
     if classes != {0, 1}:
         raise ValueError("mining needs pairs of both classes")
-    pool = pairs.where("is_double = 0").select(F.col("pair_id").alias("neg_pair"), *(k.alias(f"k{i}") for i, k in enumerate(_keys("cand"))))
-    todo = pairs.where("is_double = 1").select(F.col("pair_id").alias("anchor_pair"), F.explode(F.sequence(F.lit(0), F.lit(n_negatives - 1))).alias("draw"), *(k.alias(f"k{i}") for i, k in enumerate(_keys("base"))))
-    found = None
-    for i, level in enumerate(LEVELS):
-        ranked = ranks_in_buckets(pool.select("neg_pair", F.col(f"k{i}").alias("bucket")), "bucket", "neg_pair")
-        sizes = ranked.groupBy("bucket").agg(F.max("size").alias("n"))
-        asked = todo.join(sizes, todo[f"k{i}"] == sizes["bucket"], "left")
-        offset = draw(F.col("anchor_pair").cast("string"), (F.col("draw") + seed).cast("string"), F.lit(str(i))) % F.col("n")
-        got = asked.where("n is not null").withColumn("place", offset).select("anchor_pair", "draw", "bucket", "place").join(ranked.select("bucket", "place", "neg_pair"), ["bucket", "place"])
-        got = got.select("anchor_pair", "draw", F.lit(i).alias("level"), "neg_pair")
-        found = got if found is None else found.unionByName(got)
-        todo = asked.where("n is null").drop("bucket", "n")
-    return found
+
+    def buckets(side: str) -> Column:
+        named = (F.concat(F.lit(f"{i}:"), k).alias("bucket") for i, k in enumerate(_keys(side)))
+        return F.array(*(F.struct(F.lit(i).alias("level"), b) for i, b in enumerate(named)))
+
+    pool = pairs.where("is_double = 0").select(F.col("pair_id").alias("neg_pair"), F.explode(buckets("cand")).alias("x")).select("neg_pair", "x.bucket")
+    ranked = ranks_in_buckets(pool, "bucket", "neg_pair")
+    sizes = ranked.groupBy("bucket").agg(F.max("size").alias("n"))
+    asked = pairs.where("is_double = 1").select(F.col("pair_id").alias("anchor_pair"), F.explode(buckets("base")).alias("x")).select("anchor_pair", "x.*")
+    narrowest = asked.join(sizes, "bucket").groupBy("anchor_pair").agg(F.min(F.struct("level", "bucket", "n")).alias("x")).select("anchor_pair", "x.*")
+    drawn = narrowest.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_negatives - 1))))
+    place = draw(F.col("anchor_pair").cast("string"), (F.col("draw") + seed).cast("string"), F.col("level").cast("string")) % F.col("n")
+    return drawn.withColumn("place", place).join(ranked.select("bucket", "place", "neg_pair"), ["bucket", "place"]).select("anchor_pair", "draw", "level", "neg_pair")
 
 
 def level_counts(triplets: DataFrame) -> DataFrame:
