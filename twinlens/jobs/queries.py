@@ -236,7 +236,7 @@ def q_embedding_features(spark, d):
 _IMAGES = "images AS (SELECT image_key, dhash, embedding, dhash % 9 <> 0 AS found FROM (SELECT image_key, CAST('0x' || substr(md5(image_key), 1, 15) AS BIGINT) AS dhash FROM (SELECT DISTINCT k AS image_key FROM (SELECT base_title_image AS k FROM pairs UNION ALL SELECT cand_title_image FROM pairs) WHERE k IS NOT NULL AND k <> '')) h LEFT JOIN embeddings v ON v.vec_id = h.dhash % (SELECT count(*) FROM embeddings))"
 
 
-@query("photo_features", f"{WITH}, {_IMAGES}, m AS (SELECT pair_id, base_title_image AS bk, cand_title_image AS ck, b.dhash AS bh, c.dhash AS ch, b.embedding AS be, c.embedding AS ce FROM pairs LEFT JOIN images b ON b.image_key = base_title_image AND b.found LEFT JOIN images c ON c.image_key = cand_title_image AND c.found) SELECT pair_id, round(coalesce(bit_count(xor(bh, ch)) / 64.0, 0.0), 5) AS image_dhash_distance, coalesce(CAST(bh = ch AS INT), 0) AS image_dhash_equal, CAST(bh IS NOT NULL AND ch IS NOT NULL AS INT) AS image_hash_pair_known, round(coalesce(least(greatest({_COS}, -1.0), 1.0), 0.0), 5) AS image_cosine, CAST(be IS NOT NULL AND ce IS NOT NULL AS INT) AS image_embedding_pair_known, CAST(coalesce(bk, '') = '' OR coalesce(ck, '') = '' AS INT) AS image_missing FROM m")
+@query("photo_features", f"{WITH}, {_IMAGES}, m AS (SELECT pair_id, base_title_image AS bk, cand_title_image AS ck, b.dhash AS bh, c.dhash AS ch, b.embedding AS be, c.embedding AS ce FROM pairs LEFT JOIN images b ON b.image_key = base_title_image AND b.found LEFT JOIN images c ON c.image_key = cand_title_image AND c.found) SELECT pair_id, round(coalesce(bit_count(xor(bh, ch)) / 64.0, 0.0), 5) AS image_dhash_distance, coalesce(CAST(bh = ch AS INT), 0) AS image_dhash_equal, CAST(bh IS NOT NULL AND ch IS NOT NULL AS INT) AS image_hash_pair_known, round(CASE WHEN be IS NOT NULL AND ce IS NOT NULL THEN least(greatest({_COS}, -1.0), 1.0) ELSE 0.0 END, 5) AS image_cosine, CAST(be IS NOT NULL AND ce IS NOT NULL AS INT) AS image_embedding_pair_known, CAST(coalesce(bk, '') = '' OR coalesce(ck, '') = '' AS INT) AS image_missing FROM m")
 def q_photo_features(spark, d):
     f = photos.photo_pair_features(derived_pairs(spark, d), images(spark, d), "base_title_image", "cand_title_image", ("pair_id",))
     return f.withColumns({c: F.round(c, 5) for c in ("image_dhash_distance", "image_cosine")})

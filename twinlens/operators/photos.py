@@ -73,13 +73,15 @@ def photo_pair_features(pairs: DataFrame, images: DataFrame, base: str, cand: st
     keyed = pairs.select(*keep, *(F.when(~blank(c), F.col(c)).alias(f"_{s}") for s, c in (("base", base), ("cand", cand))))
     met = lookup_both(keyed, usable, "image_key", "_base", "_cand", ("dhash", "embedding"))
     distance = hamming(F.col("base_dhash"), F.col("cand_dhash"))
-    cosine = F.least(F.greatest(dot(F.col("base_embedding"), F.col("cand_embedding")), F.lit(-1.0)), F.lit(1.0))
+    both = F.col("base_embedding").isNotNull() & F.col("cand_embedding").isNotNull()
+    # least and greatest pass over nulls
+    cosine = F.when(both, F.least(F.greatest(dot(F.col("base_embedding"), F.col("cand_embedding")), F.lit(-1.0)), F.lit(1.0)))
     return met.select(
         *keep,
         F.coalesce(distance / 64, F.lit(0.0)).alias("image_dhash_distance"),
         F.coalesce((distance == 0).cast("int"), F.lit(0)).alias("image_dhash_equal"),
         distance.isNotNull().cast("int").alias("image_hash_pair_known"),
         F.coalesce(cosine, F.lit(0.0)).alias("image_cosine"),
-        (F.col("base_embedding").isNotNull() & F.col("cand_embedding").isNotNull()).cast("int").alias("image_embedding_pair_known"),
+        both.cast("int").alias("image_embedding_pair_known"),
         (F.col("_base").isNull() | F.col("_cand").isNull()).cast("int").alias("image_missing"),
     )
