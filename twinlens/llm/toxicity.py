@@ -23,6 +23,8 @@ SAMPLE, BUCKETS, DIMENSIONS, NGRAMS, PASSAGE_WORDS = 2048, 1 << 18, 8, (3, 5, 7,
 #: A bag counts each n-gram once and is filled up with zero vectors to this size, so that a few words repeated stay as weak as they are.
 LEAST_BAG = 256
 ROUNDS, EPOCHS, RATE, BATCH, SEED = 4, 3, 2.0, 128, 11
+#: A round takes so many steps at least, however small the sample.
+LEAST_STEPS = 80
 #: Where squared gradients start: the larger, the less one text alone can move the vectors of rare n-grams.
 START = 1e-7
 #: An n-gram has a vector if it is in so many sampled texts; passages of a clean text that a round learns at most.
@@ -88,7 +90,7 @@ def _train(bags: list[tuple[np.ndarray, int]], y: np.ndarray, rng: np.random.Gen
     """Adagrad over mini-batches of bags; ``state`` holds vectors, softmax and their squared gradients."""
     vectors, squares, weights, wsquares = state["vectors"], state["squares"], state["weights"], state["wsquares"]
     balance = np.array([len(y) / 2 / max((y == c).sum(), 1) for c in (0, 1)])
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)) if bags else 0)):
         order = rng.permutation(len(bags))
         for s in range(0, len(order), BATCH):
             some = order[s : s + BATCH]
