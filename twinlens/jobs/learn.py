@@ -67,11 +67,11 @@ def importances(models: list, columns: list[str], top: int = 20) -> DataFrame:
 
 def stack(df: DataFrame, group: str, columns: list[str], y: str = "is_double", n_splits: int = 3, seed: int = 42, out: str = "stack_sim") -> DataFrame:
     """``df`` with a cross-fitted score of a linear model: every row is scored by a model that hasn't seen its group."""
-    folded = _ready(group_folds(df, group, n_splits, seed), columns)
+    folded = _ready(group_folds(df, group, n_splits, seed), columns).persist()
     assemble = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
     parts = None
     for k in range(n_splits):
-        learner = LogisticRegression(labelCol=y, featuresCol="_features", weightCol="weight", maxIter=20, regParam=0.01)
+        learner = LogisticRegression(labelCol=y, featuresCol="_features", weightCol="weight", maxIter=10, regParam=0.01)
         model = Pipeline(stages=[assemble, learner]).fit(_weights(folded.where(F.col("fold") != k), y))
         part = predict(model, folded.where(F.col("fold") == k), columns, out)
         parts = part if parts is None else parts.unionByName(part)
