@@ -116,13 +116,23 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     y = np.array([r["y"] for r in rows], dtype=np.int64)
     if not len(y):
         return Votes(np.ones(N_TERMS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0), 0.5)
-    x = np.stack([np.frombuffer(zlib.decompress(r["terms"]), dtype=np.float32) for r in rows]).astype(np.float64)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    scaled = x * weights
-    values, axes = np.linalg.eigh(scaled.T @ scaled)
-    projection = axes[:, np.argsort(-values)[:dimensions]]
+    # single precision, and only terms that occur: the driver holds little
+    x = np.empty((len(rows), N_TERMS), dtype=np.float32)
+    for i, row in enumerate(rows):
+        x[i] = np.frombuffer(zlib.decompress(row["terms"]), dtype=np.float32)
+    del rows
+    texts_with = np.count_nonzero(x, axis=0)
+    weights = np.log((1 + len(x)) / (1 + texts_with)) + 1
+    used = np.flatnonzero(texts_with)
+    gram = np.zeros((len(used), len(used)))
+    for at in range(0, len(x), 512):
+        scaled = x[at : at + 512][:, used] * weights[used]
+        gram += scaled.T @ scaled
+    values, axes = np.linalg.eigh(gram)
+    projection = np.zeros((N_TERMS, min(dimensions, len(used))))
+    projection[used] = axes[:, np.argsort(-values)[:dimensions]]
     votes = Votes(weights, projection, np.zeros((0, 1)), y, np.zeros(0), 0.5)
-    votes.vectors = votes.latent(x)
+    votes.vectors = np.concatenate([votes.latent(x[at : at + 512]) for at in range(0, len(x), 512)])
     # sampled classes count as often as they occur
     share = {c: sizes[c] / max((y == c).sum(), 1) for c in sizes}
     most = max(share.values())

@@ -10,6 +10,7 @@ that score highest and others.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -124,20 +125,31 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Subwords:
         return Subwords(np.zeros(BUCKETS, dtype=np.float32), (4.0 if labels[0] else -4.0) if labels else 0.0)
     rng = np.random.default_rng(seed)
     state = {
-        "vectors": rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)),
-        "squares": np.zeros((BUCKETS, DIMENSIONS)),
+        "vectors": rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32),
+        "squares": np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32),
         "weights": np.concatenate([rng.uniform(-0.5, 0.5, (DIMENSIONS, 2)), np.zeros((1, 2))]),
         "wsquares": np.zeros((DIMENSIONS + 1, 2)),
     }
-    parts, texts_with = [], np.zeros(BUCKETS, dtype=np.int32)
+    texts_with = np.zeros(BUCKETS, dtype=np.int32)
     for text in texts:
-        ids, at, n = subwords(text)
-        texts_with[np.unique(ids)] += 1
-        parts.append([x.astype(np.int32) for x in np.split(ids, np.cumsum(np.bincount(at, minlength=n))[:-1])])
+        texts_with[np.unique(subwords(text)[0])] += 1
     common = texts_with >= LEAST_TEXTS
     state["vectors"][~common] = 0
-    # a bag's size counts all its n-grams
-    parts = [[(p[common[p]], max(len(p), LEAST_BAG)) for p in own if len(p)] for own in parts]
+    # the n-grams of all passages lie in a few large arrays, which the driver can give back; a bag's size counts all its n-grams
+    parts, kept, held = [], [], []
+    for text in texts:
+        ids, at, n = subwords(text)
+        ok = common[ids]
+        sizes, own = np.bincount(at, minlength=n), np.bincount(at[ok], minlength=n)
+        parts.append((own, np.maximum(sizes, LEAST_BAG), sizes > 0))
+        held.append(ids[ok].astype(np.int32))
+        if len(held) == 256:
+            kept.append(np.concatenate(held))
+            held = []
+    flat = np.concatenate([*kept, *held])
+    del kept, held
+    ends = iter(np.split(flat, np.cumsum(np.concatenate([own for own, _, _ in parts]))[:-1]))
+    parts = [[(bag, int(size)) for bag, size, ok in zip(islice(ends, len(own)), sizes, some, strict=True) if ok] for own, sizes, some in parts]
 
     def model() -> Subwords:
         difference = state["weights"][:, 1] - state["weights"][:, 0]
