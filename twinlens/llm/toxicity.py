@@ -130,24 +130,23 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Subwords:
         "weights": np.concatenate([rng.uniform(-0.5, 0.5, (DIMENSIONS, 2)), np.zeros((1, 2))]),
         "wsquares": np.zeros((DIMENSIONS + 1, 2)),
     }
-    texts_with = np.zeros(BUCKETS, dtype=np.int32)
+    texts_with, occurs = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int64)
     for text in texts:
-        texts_with[np.unique(subwords(text)[0])] += 1
+        ids, _, _ = subwords(text)
+        counts = np.bincount(ids, minlength=BUCKETS)
+        occurs += counts
+        texts_with += counts > 0
     common = texts_with >= LEAST_TEXTS
     state["vectors"][~common] = 0
-    # the n-grams of all passages lie in a few large arrays, which the driver can give back; a bag's size counts all its n-grams
-    parts, kept, held = [], [], []
+    # the n-grams of all passages lie in one array of known size, so the driver holds them once; a bag's size counts all its n-grams
+    flat, end, parts = np.empty(int(occurs[common].sum()), dtype=np.int32), 0, []
     for text in texts:
         ids, at, n = subwords(text)
         ok = common[ids]
         sizes, own = np.bincount(at, minlength=n), np.bincount(at[ok], minlength=n)
         parts.append((own, np.maximum(sizes, LEAST_BAG), sizes > 0))
-        held.append(ids[ok].astype(np.int32))
-        if len(held) == 256:
-            kept.append(np.concatenate(held))
-            held = []
-    flat = np.concatenate([*kept, *held])
-    del kept, held
+        begin, end = end, end + int(own.sum())
+        flat[begin:end] = ids[ok]
     ends = iter(np.split(flat, np.cumsum(np.concatenate([own for own, _, _ in parts]))[:-1]))
     parts = [[(bag, int(size)) for bag, size, ok in zip(islice(ends, len(own)), sizes, some, strict=True) if ok] for own, sizes, some in parts]
 
