@@ -64,10 +64,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     hooks: list[DataFrame] = []
     while not left.isEmpty():
         hook = materialize(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), f"{name}-hooks")
-        for _ in range(2):
-            up = hook.select(F.col("id").alias("to"), F.col("to").alias("further"))
-            hook = hook.join(up, "to", "left").select("id", F.coalesce("further", "to").alias("to"))
-        hook = materialize(hook, f"{name}-hooks")
+        chained = True
+        while chained:  # until no hook's target hooks itself
+            for _ in range(2):
+                up = hook.select(F.col("id").alias("to"), F.col("to").alias("further"))
+                hook = hook.join(up, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("chained"))
+            hook = materialize(hook, f"{name}-hooks")
+            chained = not hook.where("chained").isEmpty()
+            hook = hook.select("id", "to")
         hooks.append(hook)
         moved = left
         for end in ("a", "b"):
@@ -75,7 +79,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         left = materialize(_proper(moved), f"{name}-edges")
     if not hooks:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-    # an id hooks in one round only, so the rounds' tables hold disjoint ids; a later round moves the ends of earlier ones
+    # no end hooks in its own round, so an id hooks in one round only and the rounds' tables hold disjoint ids; a later round moves the ends of earlier ones
     ends = hooks[-1].select("id", F.col("to").alias("component_id"))
     for hook in reversed(hooks[:-1]):
         later = ends.withColumnRenamed("id", "to")
