@@ -181,6 +181,12 @@ def q_homoglyphs(spark, d):
     return read_table(spark, d, "documents").select("doc_id", T.restore_homoglyphs(t).alias("restored"), T.normalize(t).alias("normalized"))
 
 
+@query("restore_homoglyphs_whole", f"SELECT doc_id, {s_restore('t')} AS restored, {s_norm('t')} AS normalized FROM (SELECT doc_id, translate(text, '{LOOKALIKE[0]}', '{LOOKALIKE[1]}') AS t FROM documents)")
+def q_homoglyphs_whole(spark, d):
+    t = F.translate("text", *LOOKALIKE)
+    return read_table(spark, d, "documents").select("doc_id", T.restore_homoglyphs(t).alias("restored"), T.normalize(t).alias("normalized"))
+
+
 @query("encoder_text", rf"{WITH} SELECT pair_id, regexp_replace({s_restore('coalesce(base_title, chr(0)[1:0])')} || '. ' || {s_restore('coalesce(substr(base_description, 1, 128), chr(0)[1:0])')}, '^\s+|\s+$', '', 'g') AS text FROM pairs".replace("chr(0)[1:0]", "''"))
 def q_encoder_text(spark, d):
     return derived_pairs(spark, d).select("pair_id", T.encoder_text(F.col("base_title"), F.col("base_description")).alias("text"))
@@ -265,9 +271,9 @@ def q_encode_texts(spark, d):
 
 @query("photo_hashes")
 def q_photo_hashes(spark, d):
-    """Documents' bytes stand in for photo files: their first 72 are the grey grid."""
+    """Documents' bytes stand in for photo files: the means of 72 even runs of them are the grey grid."""
     files = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_key"), F.col("text").cast("binary").alias("content"))
-    return photos.hash_photos(files, lambda content: list(content[:72]) if content and len(content) >= 72 else None)
+    return photos.hash_photos(files, photos.byte_grid)
 
 
 @query("tower_scores")

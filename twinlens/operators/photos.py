@@ -37,6 +37,17 @@ def dhash(grid: Column) -> Column:
     return F.when(F.size(grid) == 72, F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: F.shiftleft(h, 1).bitwiseOR(b)))
 
 
+def byte_grid(content: bytes | None) -> list[int] | None:
+    """72 means, in 65,536ths, of even runs of all bytes; of fewer than 72 bytes each fills several cells. None without bytes."""
+    if not content:
+        return None
+    n = len(content)
+    sums = np.concatenate([[0], np.cumsum(np.frombuffer(content, dtype=np.uint8), dtype=np.int64)])
+    start = np.arange(72, dtype=np.int64) * n // 72
+    end = np.maximum(np.arange(1, 73, dtype=np.int64) * n // 72, start + 1)
+    return ((sums[end] - sums[start]) * 65536 // (end - start)).tolist()
+
+
 def still_to_encode(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Keys that the cache has no usable row for."""
     return keys.join(cache.where("found").select("image_key"), "image_key", "left_anti")
