@@ -24,6 +24,8 @@ _MARKUP = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
+#: Names of a layout, not of what it names: has-sidebar, no-ads.
+_LAYOUT = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+")
 
 #: Elements whose content is text up to their own end tag, none of it part of the page's text.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "xmp", "svg", "canvas", "title", "object", "math", "noembed", "noframes"}
@@ -38,6 +40,9 @@ FURNITURE_WORDS = set(
     "widget widgets toolbar pagination pager tagcloud copyright disclaimer contentinfo complementary search form dialog".split()
 )
 COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
+ADVERT_WORDS = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion".split())
+#: Words that mark comments and adverts wherever they stand; the other words only discount.
+STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS - {"discussion"}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
 #: Elements inside a line of text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
@@ -57,7 +62,7 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            words.update(_WORDS.findall(value))
+            words.update(_WORDS.findall(_LAYOUT.sub(" ", value)))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     return words, hidden
@@ -152,6 +157,22 @@ class _Tree:
             self._break()
 
 
+def _amounts(tree: _Tree) -> tuple[list[int], list[int]]:
+    """Characters of text and of links in each element with all that it holds, without what is furniture by tag, hidden, a comment or an advert."""
+    n = len(tree.tag)
+    text, links, gone = [0] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        gone[i] = gone[tree.parent[i]] or tree.hidden[i] or tree.tag[i] in FURNITURE and tree.tag[i] not in ("header", "form") or bool(tree.words[i] & STRONG_WORDS) and tree.tag[i] not in ("html", "body")
+    for node, piece, link in tree.pieces:
+        if not gone[node] and (size := len(piece.strip())):
+            text[node] += size
+            links[node] += size * link
+    for i in range(n - 1, 0, -1):
+        text[tree.parent[i]] += text[i]
+        links[tree.parent[i]] += links[i]
+    return text, links
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order with white space as single spaces. Null, empty and text-free pages give ''."""
     if not html:
@@ -161,7 +182,12 @@ def main_text(html: str | None) -> str:
     tag, parent, words = tree.tag, tree.parent, tree.words
     inside = [False] * n  # of an article or main element
     holds = [False] * n  # an article or main element or a first heading
+    leads = [False] * n  # a main element, a first heading or the page's first article
+    first = next((i for i in range(1, n) if tag[i] == "article" and not words[i] & COMMENT_WORDS), 0)
+    text, links = _amounts(tree) if any(w & FURNITURE_WORDS for w in words) else ([0] * n, [0] * n)
     for i in range(n - 1, 0, -1):
+        if tag[i] in ("main", "h1") or i == first or leads[i]:
+            leads[parent[i]] = True
         if tag[i] in ("article", "main", "h1") or holds[i]:
             holds[parent[i]] = True
     gone = [False] * n
@@ -177,8 +203,15 @@ def main_text(html: str | None) -> str:
             out = not (inside[p] and holds[i])
         elif tag[i] == "form" or marked == {"form"}:
             out = not holds[i]
+        elif tag[i] in FURNITURE or not marked or leads[i]:
+            out = tag[i] in FURNITURE
+        elif marked & STRONG_WORDS:
+            out = True
+        elif inside[p]:
+            # an article's own headings and sections, unless they are lists of links
+            out = not (tag[i] in HEADINGS or tag[i] == "section" and 2 * links[i] < text[i])
         else:
-            out = tag[i] in FURNITURE or bool(marked)
+            out = 2 * (text[i] - links[i]) <= text[0] - links[0]  # what holds most of the page's text is no furniture
         gone[i] = gone[p] or out or tree.hidden[i]
     # text, link text and commas of each element's own pieces
     own, linked, commas = [0] * n, [0] * n, [0] * n
