@@ -2,7 +2,7 @@
 
 In every pass vectors are ordered lexicographically by the concatenated signs of random projections,
 each is compared with a bounded number of followers, and pairs that reach the cosine are united across
-the passes. Inside the components found, all links are then counted exactly, in blocks.
+the passes. Rounds of further passes with wider windows follow until one unites nothing new. Inside the components found, all links are then counted exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import connected_components, materialize
 from .forest import Forest
 
 COSINE, PASSES, BITS, FOLLOWERS, SEED = 0.93, 16, 32, 64, 7
+#: Passes of each later round, and how many times as many followers as its predecessor it compares, up to MOST_FOLLOWERS.
+MORE_PASSES, WIDER, MOST_FOLLOWERS = 4, 4, 4096
 #: Vectors of one component that a task compares at once; larger components are split into pairs of blocks.
 BLOCK = 2048
 
@@ -123,6 +125,15 @@ def _count_links(cosine: float):
     return run
 
 
+def _passes(table: DataFrame, cosine: float, passes: int, followers: int, bits: int, seed: int) -> DataFrame:
+    """Links (a, b) that ``passes`` passes over ``table`` (key, label, embedding, size) meet, as forests."""
+    narrow = table.select("key", "label", "embedding", "size")
+    schema = f"key long, label long, embedding {dict(table.dtypes)['embedding']}, size int, keys array<long>"
+    one = narrow.mapInArrow(_hashes(passes, bits, seed), schema).select("label", "size", "key", "embedding", F.posexplode("keys").alias("pass", "hash"))
+    ordered = one.repartitionByRange("pass", "label", "size", "hash", "key").sortWithinPartitions("pass", "label", "size", "hash", "key")
+    return ordered.select("pass", "label", "size", "key", "embedding").mapInArrow(_neighbours(cosine, followers), "a long, b long")
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, followers: int = FOLLOWERS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label).
 
@@ -136,12 +147,18 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: i
     valid = F.coalesce(fit, F.lit(False))
     distinct = rows.where(valid).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     keyed = distinct.select(F.monotonically_increasing_id().alias("key"), F.col("label").cast("long").alias("label"), "embedding", F.size("embedding").alias("size"), "first", "n")
-    schema = f"key long, label long, embedding {dict(rows.dtypes)['embedding']}, size int, first {dict(rows.dtypes)['vec_id']}, n long, keys array<long>"
-    table = materialize(keyed.mapInArrow(_hashes(passes, bits, seed), schema), "vectors")
-    one = table.select("label", "size", "key", "embedding", F.posexplode("keys").alias("pass", "hash"))
-    ordered = one.repartitionByRange("pass", "label", "size", "hash", "key").sortWithinPartitions("pass", "label", "size", "hash", "key")
-    links = ordered.select("pass", "label", "size", "key", "embedding").mapInArrow(_neighbours(cosine, followers), "a long, b long")
-    found = connected_components(links, "vectors").withColumnsRenamed({"id": "key", "component_id": "root"})
+    table = materialize(keyed, "vectors")
+    most = table.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
+    found, joined, turn = None, -1, 0
+    while True:
+        links = _passes(table, cosine, passes if not turn else MORE_PASSES, followers, bits, seed + turn)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+        found = materialize(connected_components(links, "vectors").withColumnsRenamed({"id": "key", "component_id": "root"}), "vectors-found")
+        unions = found.where("key <> root").count()  # each id but a root was united with another
+        if unions == joined or most <= followers + 1:  # one pass compares all of a label
+            break
+        joined, turn, followers = unions, turn + 1, max(followers, min(followers * WIDER, MOST_FOLLOWERS))
     members = table.select("key", "embedding", "n", "first").join(found, "key")
     members = materialize(members, "vectors-members")
     blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("first").alias("component_id"))
