@@ -41,7 +41,7 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nX: y", "<p>x</p>", "d"), (5, None, "<p>x</p>", "d"), (2, "u", None, "d"), (3, "u", long, "d"), (4, "u", "\r\n0\r\n\r\n", "d"), (None, "u", "alone", "d"), (9, "u", "", "d"), (7, "u", "twice", "d"), (7, "u", "twice", "d"), (-6, "u", long[1:], "d")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     path = warc.new_path(spark, "warc-test")
-    warc.write_archives(warc.decide_records(pages), path, segment_chars=2000, chunk_chars=700, records_per_file=3)
+    warc.write_archives(warc.decide_records(pages), path, segment_bytes=2000, chunk_bytes=700, records_per_file=3)
     read = warc.read_archives(spark, path).persist()
     assert sorted(bytes(r["payload"]) for r in read.where("kind = 'response'").collect()) == sorted(x.encode() for x in ("<p>x</p>", long, "\r\n0\r\n\r\n", "alone", "", "twice", "twice", long[1:]))
     got = {r["page_id"]: r for r in warc.page_summary(read).collect()}
@@ -56,9 +56,16 @@ def test_warc_round_trip(spark):
 
 def test_warc_records_and_damage():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
-    assert [r["block"] for r in warc.parse_archive(gzip.compress(record) + gzip.compress(record))] == [b"ab\r\n"] * 2
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(record[:-3]))
+    for data in (gzip.compress(record) + gzip.compress(record), record + record):
+        assert [block for _, block in warc.split_records(data)] == [b"ab\r\n"] * 2
+    for broken in (record[:-3], b"x" + record, record.replace(b"Content-Length: 4", b"X: 4")):
+        with pytest.raises(ValueError):
+            list(warc.split_records(broken))
+    long = record.replace(b"Content-Length: 4\r\n\r\nab\r\n", b"Content-Length: 10000000\r\n\r\n" + b"abcde" * 2000000)
+    assert [len(block) for _, block in warc.split_records(gzip.compress(long * 2))] == [10000000] * 2
+    fields = warc.record_fields(next(warc.split_records(record))[0])
+    with pytest.raises(ValueError, match="another digest"):
+        warc._decoded(fields | {"digest": "A" * 32}, b"HTTP/1.1 200 OK\r\n\r\nx")
     with pytest.raises(ValueError):
         warc.decode_http(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc")
 
@@ -66,12 +73,19 @@ def test_warc_records_and_damage():
 def test_missing_segment_fails(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 100)], "page_id long, url string, html string")
     path = warc.new_path(spark, "warc-test")
-    warc.write_archives(warc.decide_records(pages), path, segment_chars=60, records_per_file=1)
+    warc.write_archives(warc.decide_records(pages), path, segment_bytes=60, records_per_file=1)
     files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
     some = spark.read.format("binaryFile").load(files[:-1]).select("content")
-    short = some.mapInArrow(warc._segments, warc._RECORD_DDL).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("number", "kind", "url", "digest", "refers_to", "total", "block"))).alias("segments"))
     with pytest.raises(Exception, match="not whole"):
-        short.mapInArrow(warc._reassemble, warc._WHOLE_DDL).collect()
+        warc.join_segments(some.mapInArrow(warc._segments, warc._SEGMENT_DDL)).collect()
+
+
+def test_warc_with_many_repeated_payloads(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 40}") for i in range(400)], "page_id long, url string, html string")
+    few = {(r["page_id"], r["refers_to"]) for r in warc.page_summary(warc.archive_round_trip(pages)).collect()}
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    many = {(r["page_id"], r["refers_to"]) for r in warc.page_summary(warc.archive_round_trip(pages)).collect()}
+    assert few == many == {(i, None if i >= 360 else 360 + i % 40) for i in range(400)}
 
 
 TEXTS = ["Hello world  two\n three", "it's  we'll \t tabs\x1c x", "ÄÖ 中文 😀 é", "", " leading and trailing ", "a\n b\r\n\r\n c", "x" * 300, "<|endoftext|> no", "1234 5,6 !!! ...", " nbsp  em \u0085 nel"]
