@@ -134,38 +134,76 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def shingles(text):
+def plain_words(text):
     import re
 
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+    return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def test_decontamination(spark):
+def windows(w, n):
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_decontamination(spark, monkeypatch):
     rng = np.random.default_rng(7)
-    items = [words(rng, int(n)) for n in rng.integers(1, 60, 40)] + [None, "", "!!", "two words"]
+    items = [words(rng, int(n)) for n in rng.integers(1, 60, 40)] + [None, "", "!!", "two words", "The capital of France", "one"]
     texts = [words(rng, 300) for _ in range(40)]
     for i in range(0, 40, 2):
         part = items[i].split()
         cut = part[: max(1, int(len(part) * rng.uniform(0.6, 1.0)))]
         texts[i] += " . " + ", ".join(cut).upper() + " " + words(rng, 2000)
-    texts += [None, "", "Two, WORDS!", items[5], items[5]]
+    texts += [None, "", "Two, WORDS!", items[5], items[5], "What is the capital, of FRANCE?", "two and words", "by two words", words(rng, 30000) + " one " + words(rng, 30000)]
     docs, bench = table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {}
     for d, t in enumerate(texts):
         for i, s in enumerate(items):
-            a, b = shingles(s), shingles(t)
+            n = min(5, len(plain_words(s)))
+            a, b = (windows(plain_words(x), n) if n else set() for x in (s, t))
             if a and len(a & b) / len(a) >= 0.8:
                 want[d, i] = len(a & b) / len(a)
     got = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontamination.contamination(docs, bench).collect()}
-    assert got == pytest.approx(want) and len(want) > 10
+    assert got == pytest.approx(want) and len(want) > 10 and {(45, 44), (47, 43), (48, 45)} <= set(want) and (46, 43) not in want
     kept = decontamination.decontaminate(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontamination.contamination(docs.limit(0), bench).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == len(texts)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 40)
+    for most in (0, 1000):  # sketches joined by a shuffle, then broadcast in parts
+        monkeypatch.setattr(decontamination, "SKETCH_PARTS", most)
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs, bench).collect()} == set(want)
     plan = decontamination.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_items_match_sql(spark):
+    """The query's SQL finds short items in long documents as the operator does."""
+    import duckdb
+
+    from twinlens.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    texts = ["what is the capital of france, asked the old man", "capital of", "of france the capital", None, "", "a b c d e f"]
+    items = ["the capital of france", "capital", "a b c d e", None, "e f"]
+    con.sql("create table documents as select * from (values " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in enumerate(texts)) + ") t(doc_id, text)")
+    con.sql("create table benchmark as select * from (values " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in enumerate(items)) + ") t(item_id, text)")
+    want = {r[:2] for r in con.sql(ORACLE_SQL["op4_decontamination"]).fetchall()}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(table(spark, texts), bench).collect()}
+    assert got == want == {(0, 0), (0, 1), (1, 1), (2, 1), (5, 2), (5, 4)}
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    """Filters keep columns named like their own helpers, and columns of kinds that can't be ordered."""
+    ddl = "doc_id long, text string, row long, row_ string, nth int, times map<string,int>, `a.b` string"
+    rows = [(i, t, 7, "r", 3, {"k": i}, "p") for i, t in enumerate(["one two three four five six", "one two three four five six", None, "", "seven eight nine ten eleven"])] + [(4, "seven eight nine ten eleven", 7, "r", 3, {"a": 1}, "p")]
+    docs = spark.createDataFrame(rows, ddl)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["row"], r["row_"], r["nth"], r["a.b"], tuple(r["times"])) for r in kept.collect()) == [(0, 7, "r", 3, "p", ("k",)), (2, 7, "r", 3, "p", ("k",)), (4, 7, "r", 3, "p", ("a",))]
+    bench = spark.createDataFrame([(1, "seven eight nine ten eleven"), (2, None)], "item_id long, text string")
+    left = decontamination.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(tuple(r)[:4] for r in left.collect()) == [(i, t, 7, "r") for i, t, *_ in rows[:4]]
+    assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
+
+
 def classified(spark, small, module, label, mod, rest):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x"), (-3, "x")], "doc_id long, text string")

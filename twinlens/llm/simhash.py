@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, row_key, with_keys
+from .common import connected_components, fresh, materialize, row_key, with_keys
 from .forest import Forest
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -243,16 +243,18 @@ def drop_near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORD
     """``documents``, with all their columns, of which one row of each component stays: that of its smallest doc_id.
 
     Null ids come last; of rows that share the smallest id any one text stays, the same in every run; of rows alike in id and
-    text the one whose other columns come first.
+    text the one whose columns, as JSON, come first. Null and wordless texts are alike, so one of them stays. Columns may
+    have any names and kinds; no documents, no rows.
     """
     docs, roots = _components(documents, shingle_words, max_bits)
+    key, nth = fresh(documents, "row"), fresh(documents, "nth")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = docs.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("_row"))
-    times = docs.withColumnRenamed("row", "_row").groupBy("_row").agg(F.count("*").alias("n"))
-    kept = materialize(times.join(best, "_row", "left_semi"), "simhash-kept")
-    keyed = documents.withColumn("_row", row_key(documents))
-    once = with_keys(keyed, kept.where("n = 1").select("_row"), "left_semi", "_row")
+    best = docs.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select("best.row")
+    times = docs.groupBy("row").agg(F.count("*").alias("n"))
+    kept = materialize(times.join(best, "row", "left_semi").select(F.col("row").alias(key), F.col("n").alias("times")), "simhash-kept")
+    keyed = documents.withColumn(key, row_key(documents))
+    once = with_keys(keyed, kept.where("times = 1").select(key), "left_semi", key)
     # rows that occur several times, few if any, are put in order
-    order = Window.partitionBy("_row").orderBy(*(F.col(c).asc_nulls_first() for c in documents.columns))
-    again = with_keys(keyed, kept.where("n > 1").select("_row"), "left_semi", "_row").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return once.unionByName(again).drop("_row")
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in documents.columns))))
+    again = with_keys(keyed, kept.where("times > 1").select(key), "left_semi", key).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return once.unionByName(again).drop(key)
