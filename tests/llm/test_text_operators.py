@@ -88,7 +88,7 @@ def test_warc_with_many_repeated_payloads(spark, monkeypatch):
     assert few == many == {(i, None if i >= 360 else 360 + i % 40) for i in range(400)}
 
 
-TEXTS = ["Hello world  two\n three", "it's  we'll \t tabs\x1c x", "ÄÖ 中文 😀 é", "", " leading and trailing ", "a\n b\r\n\r\n c", "x" * 300, "<|endoftext|> no", "1234 5,6 !!! ...", " nbsp  em \u0085 nel"]
+TEXTS = ["Hello world  two\n three", "it's  we'll \t tabs\x1c x", "ÄÖ 中文 😀 é", "", " leading and trailing ", "a\n b\r\n\r\n c", "x" * 300, "<|endoftext|> no", "<|endoftext|>", "a <|endoftext|><|endoftext|> b<|endoftext|>", " a  b", "  a", "a \x1f b \u3000 c", "x\n", "w\n y\n", "word \n", " ", "\n ", "1234 5,6 !!! ...", " nbsp  em \u0085 nel"]
 
 
 def test_ids_are_those_of_the_tokenizer_file():
@@ -96,9 +96,11 @@ def test_ids_are_those_of_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     fast = packing.Encoder(packing.public_vocabulary())
-    for text in TEXTS:
+    rng = np.random.default_rng(2)
+    mixed = ["".join(rng.choice([" ", "  ", "\n", "\t", "\x1c", "a", "Word", "it's", "12", "!?", "é", "中", "\u00a0", "<|endoftext|>", "<|endof"], int(n))) for n in rng.integers(1, 25, 500)]
+    long = " ".join(rng.choice(["alpha", "beta\n\n", "gamma,", "δ", "<|endoftext|>"], 40000))
+    for text in [*TEXTS, *mixed, *mixed[:50], long]:
         assert np.frombuffer(fast(text), dtype="<u4").tolist() == slow.encode(text, add_special_tokens=False).ids, text
 
 
@@ -119,11 +121,34 @@ def test_packing(spark):
     assert max(seen.values()) <= 64 and sorted(seen) == list(range(len(seen)))
     assert sum(seen.values()) / (64 * len(seen)) > 0.95
     assert packing.pack_documents(docs.limit(0)).count() == 0
+    # pieces alike in id and start, with columns named like helpers
+    odd = spark.createDataFrame([(1, 0, 5, i % 3, {"k": 1}, "x") for i in range(40)], "doc_id long, start long, length long, bucket int, slot map<string,int>, `within` string")
+    placed = packing.place_pieces(odd, 16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 40 and {r["offset"] for r in placed} == {0, 5, 10} and {r["bucket"] for r in placed} == {0, 1, 2}
+    long = packing.packed_digests(spark.createDataFrame([(7, "many words " * 30000), (7, "many words " * 30000)], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in long) == 2 * long[0]["doc_tokens"] and len({(r["sequence_id"], r["offset"]) for r in long}) == len(long)
     digest = packing.packed_digests(docs.where("doc_id = 154")).first()
     assert digest["ids_crc32"] == zlib.crc32(encode(docs.where("doc_id = 154").first()["text"] or "") + b"\1\0\0\0")
 
 
-@pytest.mark.parametrize("histogram", [{64: 5}, {1: 130}, {40: 3, 24: 2, 10: 7}, {33: 4, 31: 9, 2: 3}, {}])
+def plain_packs(histogram, capacity):
+    """Lengths of the packs when every piece, longest first, goes to the shortest pack there is, or to a new one."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if shortest is not None and packs[shortest] + length <= capacity:
+                packs[shortest] += length
+            else:
+                packs.append(length)
+    return sorted(packs)
+
+
+_random = np.random.default_rng(11)
+RANDOM = [{int(x): int(n) for x, n in zip(_random.integers(1, 65, 20), _random.integers(1, 30, 20))} for _ in range(30)]
+
+
+@pytest.mark.parametrize("histogram", [{64: 5}, {1: 130}, {40: 3, 24: 2, 10: 7}, {33: 4, 31: 9, 2: 3}, {}, *RANDOM])
 def test_shortest_pack_first(histogram):
     used, counts = {}, {}
     for length, rank, n, offset, first in packing.shortest_pack_first(histogram, 64):
@@ -133,6 +158,7 @@ def test_shortest_pack_first(histogram):
             assert used.get(s, 0) == offset
             used[s] = offset + length
     assert counts == histogram and all(v <= 64 for v in used.values())
+    assert sorted(used.values()) == plain_packs(histogram, 64) and sorted(used) == list(range(len(used)))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-header">
