@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to the elements around them, each
-element's points are discounted by the share of its text that is links, and the best container is kept with the siblings that score
-well. Elements that mark page furniture by tag, role, class or id give no points and no text.
+element's points are discounted by the share of its text that is links, and the best container is kept with its siblings that
+aren't mostly links. Elements that mark page furniture by tag, role, class or id give no points and no text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?:(?!\]\]>)[^<])*+\]\]>|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S,
@@ -28,24 +28,32 @@ _WORDS = re.compile(r"[a-z]+")
 _LAYOUT = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]+[a-z]+")
 
 #: Elements whose content is text up to their own end tag, none of it part of the page's text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "xmp", "svg", "canvas", "title", "object", "math", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "xmp", "svg", "canvas", "title", "object", "noembed", "noframes", "annotation", "annotation-xml"}
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Page furniture by tag.
 FURNITURE = {"head", "nav", "footer", "form", "aside", "button", "select", "datalist", "menu", "dialog", "audio", "video", "fieldset", "header"}
-#: Page furniture by a word of role, class or id.
-FURNITURE_WORDS = set(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner banners cookie cookies consent gdpr "
-    "notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidebars aside menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social "
-    "widget widgets toolbar pagination pager tagcloud copyright disclaimer contentinfo complementary search form dialog".split()
-)
-COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
+#: Page furniture by a word of role, class or id: what is named by kind, and what only holds links as a rule.
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 ADVERT_WORDS = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion".split())
-#: Words that mark comments and adverts wherever they stand; the other words only discount.
-STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS - {"discussion"}
+NOTICE_WORDS = set("cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall dialog".split())
+HEADER_WORDS = {"header", "banner", "masthead"}
+PLACE_WORDS = set("sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs topbar footer contentinfo complementary form search toolbar pagination pager".split())
+LINK_WORDS = set("discussion related recommended recommendations share sharing social widget widgets tagcloud copyright disclaimer".split())
+#: Words that mark comments and adverts wherever they stand, and those that mark a single paragraph.
+STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS
+PARAGRAPH_WORDS = STRONG_WORDS | NOTICE_WORDS
+FURNITURE_WORDS = PARAGRAPH_WORDS | HEADER_WORDS | PLACE_WORDS | LINK_WORDS
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
+#: What a container's points are multiplied by if its tag or words name content.
+CONTENT_BONUS = 1.25
+#: The share of an element's points from which the one around it is taken instead, and the share of links of a sibling that goes.
+CLIMB, MOST_LINKS = 0.6, 0.5
 #: Elements inside a line of text.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose".split()
+)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag of these closes an open paragraph.
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre section table ul li dd dt".split()) | HEADINGS
@@ -76,7 +84,7 @@ class _Tree:
         self.pieces: list[tuple[int, str, bool]] = []
         self._stack, self._open = [0], Counter({"#page": 1})
         self._links: list[int] = []
-        at, lower = 0, None
+        at = 0
         while at < len(html):
             found = _MARKUP.search(html, at)
             self._text(html[at : found.start() if found else len(html)])
@@ -90,9 +98,8 @@ class _Tree:
             if end:
                 self._end(tag)
             elif tag in RAW and not attrs.endswith("/"):
-                lower = lower or html.lower() if len(html.lower()) == len(html) else re.sub("[A-Z]", lambda m: m[0].lower(), html)
-                close = lower.find(f"</{tag}", at)
-                at = len(html) if close < 0 else close
+                close = _RAW_END[tag].search(html, at)
+                at = close.start() if close else len(html)
             else:
                 self._start(tag, attrs)
 
@@ -173,11 +180,8 @@ def _amounts(tree: _Tree) -> tuple[list[int], list[int]]:
     return text, links
 
 
-def main_text(html: str | None) -> str:
-    """The article's text: blocks in page order with white space as single spaces. Null, empty and text-free pages give ''."""
-    if not html:
-        return ""
-    tree = _Tree(html)
+def _furniture(tree: _Tree) -> list[bool]:
+    """Whether each element is page furniture or hidden, or inside of such."""
     n = len(tree.tag)
     tag, parent, words = tree.tag, tree.parent, tree.words
     inside = [False] * n  # of an article or main element
@@ -195,25 +199,40 @@ def main_text(html: str | None) -> str:
         p = parent[i]
         inside[i] = inside[p] or tag[i] in ("article", "main")
         marked = words[i] & FURNITURE_WORDS
+        linked = 2 * links[i] >= text[i]
         if tag[i] in ("html", "body"):
             out = False
         elif tag[i] in ("article", "main"):
             out = bool(marked & COMMENT_WORDS)
-        elif tag[i] == "header" or marked and not marked - {"header", "banner", "masthead"}:
+        elif tag[i] == "header" or marked and not marked - HEADER_WORDS and tag[i] not in PARAGRAPHS | HEADINGS:
             out = not (inside[p] and holds[i])
-        elif tag[i] == "form" or marked == {"form"}:
+        elif tag[i] == "form" or marked == {"form"} and tag[i] not in PARAGRAPHS | HEADINGS:
             out = not holds[i]
         elif tag[i] in FURNITURE or not marked or leads[i]:
             out = tag[i] in FURNITURE
+        elif tag[i] in PARAGRAPHS | HEADINGS:
+            # one paragraph is no menu, sidebar or footer
+            out = bool(marked & (STRONG_WORDS if tag[i] in HEADINGS else PARAGRAPH_WORDS))
         elif marked & STRONG_WORDS:
             out = True
-        elif inside[p]:
-            # an article's own headings and sections, unless they are lists of links
-            out = not (tag[i] in HEADINGS or tag[i] == "section" and 2 * links[i] < text[i])
+        elif not marked - LINK_WORDS or inside[p] and tag[i] == "section":
+            # kept unless it is a list of links
+            out = linked
         else:
-            out = 2 * (text[i] - links[i]) <= text[0] - links[0]  # what holds most of the page's text is no furniture
+            out = inside[p] or 2 * (text[i] - links[i]) <= text[0] - links[0]  # what holds most of the page's text is no furniture
         gone[i] = gone[p] or out or tree.hidden[i]
-    # text, link text and commas of each element's own pieces
+    return gone
+
+
+def scores(tree: _Tree, gone: list[bool]) -> tuple[list[float], list[int], list[int]]:
+    """Points of every element, and the characters of text and of links in it.
+
+    A paragraph (or what has text of its own) gives 1, 1 for each comma and 1 for each 100 characters, 3 at most, times the share of its text
+    that is no link: all to the element around it, half to the next one, a third to the one after. What names content counts more; then the
+    points are multiplied by the share of all the element's text that is no link.
+    """
+    n = len(tree.tag)
+    tag, parent = tree.tag, tree.parent
     own, linked, commas = [0] * n, [0] * n, [0] * n
     for node, text, link in tree.pieces:
         if not gone[node] and text and (size := len(text.strip())):
@@ -228,37 +247,44 @@ def main_text(html: str | None) -> str:
         if gone[i] or not own[i] or tag[i] in HEADINGS:
             continue
         points = (1 + commas[i] + min(own[i] / 100, 3)) * (1 - linked[i] / own[i])
-        up, share = (parent[i] if tag[i] in PARAGRAPHS or tag[i] in INLINE else i), 1.0
-        for _ in range(3):
+        up = parent[i] if tag[i] in PARAGRAPHS or tag[i] in INLINE else i
+        for share in (1, 2, 3):
             if up <= 0:
                 break
-            score[up] += points * share
-            up, share = parent[up], share / 2 if share == 1 else share / 1.5
+            score[up] += points / share
+            up = parent[up]
     for i in range(1, n):
         if score[i]:
-            score[i] += 25 * (tag[i] in ("article", "main")) + 10 * bool(words[i] & CONTENT_WORDS)
-            score[i] *= 1 - links[i] / max(total[i], 1)
+            score[i] *= (CONTENT_BONUS if tag[i] in ("article", "main") or tree.words[i] & CONTENT_WORDS else 1) * (1 - links[i] / max(total[i], 1))
+    return score, total, links
+
+
+def main_text(html: str | None) -> str:
+    """The article's text: blocks in page order with white space as single spaces. Null, empty and text-free pages give ''.
+
+    Taken is the container with the most points, or one around it with nearly as many, and its siblings that aren't mostly links. Where
+    that is the page itself, lists of links go, as only there nothing tells a menu from an article's own list.
+    """
+    if not html:
+        return ""
+    tree = _Tree(html)
+    n = len(tree.tag)
+    tag, parent = tree.tag, tree.parent
+    gone = _furniture(tree)
+    score, total, links = scores(tree, gone)
     best = max(range(n), key=lambda i: (score[i], -i))
     if not score[best]:
-        # headings alone, or text outside every element
-        best = next((i for i in range(1, n) if tag[i] in ("article", "main") and not gone[i] and total[i]), 0)
-    # an article or main element that holds the best container is all of it
-    up = best
-    while up > 0:
-        if tag[up] in ("article", "main"):
-            best = up
-            break
-        up = parent[up]
-    least = max(10.0, score[best] * 0.2)
-    roots = {best} | {i for i in range(1, n) if parent[i] == parent[best] and i != best and tag[best] not in ("body", "html") and (score[i] >= least or tag[i] == "p" and own[i] > 80 and linked[i] < 0.25 * own[i])}
-    # headings beside the container
-    if tag[best] not in ("article", "main", "body", "html"):
-        roots |= {i for i in range(1, n) if parent[i] == parent[best] and tag[i] in ("h1", "h2")}
-    menus = {i for i in range(1, n) if tag[i] in ("ul", "ol") and total[i] and links[i] > 0.8 * total[i]}
+        best = 0  # headings alone, or text outside every element
+    while parent[best] > 0 and tag[parent[best]] not in ("body", "html") and score[parent[best]] >= CLIMB * score[best]:
+        best = parent[best]
+    whole = best == 0 or tag[best] in ("body", "html")
+    beside = parent[best] if not whole else -1
     kept = [False] * n
     kept[0] = best == 0
     for i in range(1, n):
-        kept[i] = (i in roots or kept[parent[i]]) and not gone[i] and i not in menus
+        sibling = parent[i] == beside and total[i] and links[i] < MOST_LINKS * total[i]
+        menu = whole and tag[i] in ("ul", "ol") and total[i] and links[i] > 0.8 * total[i]
+        kept[i] = (i == best or kept[parent[i]] or bool(sibling)) and not gone[i] and not menu
     return " ".join(unescape("".join(text or " " for node, text, _ in tree.pieces if kept[node])).split())
 
 
