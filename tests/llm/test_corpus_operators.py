@@ -243,67 +243,73 @@ def test_subwords():
     assert n == 10 and set(at) == set(range(10)) and toxicity.subwords("")[2] == 1
 
 
-def lm_brute(texts, train):
+def lm_brute(texts, train, depth):
     """The tree by its definition, with dictionaries."""
     streams = [[b"", *lm.tokens((t or "").encode())] for t in texts]
-    c, pairs, triples = Counter(), Counter(), Counter()
+    grams = [Counter() for _ in range(depth + 2)]  # by number of words
     for s, own in zip(streams, train):
         if own:
-            c.update(s[1:])
-            pairs.update(zip(s, s[1:]))
-            triples.update(zip(s, s[1:], s[2:]))
+            grams[1].update(s[1:])
+            for n in range(2, depth + 2):
+                grams[n].update(zip(*(s[i:] for i in range(n))))
+    c = grams[1]
     total = sum(c.values())
     least = max(lm.LEAST, lm.P_MIN * total)
     root = lambda w: (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
-
-    def retain(entries, totals, parent):
+    trees = []
+
+    def state(context, w):
+        p = root(w)
+        for length, tree in enumerate(trees, 1):
+            if length <= len(context) and context[-length:] in tree:
+                own, rest, whole = tree[context[-length:]]
+                p = own.get(w, 0) / whole + rest / whole * p
+        return p
+
+    frequent = {(w,) for w, n in c.items() if n >= least or not w}
+    for n in range(2, depth + 2):
+        entries = {k: m for k, m in grams[n].items() if m >= least and k[:-1] in frequent and k[1:] in frequent and (n == 2 or k[-2])}
+        totals = {(w,): m for w, m in c.items()} if n == 2 else grams[n - 1]
         by = defaultdict(dict)
-        for key, n in entries.items():
-            by[key[:-1]][key[-1]] = n
+        for key, m in entries.items():
+            by[key[:-1]][key[-1]] = m
         out = {}
         for s, own in by.items():
             t, kept = totals[s], sum(own.values())
-            gain = sum(n * math.log(n / t / parent(s, w)) for w, n in own.items())
+            parent = {w: state(s[1:], w) for w in own}
+            gain = sum(m * math.log(m / t / parent[w]) for w, m in own.items())
             if t > kept:
-                gain += (t - kept) * math.log((t - kept) / t / max(1 - sum(parent(s, w) for w in own), 1e-12))
+                gain += (t - kept) * math.log((t - kept) / t / max(1 - sum(parent.values()), 1e-12))
             if gain >= lm.CUTOFF * (len(own) + 1):
                 out[s] = (own, (t - kept + lm.PARENT_WEIGHT), t + lm.PARENT_WEIGHT)
-        return out
-
-    one = retain({k: n for k, n in pairs.items() if n >= least and min(c[k[0]], c[k[1]]) >= least}, {(w,): n for w, n in c.items()}, lambda s, w: root(w))
-
-    def state(tree, s, w, parent):
-        if s not in tree:
-            return parent
-        own, rest, whole = tree[s]
-        return own.get(w, 0) / whole + rest / whole * parent
-
-    frequent = {k for k, n in pairs.items() if n >= least}
-    three = {k: n for k, n in triples.items() if n >= least and k[:2] in frequent and k[1:] in frequent and k[1] != b""}
-    two = retain(three, pairs, lambda s, w: state(one, s[1:], w, root(w)))
+        trees.append(out)
+        frequent = set(entries)
     out = []
     for s in streams:
-        base = score = 0.0
-        for i in range(1, len(s)):
-            p = state(one, (s[i - 1],), s[i], root(s[i]))
-            if i > 1:
-                p = state(two, (s[i - 2], s[i - 1]), s[i], p)
-            base, score = base + math.log10(root(s[i])), score + math.log10(p)
+        base, score = (sum(math.log10(p) for p in ps) for ps in ([root(w) for w in s[1:]], [state(tuple(s[:i]), s[i]) for i in range(1, len(s))]))
         out.append((len(s) - 1, sum(c[w] > 0 for w in s[1:]), total, base, score))
-    return out
+    return out, [len(t) for t in trees]
 
 
-def test_suffix_tree(spark):
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_suffix_tree(spark, depth):
     rng = np.random.default_rng(9)
     phrase = words(rng, 30)
-    texts = [words(rng, 20).replace("w1", "the w1") + " " + (phrase if i % 2 else "") for i in range(60)] + [None, "", "  ", phrase, phrase.upper(), "of the of the", "zz zz zz yy"]
+    texts = [words(rng, 20).replace("w1", "the w1") + " " + (phrase if i % 2 else "") + (" a b c" if i % 3 else " a c b d") for i in range(60)] + [None, "", "  ", phrase, phrase.upper(), "of the of the", "zz zz zz yy", "a b " * 20000]
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
-    got = {r["doc_id"]: r for r in lm.score_corpus(table(spark, texts), common.crc_mod(F.col("doc_id"), 10) == 0).collect()}
-    for i, want in enumerate(lm_brute(texts, train)):
+    got = {r["doc_id"]: r for r in lm.score_corpus(table(spark, texts), common.crc_mod(F.col("doc_id"), 10) == 0, depth).collect()}
+    brute, retained = lm_brute(texts, train, depth)
+    assert len(retained) == depth and all(retained)
+    for i, want in enumerate(brute):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == pytest.approx(want), texts[i]
         assert r["held_out"] is (not train[i])
     assert got[63]["score"] > got[63]["base_score"] + 20
+
+
+def test_suffix_tree_of_few_texts(spark):
+    one = lm.score_corpus(table(spark, ["a b " * 50]), F.lit(False)).first()
+    assert one["score"] > one["base_score"] + 20 and one["score"] == pytest.approx(lm_brute(["a b " * 50], [True], lm.DEPTH)[0][0][4])
     twice = lm.score_corpus(table(spark, ["a b"]).unionByName(table(spark, ["a b"])), F.lit(False)).collect()
     assert len(twice) == 2 and {r["n_tokens"] for r in twice} == {3}
     assert {r["score"] for r in lm.score_corpus(table(spark, ["a b", None]), F.lit(True)).collect()} == {0.0}

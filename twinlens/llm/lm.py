@@ -1,6 +1,6 @@
 """Scoring by a probabilistic suffix tree over words.
 
-A context of one or two words is a candidate if it makes up at least the share P_MIN of the training tokens, and is retained if its next-word distribution
+A context of one to DEPTH words is a candidate if it makes up at least the share P_MIN of the training tokens, and is retained if its next-word distribution
 diverges enough from its parent's (the context without its oldest word; the root is the smoothed
 distribution of single words). A retained context's distribution interpolates its counts with its parent's
 distribution, and each word is scored in the state of the longest retained suffix of what precedes it.
@@ -12,7 +12,7 @@ Counts cover all training tokens; words below the share are counted and joined b
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Least share of the training tokens and least count of a context and of an entry.
 P_MIN, LEAST = 1e-6, 2
+#: Words of the longest contexts.
+DEPTH = 3
 #: Least log-likelihood gain of a retained context for each of its entries (and one more), and weight of the parent's distribution.
 CUTOFF, PARENT_WEIGHT = 2.0, 2.0
 #: Additive smoothing of single words.
@@ -72,24 +74,29 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 @dataclass
-class SuffixTree:
-    """A fitted tree. A word's number is its rank by count, a context of two words has its place in ``pairs`` as number.
+class Level:
+    """Contexts of one length. An entry's key is its context's number and, in the lowest bits, its word's number.
 
-    ``back`` and ``back2`` hold the weight of the parent's distribution in each context of one and two words, nan where it isn't
-    retained; ``own`` and ``own2`` the weight that an entry of ``pairs`` and ``triples`` adds.
+    ``own`` is the weight that an entry adds; ``back`` the weight of the parent's distribution in each context, nan where it isn't retained;
+    ``suffix`` each context's number without its oldest word, among the contexts that are shorter by one.
     """
 
+    keys: np.ndarray
+    own: np.ndarray
+    back: np.ndarray
+    suffix: np.ndarray
+
+
+@dataclass
+class SuffixTree:
+    """A fitted tree. A word's number is its rank by count; a context of several words has its place among the next shorter one's entries as number."""
+
     words: list[bytes]
     counts: np.ndarray
     total: int
     distinct: int
     least: float
-    back: np.ndarray = field(default_factory=lambda: np.empty(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    own: np.ndarray = field(default_factory=lambda: np.empty(0))
-    back2: np.ndarray = field(default_factory=lambda: np.empty(0))
-    triples: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    own2: np.ndarray = field(default_factory=lambda: np.empty(0))
+    levels: list[Level] = field(default_factory=list)
     _number: dict[bytes, int] | None = None
 
     def __getstate__(self) -> dict:
@@ -108,35 +115,47 @@ class SuffixTree:
             self._number = {w: i for i, w in enumerate(self.words)}
         return np.fromiter(map(self._number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
-    def context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each position of whole texts one after another: the word before (an end token before a text's first), the number of
-        the pair that ends here, and of the two words before (-1 where not frequent, and for a text's first word)."""
-        end = self.numbers([END])
-        before = np.concatenate([end, ids[:-1]])
-        pair = _find(self.pairs, np.where((before < 0) | (ids < 0), -1, before << _SHIFT | ids))
-        two = np.where(before == end, -1, np.concatenate([[-1], pair[:-1]]))
-        return before, pair, two
+    def contexts(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length, at each position of whole texts one after another: the number of the context before it (before a text's first word the
+        end token alone), and the place of the entry that it makes with the word here, in the tree so far; -1 for none."""
+        end = self.numbers([END])[0]
+        before = context = np.concatenate([[end], ids[:-1]])
+        for level in [*self.levels, None]:
+            place = _find(level.keys, _keys(context, ids)) if level else np.full(len(ids), -1)
+            yield context, place
+            context = np.where(before == end, -1, np.concatenate([[-1], place[:-1]]))
+
+    def state(self, length: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Probability of each word after each context of ``length`` words."""
+        chain = [context]
+        for level in self.levels[1:length][::-1]:
+            chain.append(level.suffix[chain[-1]])
+        p = self.root()[word]
+        for level, at in zip(self.levels, chain[::-1], strict=False):
+            if len(level.keys):
+                place, back = _find(level.keys, _keys(at, word)), level.back[at]
+                p = np.where(np.isnan(back), p, np.where(place >= 0, level.own[place], 0.0) + back * p)
+        return p
 
     def log_scores(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each position's root and state probabilities; of a word below the share, log10 of what its root probability is multiplied with."""
         if not len(self.counts):
             return np.zeros(len(ids)), np.zeros(len(ids))
         root = np.where(ids >= 0, self.root()[ids], 1.0)
-        before, pair, two = self.context(ids)
         p = root.copy()
-        if len(self.back):
-            rows = np.flatnonzero((before >= 0) & ~np.isnan(self.back[before]))
-            p[rows] *= self.back[before[rows]]
-            at = pair[rows]
-            p[rows] += np.where(at >= 0, self.own[at], 0.0) if len(self.own) else 0.0
-        if len(self.back2):
-            rows = np.flatnonzero((two >= 0) & ~np.isnan(self.back2[two]))
-            p[rows] *= self.back2[two[rows]]
-            at = _find(self.triples, np.where(ids[rows] >= 0, two[rows] << _SHIFT | ids[rows], -1))
-            p[rows] += np.where(at >= 0, self.own2[at], 0.0) if len(self.own2) else 0.0
+        for level, (context, place) in zip(self.levels, self.contexts(ids), strict=False):
+            if len(level.keys):
+                rows = np.flatnonzero((context >= 0) & ~np.isnan(level.back[context]))
+                p[rows] *= level.back[context[rows]]
+                at = place[rows]
+                p[rows] += np.where(at >= 0, level.own[at], 0.0)
         return np.log10(root), np.log10(p)
 
 
+def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return np.where((context < 0) | (word < 0), -1, context << _SHIFT | word)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` in the sorted ``keys``, -1 where absent."""
     if not len(keys):
@@ -153,23 +172,68 @@ def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordBa
         yield part, list(chain.from_iterable(texts)), np.cumsum([0, *map(len, texts)])[:-1]
 
 
-def _count_keys(documents: DataFrame, tree: SuffixTree, keys: Callable[[SuffixTree, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (from ``keys``, -1 for none) with the least count or more over all of ``documents``, sorted, and their counts.
+def number_texts(documents: DataFrame, tree: SuffixTree, held_out: Column) -> DataFrame:
+    """Every text's words as numbers of the tree, a written table: row, doc_id, held_out, n_tokens, ids (32-bit numbers, the end token's last) and
+    ``rare``, its words that have none with how often they occur. Later passes read no text."""
+    shared = documents.sparkSession.sparkContext.broadcast(tree)
+    kind = dict(documents.dtypes)["doc_id"]
+    pair = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part, words, starts in _parts(batch):
+                ids = model.numbers(words)
+                ends = np.append(starts[1:], len(ids)).tolist()
+                blob, starts = ids.astype("<i4").tobytes(), starts.tolist()
+                below = np.flatnonzero(ids < 0)
+                of = (np.searchsorted(starts, below, side="right") - 1).tolist()
+                rare: list[dict[bytes, int]] = [{} for _ in starts]
+                for i, word in zip(of, map(words.__getitem__, below.tolist()), strict=True):
+                    rare[i][word] = rare[i].get(word, 0) + 1
+                columns = [
+                    *(part.column(c) for c in ("row", "doc_id", "held_out")),
+                    pa.array(np.diff([*starts, len(ids)])),
+                    pa.array([blob[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([[{"word": w, "times": n} for w, n in r.items()] for r in rare], pair),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "ids", "rare"])
+
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
+    return materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<struct<word binary, times long>>"), "lm-numbers")
+
+
+def _numbers(column: pa.Array, texts: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some texts of a column of numbers at a time: the first one's place, their numbers one after another, and where each begins."""
+    for at in range(0, len(column), texts):
+        blobs = column.slice(at, texts).to_pylist()
+        yield at, np.frombuffer(b"".join(blobs), dtype="<i4").astype(np.int64), np.cumsum([0, *(len(b) // 4 for b in blobs)])[:-1]
+
+
+def _count_entries(numbered: DataFrame, tree: SuffixTree) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the next longer contexts' entries with the least count or more over all of ``numbered``, sorted, and their counts.
 
     At most 1 / P_MIN keys have that count.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
+    shared = numbered.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [k[k >= 0] for _, words, _ in _parts(batch) if len(k := keys(model, model.numbers(words)))]
+            found = []
+            for _, ids, _ in _numbers(batch.column("ids")):
+                *shorter, (context, _) = model.contexts(ids)
+                # an entry without its oldest word is a frequent entry, too
+                keys = _keys(np.where(shorter[-1][1] < 0, -1, context) if shorter else context, ids)
+                found.append(keys[keys >= 0])
             if found:
                 own, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["key", "n"])
 
-    counted = _binary(documents).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= tree.least)
-    rows = materialize(counted, "lm-counts").toPandas().sort_values("key")
+    counted = numbered.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= tree.least)
+    table = materialize(counted, "lm-counts")
+    rows = table.toPandas().sort_values("key")
+    discard(table)
     return rows["key"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
 
 
@@ -193,91 +257,76 @@ def _retain(context: np.ndarray, n: np.ndarray, totals: np.ndarray, parent: np.n
     return back, np.where(np.repeat(retained, sizes), n / (totals[context] + PARENT_WEIGHT), 0.0)
 
 
-def _pairs(model: SuffixTree, ids: np.ndarray) -> np.ndarray:
-    before = np.concatenate([model.numbers([END]), ids[:-1]])
-    return np.where((ids < 0) | (before < 0), -1, before << _SHIFT | ids)
-
-
-def _triples(model: SuffixTree, ids: np.ndarray) -> np.ndarray:
-    _, pair, two = model.context(ids)
-    # a frequent triple's last two words are a frequent pair
-    return np.where((two < 0) | (pair < 0), -1, two << _SHIFT | ids)
-
-
-def fit(training: DataFrame, counts: DataFrame) -> SuffixTree:
-    """The tree of the texts ``training``, whose word counts (:func:`word_counts`, a written table) are ``counts``."""
+def fit_words(counts: DataFrame) -> SuffixTree:
+    """The root of the tree for the word counts ``counts`` (:func:`word_counts`, a written table)."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
     least = max(float(LEAST), P_MIN * total)
-    frequent = counts.where(F.col("c") >= least).toPandas()
+    # the end token is a context even where it is rare
+    frequent = counts.where((F.col("c") >= least) | (F.octet_length("word") == 0)).toPandas()
     frequent = frequent.assign(word=[bytes(w) for w in frequent["word"]]).sort_values(["c", "word"], ascending=[False, True])
-    tree = SuffixTree(list(frequent["word"]), frequent["c"].to_numpy(dtype=np.int64), total, distinct, least)
-    if END not in tree.words:
-        return tree
-    mask, root = (1 << _SHIFT) - 1, tree.root()
-    tree.pairs, n = _count_keys(training, tree, _pairs)
-    first, word = tree.pairs >> _SHIFT, tree.pairs & mask
-    tree.back, tree.own = _retain(first, n, tree.counts, root[word])
-    triples, m = _count_keys(training, tree, _triples)
-    pair, last = triples >> _SHIFT, triples & mask
-    # the parent of a context of two words is the state of its second word
-    second = word[pair] if len(pair) else pair
-    at = _find(tree.pairs, second << _SHIFT | last)
-    back = tree.back[second] if len(pair) else np.empty(0)
-    parent = np.where(np.isnan(back), root[last] if len(last) else back, np.where(at >= 0, tree.own[at] if len(tree.own) else 0.0, 0.0) + back * (root[last] if len(last) else back))
-    tree.back2, own2 = _retain(pair, m, n, parent)
-    tree.triples, tree.own2 = triples[own2 > 0], own2[own2 > 0]
+    return SuffixTree(list(frequent["word"]), frequent["c"].to_numpy(dtype=np.int64), total, distinct, least)
+
+
+def grow(tree: SuffixTree, training: DataFrame, depth: int = DEPTH) -> SuffixTree:
+    """``tree`` with contexts of up to ``depth`` words of the numbered texts ``training``, length by length until no entry is frequent."""
+    totals, mask = tree.counts, (1 << _SHIFT) - 1
+    for length in range(1, depth + 1):
+        if not len(totals):
+            break
+        keys, n = _count_entries(training, tree)
+        context, word = keys >> _SHIFT, keys & mask
+        if length == 1:
+            suffix, parent = np.full(len(totals), -1), tree.root()[word]
+        else:
+            longer = tree.levels[-1].keys
+            shorter = tree.levels[-1].suffix[longer >> _SHIFT]
+            suffix = longer & mask if length == 2 else _find(tree.levels[-2].keys, _keys(shorter, longer & mask))
+            parent = tree.state(length - 1, suffix[context], word)
+        back, own = _retain(context, n, totals, parent)
+        tree.levels.append(Level(keys, own, back, suffix))
+        totals = n
     return tree
 
 
-def score_documents(documents: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every whole text of ``documents``.
+def score_documents(numbered: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score of every text of ``numbered`` (:func:`number_texts`).
 
     Words of the tree are scored in the tasks; the others, at most ``1 / P_MIN``-rare each, meet
     their counts in a join on the word.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    kind = dict(documents.dtypes)["doc_id"]
-    names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
+    shared = numbered.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part, words, starts in _parts(batch):
-                ids = model.numbers(words)
-                base, state = (np.add.reduceat(x, starts).tolist() for x in model.log_scores(ids))
-                ends = np.append(starts[1:], len(ids))
-                known = np.add.reduceat((ids >= 0).astype(np.int64), starts).tolist()
-                rows = part.column("row").to_pylist()
-                # a text's own row joins under a key that no word has, one of its own
-                out: list[list] = [rows, part.column("doc_id").to_pylist(), [b" %d" % r for r in rows], [0] * len(rows), (ends - starts).tolist(), known, base, state]
-                below = np.flatnonzero(ids < 0)
-                of = (np.searchsorted(starts, below, side="right") - 1).tolist()
-                rare = Counter(zip(of, map(words.__getitem__, below.tolist()), strict=True))
-                none = [None] * len(rare)
-                for col, x in zip(out, ([rows[i] for i, _ in rare], none, [w for _, w in rare], rare.values(), none, none, none, none), strict=True):
-                    col.extend(x)
-                types = [pa.int64(), part.column("doc_id").type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    parts = rows.mapInArrow(run, f"row long, doc_id {kind}, word binary, times long, n_tokens long, n_known long, base double, score double")
-    rare = counts.where(F.col("c") < tree.least)
-    each = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(tree.denominator))
-    joined = parts.join(rare, "word", "left").select("row", "doc_id", "n_tokens", "n_known", "base", "score", F.when(F.col("times") > 0, each).alias("rest"), F.when(F.col("c").isNotNull(), F.col("times")).alias("met"))
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "rest", "met")))
-    rest = F.coalesce("rest", F.lit(0.0))
-    return sums.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score"))
+            for at, ids, starts in _numbers(batch.column("ids")):
+                base, state = (np.add.reduceat(x, starts) for x in model.log_scores(ids))
+                known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(starts)), pa.array(known), pa.array(base), pa.array(state)], ["row", "known", "base", "state"])
 
-
-def score_corpus(documents: DataFrame, held_out: Column) -> DataFrame:
+    scored = numbered.select("row", "ids").mapInArrow(run, "row long, known long, base double, state double")
+    told = numbered.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
+    each = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(tree.denominator))
+    met = told.join(counts.where(F.col("c") < tree.least), "word", "left").select("row", each.alias("base"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"))
+    # a text's parts: its own row, its scores in the tree, and its rare words'
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    kind = dict(numbered.dtypes)["doc_id"]
+    parts = numbered.select("row", "doc_id", "held_out", "n_tokens", none.alias("known"), zero.alias("base"), zero.alias("state"))
+    for part, state in ((scored, F.col("state")), (met, F.col("base"))):
+        parts = parts.unionByName(part.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), none.alias("n_tokens"), "known", "base", state.alias("state")))
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "state")))
+    return sums.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"), F.col("state").alias("score"))
+
+
+def score_corpus(documents: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``documents``.
 
     The tree is fitted on the rows for which ``held_out`` (of doc_id) is false. A null or empty text is its end token alone. Rows that
     repeat an id are scored each. Without training rows every probability is 1 and the scores are 0. Extra columns are ignored.
     """
-    training = documents.where(~held_out)
-    counts = materialize(word_counts(training), "lm-words")
-    tree = fit(training, counts)
-    scored = score_documents(documents, tree, counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    counts = materialize(word_counts(documents.where(~held_out)), "lm-words")
+    tree = fit_words(counts)
+    numbered = number_texts(documents, tree, held_out)
+    scored = score_documents(numbered, grow(tree, numbered.where("not held_out"), depth), counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
