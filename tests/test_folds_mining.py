@@ -35,6 +35,36 @@ def test_samples(pairs):
     assert len(batches) == 6 and all(r["count"] == 32 for r in batches)
 
 
+def test_large_samples_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(folds, "SORTED_ROWS", 20)
+    df = spark.range(500).selectExpr("id", "if(id % 3 = 0, 'rare', 'hot') as bucket").persist()
+    order = [r["id"] for r in df.orderBy(folds.draw(F.col("id").cast("string"), F.lit("42")), "id").collect()]
+    for k in (5, 200, 499, 600):
+        assert sorted(r["id"] for r in folds.exact_sample(df, "id", k).collect()) == sorted(order[:k])
+    whole = {r["id"]: (r["place"], r["size"]) for r in folds.ranks_in_buckets(df, "bucket", "id").collect()}
+    parts = {r["id"]: (r["place"], r["size"]) for r in folds.ranks_in_buckets(df, "bucket", "id", rows=10).collect()}
+    assert parts == whole and sorted(p for i, (p, _) in whole.items() if i % 3) == list(range(333))
+
+
+def test_nested_folds(pairs):
+    nested = folds.nested_folds(pairs.select("pair_id", "group_id"), "group_id").persist()
+    outer = folds.group_folds(pairs.select("pair_id", "group_id"), "group_id").persist()
+    for k in range(5):
+        inside = nested.where(F.col("outer") == k)
+        assert {r["pair_id"] for r in inside.select("pair_id").collect()} == {r["pair_id"] for r in outer.where(F.col("fold") != k).collect()}
+        assert inside.groupBy("group_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty() and inside.select("fold").distinct().count() <= 3
+
+
+def test_random_negatives(spark):
+    """Anchors that no bucket serves get a negative of the whole pool."""
+    rows = [(i, i, f"c{i}", int(i < 4)) for i in range(40)]
+    names = ("category_name", "subcategory_name", "param1", "param2")
+    df = spark.createDataFrame(rows, "pair_id long, base_item_id long, c string, is_double int")
+    df = df.select("pair_id", "base_item_id", "is_double", *(F.col("c").alias(f"base_{n}") for n in names), *(F.lit("none").alias(f"cand_{n}") for n in names))
+    found = mining.mine_triplets(df, 3).collect()
+    assert len(found) == 12 and {r["level"] for r in found} == {5} and all(r["neg_pair"] >= 4 for r in found)
+
+
 def test_mining(pairs):
     found = mining.mine_triplets(pairs, 2).persist()
     assert found.count() == 2 * pairs.where("is_double = 1").count()
@@ -86,6 +116,37 @@ def test_photos(spark, tmp_path):
     assert [r["image_key"] for r in photos.still_to_encode(keys, images).collect()] == ["z"]
 
 
+def test_first_root_wins(spark, tmp_path):
+    for name in ("two/a.jpg", "one/z/a.jpg", "one/y/a.jpg", "one/y/deep/b.jpg", "one/b.jpg", "two/y/c.jpg", "one/x/y/c.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "image_key string")
+    got = {r["image_key"]: r["path"].split(str(tmp_path))[1] for r in photos.locate_photos(spark, [str(tmp_path / "one"), str(tmp_path / "two")], keys).collect()}
+    assert got == {"a": "/one/y/a.jpg", "b": "/one/b.jpg", "c": "/two/y/c.jpg"}
+
+
+def test_encode_table_grows(spark, tmp_path):
+    """A second run encodes only what the first one hasn't, and a photo that couldn't be read is tried again."""
+    path = str(tmp_path / "encoded")
+    assert photos.load_encoded(spark, path) is None
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.bin").write_bytes(bytes(range(72)) if name == "a" else b"bad")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "image_key string")
+    decode = lambda c: list(c) if len(c) == 72 else None
+    encode = lambda cs: np.array([[len(c), 1.0] for c in cs])
+
+    def files():
+        read = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(str(tmp_path))
+        return read.select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("image_key"), "content")
+
+    first = photos.encode_photos(files(), keys, decode, encode)
+    assert {r["image_key"]: (r["dhash"], r["embedding"], r["found"]) for r in first.collect()} == {"a": (-1, [72.0, 1.0], True), "b": (None, None, False), "c": (None, None, False)}
+    photos.save_encoded(first, path)
+    (tmp_path / "b.bin").write_bytes(bytes(reversed(range(72))))
+    second = photos.encode_photos(files(), keys, decode, lambda cs: encode(cs) + 1, photos.load_encoded(spark, path))
+    assert {r["image_key"]: (r["dhash"], r["embedding"], r["found"]) for r in second.collect()} == {"a": (-1, [72.0, 1.0], True), "b": (0, [73.0, 2.0], True), "c": (None, None, False)}
+
+
 def test_sources_and_sinks(spark, pairs, tmp_path):
     path = str(tmp_path / "pairs")
     pairs.repartition(3).write.parquet(path)
@@ -95,5 +156,7 @@ def test_sources_and_sinks(spark, pairs, tmp_path):
     assert sides(pairs).count() == 2 * pairs.count()
     sinks.write_report({"counts": pairs.groupBy("is_double").count(), "all": pairs.agg(F.count("*").alias("n"))}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+    sinks.write_predictions(pairs.select(F.col("is_double").alias("y"), F.col("base_item_id").alias("base_id"), F.lit(0.5).alias("model_a")), str(tmp_path / "oof"))
+    assert spark.read.parquet(str(tmp_path / "oof")).columns == ["y", "base_id", "model_a"] and spark.read.parquet(str(tmp_path / "oof")).count() == pairs.count()
     sinks.write_submission(pairs.select(F.col("base_item_id").alias("base_id"), F.col("cand_item_id").alias("cand_id"), F.lit(0.5).alias("probability")), str(tmp_path / "sub"))
     assert spark.read.option("header", True).csv(str(tmp_path / "sub")).columns == ["base_id", "cand_id", "probability"]

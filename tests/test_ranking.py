@@ -53,7 +53,27 @@ def test_map(spark):
     assert ranking.mean_average_precision(df.limit(0), "g", "y", "s", "t").first()["map"] == 0
 
 
-def test_no_window_over_all_rows(spark):
-    df = spark.createDataFrame([(1, 0.5)], "y int, s double")
+def test_no_window_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ORDERED_ROWS", 50)
+    rng = np.random.default_rng(1)
+    y, s = rng.integers(0, 2, 600), rng.integers(0, 300, 600)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
     plan = ranking.score_table(df, "s", "y")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket" in plan
+    r = ranking.auc_metrics(df, "s", "y").first()
+    assert (r["pr_auc"], r["roc_auc"]) == pytest.approx(brute(y, s))
+
+
+def test_large_groups_are_ranked_in_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 else f"g{i % 7}", int(rng.integers(0, 2)), float(rng.integers(0, 50)), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, y int, s double, t int")
+    whole = {r["g"]: (r["ap"], r["n_pos"]) for r in ranking.map_by_group(df, "g", "y", "s", "t").collect()}
+    parts = {r["g"]: (r["ap"], r["n_pos"]) for r in ranking.map_by_group(df, "g", "y", "s", "t", rows=40).collect()}
+    assert parts.keys() == whole.keys() and all(parts[g] == pytest.approx(whole[g]) for g in whole)
+
+
+def test_compare_splits(spark):
+    df = spark.createDataFrame([("group", 0, 0.4), ("group", 1, 0.6), ("random", 0, 0.6), ("random", 1, 0.9)], "split string, fold int, pr_auc double")
+    got = {r["split"]: (r["pr_auc"], r["over_group"]) for r in ranking.compare_splits(df, "group").collect()}
+    assert got["group"] == (0.5, 1) and got["random"] == pytest.approx((0.75, 1.5))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -45,12 +46,30 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+#: Characters of which any sequence is in NFKC already: ASCII, Latin letters and Cyrillic without compatibility forms, common punctuation, CJK ideographs.
+_NFKC_STABLE = r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u052f\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039\u203a\u20ac\u20bd\u4e00-\u9fff"
+
+
+def to_nfkc(c: Column) -> Column:
+    """The column in NFKC; only texts that may not be in it already go through Python."""
+    return F.coalesce(nfkc(F.when(c.rlike(f"[^{_NFKC_STABLE}]"), c)), c)
+
+
 def normalize(c: Column, *, fold: bool = True, stable: bool = False) -> Column:
     """NFKC (left out if the texts are ``stable``), lower case, look-alikes folded, everything but letters and digits as single spaces."""
-    text = F.lower(blank_safe(c) if stable else nfkc(blank_safe(c)))
+    text = F.lower(blank_safe(c) if stable else to_nfkc(blank_safe(c)))
     return F.trim(F.regexp_replace(fold_confusables(text) if fold else text, r"[^\p{L}\p{N}]+", " "))
 
 
+def vocabulary(df: DataFrame, text: str, mapped: Callable[[Column], Column]) -> DataFrame:
+    """token, mapped and n: every run of letters and digits in ``text``, what ``mapped`` makes of it, and how often it occurs.
+
+    ``mapped`` is evaluated once for each distinct token, not for each occurrence.
+    """
+    words = df.select(F.explode(F.regexp_extract_all(blank_safe(F.col(text)), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0)).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n")).select("token", mapped(F.col("token")).alias("mapped"), "n")
+
+
 def tokens(norm: Column) -> Column:
     """Words of a normalised text; none for the empty one."""
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))

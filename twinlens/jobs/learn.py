@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.attributes import draw
+from ..operators.features import drop_groups
 from ..operators.folds import group_folds
 from ..operators.ranking import auc_metrics
 
@@ -25,9 +27,9 @@ def _weights(df: DataFrame, y: str) -> DataFrame:
     return df.join(one).withColumn("weight", F.when(F.col(y) == 1, F.col("_w")).otherwise(1.0)).drop("_w")
 
 
-def fit_gbt(train: DataFrame, columns: list[str], y: str = "is_double", trees: int = 20, depth: int = 4, seed: int = 42):
-    """Boosted trees with class weights; a tenth of the training rows, not the validation fold, stops the boosting."""
-    ready = _weights(_ready(train, columns), y).withColumn("_stop", F.rand(seed) < 0.1)
+def fit_gbt(train: DataFrame, columns: list[str], y: str = "is_double", trees: int = 20, depth: int = 4, seed: int = 42, key: str = "pair_id"):
+    """Boosted trees with class weights; a tenth of the training rows, by a draw of ``key``, not the validation fold, stops the boosting."""
+    ready = _weights(_ready(train, columns), y).withColumn("_stop", draw(F.col(key).cast("string"), F.lit(str(seed))) % 10 == 0)
     gbt = GBTClassifier(labelCol=y, featuresCol="_features", weightCol="weight", validationIndicatorCol="_stop", maxIter=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep"), gbt]).fit(ready)
 
@@ -65,24 +67,40 @@ def importances(models: list, columns: list[str], top: int = 20) -> DataFrame:
     return table.groupBy("feature").agg(F.avg("gain").alias("gain")).orderBy(F.desc("gain"), "feature").limit(top)
 
 
-def stack(df: DataFrame, group: str, columns: list[str], y: str = "is_double", n_splits: int = 3, seed: int = 42, out: str = "stack_sim") -> DataFrame:
-    """``df`` with a cross-fitted score of a linear model: every row is scored by a model that hasn't seen its group."""
-    folded = _ready(group_folds(df, group, n_splits, seed), columns).persist()
-    assemble = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
-    parts = None
+def _fit_linear(train: DataFrame, vector: str, y: str):
+    learner = LogisticRegression(labelCol=y, featuresCol="_features", weightCol="weight", maxIter=10, regParam=0.01)
+    return learner.fit(_weights(train.withColumn("_features", array_to_vector(vector)), y))
+
+
+def _score_linear(model, df: DataFrame, vector: str, out: str) -> DataFrame:
+    scored = model.transform(df.withColumn("_features", array_to_vector(vector)))
+    return scored.withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def stack(df: DataFrame, group: str, vector: str, others: tuple[DataFrame, ...] = (), y: str = "is_double", n_splits: int = 4, seed: int = 43, out: str = "stack_sim") -> list[DataFrame]:
+    """``df`` with a cross-fitted score ``out`` of a linear learner on the array ``vector``, then ``others`` scored by a learner of all of ``df``.
+
+    Every row of ``df`` is scored by a learner that hasn't seen its group; the others (validation and test rows) by the full one. Rows
+    without a vector score null. Give ``df`` stored: it is read once for each fold.
+    """
+    folded = group_folds(df, group, n_splits, seed)
+    fit = folded.where(F.col(vector).isNotNull())
+    parts = folded.where(F.col(vector).isNull()).drop("fold").withColumn(out, F.lit(None).cast("double"))
     for k in range(n_splits):
-        learner = LogisticRegression(labelCol=y, featuresCol="_features", weightCol="weight", maxIter=10, regParam=0.01)
-        model = Pipeline(stages=[assemble, learner]).fit(_weights(folded.where(F.col("fold") != k), y))
-        part = predict(model, folded.where(F.col("fold") == k), columns, out)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.drop("fold")
+        model = _fit_linear(fit.where(F.col("fold") != k), vector, y)
+        parts = parts.unionByName(_score_linear(model, fit.where(F.col("fold") == k), vector, out).drop("fold"))
+    if not others:
+        return [parts]
+    full = _fit_linear(fit, vector, y)
+    known = lambda d: _score_linear(full, d.where(F.col(vector).isNotNull()), vector, out)
+    return [parts, *(known(d).unionByName(d.where(F.col(vector).isNull()).withColumn(out, F.lit(None).cast("double"))) for d in others)]
 
 
 def ablation(df: DataFrame, columns: list[str], groups: dict[str, tuple[str, ...]], y: str = "is_double", fold: str = "fold", valid: int = 0, **kw) -> DataFrame:
     """name and pr_auc on fold ``valid`` without each group of columns (given by prefixes)."""
     out = None
     for name, prefixes in {"all": (), **groups}.items():
-        left = [c for c in columns if not (prefixes and c.startswith(prefixes))]
+        left = [c for c in columns if c in drop_groups(df.select(*columns), prefixes).columns] if prefixes else columns
         model = fit_gbt(df.where(F.col(fold) != valid), left, y, **kw)
         row = auc_metrics(predict(model, df.where(F.col(fold) == valid), left, "score"), "score", y).select(F.lit(name).alias("name"), F.lit(len(left)).alias("features"), "pr_auc")
         out = row if out is None else out.unionByName(row)

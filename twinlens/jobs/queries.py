@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import text as T
 from ..operators import features, folds, lookup, mining, photos, ranking
-from ..sources.pairs import LISTINGS_SQL, PAIRS_SQL, derived_pairs, read_table, sides
+from ..operators import sides as S
+from ..sources.pairs import LISTINGS_SQL, PAIRS_SQL, derived_pairs, read_table
+from ..sources.stored import materialize
 from . import learn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,13 +150,22 @@ def s_numbers() -> list[str]:
     return [f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in out.items()]
 
 
+def _feature_sql(ids: str) -> str:
+    """The row-local features beside ``ids``, from ``n3``."""
+    columns = [*s_text("title", 3, "bt", "ct"), *s_text("description", 4, "bd", "cd"), *s_params(), *s_numbers()]
+    return f"SELECT {ids}, {', '.join(columns)}, round({s_cont('bt_t', 'cd_t')}, 6) AS cross_base_title_in_cand_desc, round({s_cont('ct_t', 'bd_t')}, 6) AS cross_cand_title_in_base_desc FROM n3"
+
+
+_LOCAL = f"{NORM}, n2 AS (SELECT *, {_JSON} FROM n1), n3 AS (SELECT *, {_KEYS} FROM n2)"
+
+
 def s_draw(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
 # --- text and features ------------------------------------------------------------------------
 
-@query("build_features", f"{NORM}, n2 AS (SELECT *, {_JSON} FROM n1), n3 AS (SELECT *, {_KEYS} FROM n2) SELECT base_item_id, cand_item_id, {', '.join([*s_text('title', 3, 'bt', 'ct'), *s_text('description', 4, 'bd', 'cd'), *s_params(), *s_numbers()])}, round({s_cont('bt_t', 'cd_t')}, 6) AS cross_base_title_in_cand_desc, round({s_cont('ct_t', 'bd_t')}, 6) AS cross_cand_title_in_base_desc FROM n3")
+@query("build_features", f"{_LOCAL} {_feature_sql('base_item_id, cand_item_id')}")
 def q_features(spark, d):
     return r6(features.build_features(derived_pairs(spark, d)))
 
@@ -165,19 +176,23 @@ def q_feature_means(spark, d):
     return r6(f.groupBy("is_double").agg(F.count("*").alias("n"), F.avg("title_jaccard_tok").alias("title_jaccard_tok"), F.avg("cross_base_title_in_cand_desc").alias("cross_title_desc")))
 
 
-_INJECT = f"translate(substr(text, 1, 200), '{LOOKALIKE[0]}', '{LOOKALIKE[1]}')"
 _RUNS = r"regexp_extract_all({x}, '[\p{{L}}\p{{Nl}}\p{{No}}]+|[^\p{{L}}\p{{Nl}}\p{{No}}]+')"
-_ONLY_C = "length(regexp_replace(regexp_replace(r, '[АВСЕНКМОРТХУасеорху]', '', 'g'), '[^А-Яа-яЁё]', '', 'g')) > 0"
-_ONLY_L = "length(regexp_replace(regexp_replace(r, '[ABCEHKMOPTXYaceopxy]', '', 'g'), '[^A-Za-z]', '', 'g')) > 0"
+_ONLY_C = f"length(regexp_replace(regexp_replace(r, '[{T.PAIR_CYRILLIC}]', '', 'g'), '[^А-Яа-яЁё]', '', 'g')) > 0"
+_ONLY_L = f"length(regexp_replace(regexp_replace(r, '[{T.PAIR_LATIN}]', '', 'g'), '[^A-Za-z]', '', 'g')) > 0"
 
 
 def s_restore(x: str) -> str:
     return f"array_to_string(list_transform({_RUNS.format(x=x)}, lambda r: CASE WHEN {_ONLY_C} AND NOT {_ONLY_L} THEN translate(r, '{T.PAIR_LATIN}', '{T.PAIR_CYRILLIC}') WHEN {_ONLY_L} AND NOT {_ONLY_C} THEN translate(r, '{T.PAIR_CYRILLIC}', '{T.PAIR_LATIN}') ELSE r END), '')"
 
 
-@query("restore_homoglyphs", f"SELECT doc_id, {s_restore('t')} AS restored, {s_norm('t')} AS normalized FROM (SELECT doc_id, {_INJECT} AS t FROM documents)")
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MIXED = _LARGE.translate(str.maketrans(T.PAIR_LATIN, T.PAIR_CYRILLIC))
+
+
+@query("restore_homoglyphs", f"SELECT doc_id, {s_restore('t')} AS restored, {s_norm('t')} AS normalized FROM (SELECT doc_id, translate(translate(text, '{_SMALL}', '{_LARGE}'), '{_LARGE}', '{_MIXED}') AS t FROM documents)")
 def q_homoglyphs(spark, d):
-    t = F.translate(F.substring("text", 1, 200), *LOOKALIKE)
+    """Whole texts in capitals, with look-alikes put in."""
+    t = F.translate(F.translate("text", _SMALL, _LARGE), _LARGE, _MIXED)
     return read_table(spark, d, "documents").select("doc_id", T.restore_homoglyphs(t).alias("restored"), T.normalize(t).alias("normalized"))
 
 
@@ -187,15 +202,19 @@ def q_homoglyphs_whole(spark, d):
     return read_table(spark, d, "documents").select("doc_id", T.restore_homoglyphs(t).alias("restored"), T.normalize(t).alias("normalized"))
 
 
-@query("encoder_text", rf"{WITH} SELECT pair_id, regexp_replace({s_restore('coalesce(base_title, chr(0)[1:0])')} || '. ' || {s_restore('coalesce(substr(base_description, 1, 128), chr(0)[1:0])')}, '^\s+|\s+$', '', 'g') AS text FROM pairs".replace("chr(0)[1:0]", "''"))
+def s_encoder(side: str) -> str:
+    return rf"regexp_replace({s_restore(f"coalesce({side}_title, '')")} || '. ' || {s_restore(f"coalesce(substr({side}_description, 1, 128), '')")}, '^\s+|\s+$', '', 'g')"
+
+
+@query("encoder_text", f"{WITH} SELECT pair_id, {s_encoder('base')} AS text, {s_encoder('cand')} AS cand_text FROM pairs")
 def q_encoder_text(spark, d):
-    return derived_pairs(spark, d).select("pair_id", T.encoder_text(F.col("base_title"), F.col("base_description")).alias("text"))
+    text = lambda side: T.encoder_text(F.col(f"{side}_title"), F.col(f"{side}_description"))
+    return derived_pairs(spark, d).select("pair_id", text("base").alias("text"), text("cand").alias("cand_text"))
 
 
 @query("vocabulary", r"SELECT token, lower(token) AS mapped, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+')) AS token FROM documents) GROUP BY token")
 def q_vocabulary(spark, d):
-    words = read_table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0)).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n")).select("token", F.lower("token").alias("mapped"), "n")
+    return T.vocabulary(read_table(spark, d, "documents"), "text", F.lower)
 
 
 @query("class_counts", f"{WITH} SELECT count(*) AS n, round(avg(is_double), 6) AS positive_rate, count(DISTINCT base_description) AS base_texts, round(count(*) FILTER (WHERE is_double = 0) / greatest(count(*) FILTER (WHERE is_double = 1), 1), 6) AS weight FROM pairs")
@@ -212,19 +231,20 @@ def q_unique_texts(spark, d):
 
 @query("side_numbers", f"{WITH}, s AS (SELECT pair_id, 'base' AS side, base_price AS p, base_count_images AS i, base_title AS t, base_description AS de FROM pairs UNION ALL SELECT pair_id, 'cand', cand_price, cand_count_images, cand_title, cand_description FROM pairs), v AS (SELECT pair_id, side, ln(1 + CASE WHEN p > 0 THEN p ELSE 0 END) AS a, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END AS b, CAST(coalesce(i, 0) AS DOUBLE) AS c, ln(1 + length(coalesce(t, ''))) AS e, ln(1 + length(coalesce(de, ''))) AS f FROM s) SELECT pair_id, side, {', '.join(f'round(({x} - avg({x}) OVER ()) / (stddev_pop({x}) OVER () + 1e-6), 5) AS z_{x}' for x in 'abcef')} FROM v")
 def q_side_numbers(spark, d):
-    numbers = A.side_numbers(F.col("price"), F.col("count_images"), F.col("title"), F.col("description"))
-    s = sides(derived_pairs(spark, d)).select("pair_id", "side", numbers.alias("v"))
-    names = "abcef"
-    flat = s.select("pair_id", "side", *(F.col("v")[i].alias(x) for i, x in enumerate(names)))
-    stats = flat.agg(*(F.avg(x).alias(f"m_{x}") for x in names), *(F.stddev_pop(x).alias(f"s_{x}") for x in names))
-    joined = flat.join(F.broadcast(stats))  # one row
-    return joined.select("pair_id", "side", *(F.round((F.col(x) - F.col(f"m_{x}")) / (F.col(f"s_{x}") + 1e-6), 5).alias(f"z_{x}") for x in names))
+    numbered = S.numbered_sides(derived_pairs(spark, d))
+    scaled = S.standardise(numbered, S.statistics(numbered))
+    return scaled.select("pair_id", "side", *(F.round(c, 5).alias(f"z_{x}") for c, x in zip(S.NUMBERS, "abcef", strict=True)))
+
 
+def s_nested(side: str, m: int) -> str:
+    parts = ", ".join(f"length(coalesce({side}_{c}, '')), ':', coalesce({side}_{c}, '')" for c in features.CATEGORIES[:m])
+    return f"md5(concat({parts}))"
 
-@query("nested_keys", f"{WITH} SELECT k.category, count(*) AS n, count(DISTINCT k.param2) AS narrow FROM (SELECT struct_pack(category := md5(concat(length(coalesce(base_category_name, '')), ':', coalesce(base_category_name, ''))), param2 := md5(concat({', '.join(f'length(coalesce(base_{c}, chr(0)[1:0])), chr(58), coalesce(base_{c}, chr(0)[1:0])' for c in features.CATEGORIES)}))) AS k FROM pairs) GROUP BY k.category".replace("chr(0)[1:0]", "''").replace("chr(58)", "':'"))
+
+@query("nested_keys", f"{WITH} SELECT side, category, count(*) AS n, count(DISTINCT narrow) AS narrow FROM (SELECT 'base' AS side, {s_nested('base', 1)} AS category, {s_nested('base', 4)} AS narrow FROM pairs UNION ALL SELECT 'cand', {s_nested('cand', 1)}, {s_nested('cand', 4)} FROM pairs) GROUP BY side, category")
 def q_nested_keys(spark, d):
-    k = A.nested_keys(*(F.col(f"base_{c}") for c in features.CATEGORIES))
-    return derived_pairs(spark, d).select(k["category"].alias("category"), k["param2"].alias("p")).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("p").alias("narrow"))
+    k = A.nested_keys(*(F.col(c) for c in features.CATEGORIES))
+    return S.sides(derived_pairs(spark, d)).select("side", k["category"].alias("category"), k["param2"].alias("p")).groupBy("side", "category").agg(F.count("*").alias("n"), F.countDistinct("p").alias("narrow"))
 
 
 # --- lookups ----------------------------------------------------------------------------------
@@ -242,12 +262,42 @@ def q_embedding_features(spark, d):
 _IMAGES = "images AS (SELECT image_key, dhash, embedding, dhash % 9 <> 0 AS found FROM (SELECT image_key, CAST('0x' || substr(md5(image_key), 1, 15) AS BIGINT) AS dhash FROM (SELECT DISTINCT k AS image_key FROM (SELECT base_title_image AS k FROM pairs UNION ALL SELECT cand_title_image FROM pairs) WHERE k IS NOT NULL AND k <> '')) h LEFT JOIN embeddings v ON v.vec_id = h.dhash % (SELECT count(*) FROM embeddings))"
 
 
-@query("photo_features", f"{WITH}, {_IMAGES}, m AS (SELECT pair_id, base_title_image AS bk, cand_title_image AS ck, b.dhash AS bh, c.dhash AS ch, b.embedding AS be, c.embedding AS ce FROM pairs LEFT JOIN images b ON b.image_key = base_title_image AND b.found LEFT JOIN images c ON c.image_key = cand_title_image AND c.found) SELECT pair_id, round(coalesce(bit_count(xor(bh, ch)) / 64.0, 0.0), 5) AS image_dhash_distance, coalesce(CAST(bh = ch AS INT), 0) AS image_dhash_equal, CAST(bh IS NOT NULL AND ch IS NOT NULL AS INT) AS image_hash_pair_known, round(CASE WHEN be IS NOT NULL AND ce IS NOT NULL THEN least(greatest({_COS}, -1.0), 1.0) ELSE 0.0 END, 5) AS image_cosine, CAST(be IS NOT NULL AND ce IS NOT NULL AS INT) AS image_embedding_pair_known, CAST(coalesce(bk, '') = '' OR coalesce(ck, '') = '' AS INT) AS image_missing FROM m")
+_PHOTO = """SELECT pair_id, round(coalesce(bit_count(xor(bh, ch)) / 64.0, 0.0), 5) AS image_dhash_distance, coalesce(CAST(bh = ch AS INT), 0) AS image_dhash_equal,
+  CAST(bh IS NOT NULL AND ch IS NOT NULL AS INT) AS image_hash_pair_known, round(CASE WHEN be IS NOT NULL AND ce IS NOT NULL THEN least(greatest(""" + _COS + """, -1.0), 1.0) ELSE 0.0 END, 5) AS image_cosine,
+  CAST(be IS NOT NULL AND ce IS NOT NULL AS INT) AS image_embedding_pair_known, CAST(coalesce(bk, '') = '' OR coalesce(ck, '') = '' AS INT) AS image_missing
+FROM (SELECT pair_id, base_title_image AS bk, cand_title_image AS ck, b.dhash AS bh, c.dhash AS ch, b.embedding AS be, c.embedding AS ce
+  FROM pairs LEFT JOIN images b ON b.image_key = base_title_image AND b.found LEFT JOIN images c ON c.image_key = cand_title_image AND c.found)"""
+
+
+@query("photo_features", f"{WITH}, {_IMAGES} {_PHOTO}")
 def q_photo_features(spark, d):
     f = photos.photo_pair_features(derived_pairs(spark, d), images(spark, d), "base_title_image", "cand_title_image", ("pair_id",))
     return f.withColumns({c: F.round(c, 5) for c in ("image_dhash_distance", "image_cosine")})
 
 
+@query("pair_features", f"{_LOCAL}, {_IMAGES}, local AS ({_feature_sql('pair_id')}), e AS (SELECT pair_id, {_UNIT.format(e='b.embedding')} AS be, {_UNIT.format(e='c.embedding')} AS ce FROM pairs LEFT JOIN embeddings b ON b.vec_id = base_vec_id LEFT JOIN embeddings c ON c.vec_id = cand_vec_id), "
+    "v AS (SELECT pair_id, list_dot_product(be, ce) AS cosine, list_transform(range(1, len(be) + 1), lambda i: abs(be[i] - ce[i])) AS df FROM e), "
+    "emb AS (SELECT pair_id, round(cosine, 6) AS emb_cosine, round(sqrt(list_dot_product(df, df)), 6) AS emb_l2, round(list_avg(df), 6) AS emb_diff_mean, round(list_max(df), 6) AS emb_diff_max, round(list_stddev_pop(df), 6) AS emb_diff_std FROM v), "
+    f"photo AS ({_PHOTO.replace(', 5)', ', 6)')}) SELECT * FROM local JOIN emb USING (pair_id) JOIN photo USING (pair_id)")
+def q_pair_features(spark, d):
+    """All 58 features in one table."""
+    return r6(features.build_all_features(derived_pairs(spark, d), read_table(spark, d, "embeddings").select("vec_id", "embedding"), images(spark, d)))
+
+
+@query("side_vectors", f"{WITH}, s AS (SELECT pair_id, 'base' AS side, base_vec_id AS vec_id, base_price AS p, base_count_images AS i, base_title AS t, base_description AS de FROM pairs UNION ALL SELECT pair_id, 'cand', cand_vec_id, cand_price, cand_count_images, cand_title, cand_description FROM pairs), "
+    "v AS (SELECT pair_id, side, vec_id, ln(1 + CASE WHEN p > 0 THEN p ELSE 0 END) AS a, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END AS b, CAST(coalesce(i, 0) AS DOUBLE) AS c, ln(1 + length(coalesce(t, ''))) AS e, ln(1 + length(coalesce(de, ''))) AS f FROM s), "
+    "m AS (SELECT " + ", ".join(f"avg({x}) AS m{x}, stddev_pop({x}) + 1e-6 AS s{x}" for x in "abcef") + " FROM v WHERE pair_id % 5 <> 0) "
+    "SELECT pair_id, side, len(g.embedding) + 5 AS size, round(g.embedding[1]::DOUBLE, 5) AS first, round(g.embedding[len(g.embedding)]::DOUBLE, 5) AS last_embedded, " + ", ".join(f"round(({x} - m{x}) / s{x}, 5) AS z_{x}" for x in "abcef") + " FROM v CROSS JOIN m JOIN embeddings g USING (vec_id)")
+def q_side_vectors(spark, d):
+    """Vectors of all sides, standardised by the sides of four fifths of the pairs."""
+    pairs = derived_pairs(spark, d)
+    stats = S.statistics(S.numbered_sides(pairs.where("pair_id % 5 <> 0")))
+    v = S.side_vectors(pairs, read_table(spark, d, "embeddings"), stats).where("vector is not null").withColumn("size", F.size("vector"))
+    at = lambda i: F.round(F.get("vector", i), 5)
+    tail = [at(F.col("size") - 5 + k).alias(f"z_{x}") for k, x in enumerate("abcef")]
+    return v.select("pair_id", "side", F.col("size").cast("long").alias("size"), at(F.lit(0)).alias("first"), at(F.col("size") - 6).alias("last_embedded"), *tail)
+
+
 @query("photo_signal", f"{WITH}, {_IMAGES} SELECT is_double, count(*) AS n, round(avg(CAST(b.dhash IS NOT NULL AND c.dhash IS NOT NULL AS INT)), 6) AS known_share, round(avg(bit_count(xor(b.dhash, c.dhash)) / 64.0), 6) AS distance FROM pairs LEFT JOIN images b ON b.image_key = base_title_image AND b.found LEFT JOIN images c ON c.image_key = cand_title_image AND c.found GROUP BY is_double")
 def q_photo_signal(spark, d):
     f = photos.photo_pair_features(derived_pairs(spark, d), images(spark, d), "base_title_image", "cand_title_image", ("pair_id", "is_double"))
@@ -278,10 +328,11 @@ def q_photo_hashes(spark, d):
 
 @query("tower_scores")
 def q_tower(spark, d):
+    """A given tower over both sides' vectors of embedding and numbers."""
     rng = np.random.default_rng(3)
-    weights = (rng.normal(size=(64, 32)), np.zeros(32), rng.normal(size=(32, 16)), np.zeros(16))
-    encoded = lookup.apply_tower(read_table(spark, d, "embeddings"), "vec_id", "embedding", weights)
-    return lookup.tower_score(derived_pairs(spark, d), encoded, "vec_id", "base_vec_id", "cand_vec_id", ("pair_id",))
+    weights = (rng.normal(size=(69, 32)), np.zeros(32), rng.normal(size=(32, 16)), np.zeros(16))
+    both = S.pair_vectors(S.side_vectors(derived_pairs(spark, d), read_table(spark, d, "embeddings")))
+    return lookup.tower_pairs(both, "base", "cand", weights, ("pair_id",))
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -345,13 +396,6 @@ def q_best(spark, d):
     return r6(ranking.best_weight(_sweep(spark, d)))
 
 
-@query("split_comparison", f"{SCORED} SELECT fold % 2 AS split, round(avg(score_a), 6) AS mean_score, round(max(avg(score_a)) OVER () / avg(score_a), 6) AS over FROM scored GROUP BY fold % 2")
-def q_split(spark, d):
-    g = scored(spark, d).groupBy((F.col("fold") % 2).alias("split")).agg(F.avg("score_a").alias("mean_score"))
-    most = F.broadcast(g.agg(F.max("mean_score").alias("most")))  # one row
-    return r6(g.join(most).select("split", "mean_score", (F.col("most") / F.col("mean_score")).alias("over")))
-
-
 # --- folds, samples, mining -------------------------------------------------------------------
 
 _FOLDED = f"{WITH}, folded AS (SELECT *, CAST({s_draw('group_id', chr(39) + '42' + chr(39))} % 5 AS INTEGER) AS fold FROM pairs)"
@@ -400,10 +444,9 @@ def q_batches(spark, d):
 
 
 def s_mining(n_negatives: int, seed: int) -> str:
-    nested = lambda s, m: "md5(concat(" + ", ".join(f"length(coalesce({s}_{c}, '')), ':', coalesce({s}_{c}, '')" for c in features.CATEGORIES[:m]) + "))"
-    keys = lambda s: ["CAST(base_item_id AS VARCHAR)", *(nested(s, m) for m in (4, 3, 2, 1)), "'all'"]
-    salt = f"{s_draw('CAST(pair_id AS VARCHAR)')} % 32"
-    pool = ", ".join(f"p{i} AS (SELECT pair_id AS neg_pair, {k} AS bucket, row_number() OVER (PARTITION BY {k} ORDER BY {salt}, pair_id) - 1 AS place, count(*) OVER (PARTITION BY {k}) AS size FROM pairs WHERE is_double = 0), z{i} AS (SELECT DISTINCT bucket, size FROM p{i})" for i, k in enumerate(keys("cand")))
+    keys = lambda s: ["CAST(base_item_id AS VARCHAR)", *(s_nested(s, m) for m in (4, 3, 2, 1)), "'all'"]
+    order = s_draw("CAST(pair_id AS VARCHAR)")
+    pool = ", ".join(f"p{i} AS (SELECT pair_id AS neg_pair, {k} AS bucket, row_number() OVER (PARTITION BY {k} ORDER BY {order}, pair_id) - 1 AS place, count(*) OVER (PARTITION BY {k}) AS size FROM pairs WHERE is_double = 0), z{i} AS (SELECT DISTINCT bucket, size FROM p{i})" for i, k in enumerate(keys("cand")))
     asked = f"q AS (SELECT pair_id AS anchor_pair, draw, {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys('base')))} FROM pairs, (SELECT CAST(unnest(range({n_negatives})) AS INTEGER) AS draw) WHERE is_double = 1)"
     places = "a AS (SELECT q.*, " + ", ".join(f"z{i}.size AS n{i}" for i in range(6)) + " FROM q " + " ".join(f"LEFT JOIN z{i} ON z{i}.bucket = k{i}" for i in range(6)) + ")"
     level = "CASE " + " ".join(f"WHEN n{i} IS NOT NULL THEN {i}" for i in range(6)) + " END"
@@ -432,13 +475,44 @@ def q_losses(spark, d):
     return out.select(*(F.round(c, 5).alias(c) for c in out.columns))
 
 
+def _cosines(spark, d) -> DataFrame:
+    """The derived pairs' keys with the cosine of both sides' vectors, a score that learns nothing."""
+    f = lookup.embedding_pair_features(derived_pairs(spark, d), read_table(spark, d, "embeddings"), "vec_id", "base_vec_id", "cand_vec_id", ("pair_id", "group_id", "is_double"))
+    return f.where("emb_cosine is not null").select("pair_id", "group_id", "is_double", F.round("emb_cosine", 6).alias("s"))
+
+
+@query("split_comparison", f"{_FOLDED}, c AS (SELECT pair_id, is_double AS y, fold, round(list_dot_product({_UNIT.format(e='b.embedding')}, {_UNIT.format(e='c.embedding')}), 6) AS s FROM folded JOIN embeddings b ON b.vec_id = base_vec_id JOIN embeddings c ON c.vec_id = cand_vec_id), "
+    f"t AS (SELECT 'group' AS split, fold, s, y FROM c UNION ALL SELECT 'random', CAST({s_draw('CAST(pair_id AS VARCHAR)', 'CAST(y AS VARCHAR)', chr(39) + '42' + chr(39))} % 5 AS INTEGER), s, y FROM c)"
+    f"{_AUC.format(k='split, fold,', q='split, fold').replace(', g AS', ', gg AS').replace('FROM g)', 'FROM gg)').replace(', c AS (SELECT split', ', cc AS (SELECT split').replace(chr(10) + 'c AS', chr(10) + 'cc AS')}, "
+    "a AS (SELECT split, fold, CASE WHEN max(pa) > 0 AND max(na) > max(pa) THEN sum(p * ((pa - pb) / (na - nb))) / max(pa) END AS pr_auc FROM cc GROUP BY split, fold) "
+    "SELECT split, round(avg(pr_auc), 6) AS pr_auc, round(avg(pr_auc) / (SELECT avg(pr_auc) FROM a WHERE split = 'group'), 6) AS over_group FROM a GROUP BY split")
+def q_split(spark, d):
+    """The mean score of a metric over group folds and over random folds, and how far the latter overstate it."""
+    c = materialize(_cosines(spark, d), "cosines")
+    group = folds.group_folds(c, "group_id", head=0).select(F.lit("group").alias("split"), "fold", "s", "is_double")
+    random = folds.stratified_folds(c, "pair_id", "is_double").select(F.lit("random").alias("split"), "fold", "s", "is_double")
+    return r6(ranking.compare_splits(ranking.auc_metrics(group.unionByName(random), "s", "is_double", ("split", "fold")), "group"))
+
+
+@query("triplet_losses", f"{s_mining(1, 42)}, t AS (SELECT {_UNIT.format(e='a.embedding')} AS a, {_UNIT.format(e='p.embedding')} AS p, {_UNIT.format(e='n.embedding')} AS n FROM got JOIN pairs x ON x.pair_id = anchor_pair JOIN pairs y ON y.pair_id = neg_pair "
+    "JOIN embeddings a ON a.vec_id = x.base_vec_id JOIN embeddings p ON p.vec_id = x.cand_vec_id JOIN embeddings n ON n.vec_id = y.cand_vec_id), "
+    "f AS (SELECT sqrt(greatest(2 - 2 * list_dot_product(a, p), 0)) AS dp, sqrt(greatest(2 - 2 * list_dot_product(a, n), 0)) AS dn FROM t) "
+    "SELECT count(*) AS triplets, round(avg(greatest(dp - dn + 0.3, 0)), 5) AS triplet FROM f")
+def q_triplet_losses(spark, d):
+    """The triplet loss over mined triplets."""
+    pairs = derived_pairs(spark, d)
+    met = mining.triplet_vectors(mining.mine_triplets(pairs, 1, 42), pairs, read_table(spark, d, "embeddings"), "vec_id", "base_vec_id", "cand_vec_id")
+    away = lambda side: lookup.vector_features(F.col("anchor"), F.col(side))["l2"]
+    f = met.select(away("positive").alias("dp"), away("negative").alias("dn"))
+    return f.agg(F.count("*").alias("triplets"), F.round(mining.triplet_loss(F.col("dp"), F.col("dn")), 5).alias("triplet"))
+
+
 # --- learning ---------------------------------------------------------------------------------
 
 def _learnable(spark, d, n_splits: int = 3) -> tuple[DataFrame, list[str]]:
     keep = ("pair_id", "base_item_id", "group_id", "is_double")
     f = features.build_features(derived_pairs(spark, d), keep)
-    folded = folds.group_folds(f, "group_id", n_splits).persist()
-    return folded, [c for c in f.columns if c not in keep]
+    return materialize(folds.group_folds(f, "group_id", n_splits), "learnable"), [c for c in f.columns if c not in keep]
 
 
 @query("out_of_fold_scores")
@@ -450,8 +524,15 @@ def q_oof(spark, d):
 
 @query("stacked_score")
 def q_stack(spark, d):
-    df, columns = _learnable(spark, d)
-    return learn.stack(df.drop("fold"), "group_id", columns[:18]).select("pair_id", "is_double", "stack_sim")
+    """Cross-fitted scores on the absolute difference of the sides' vectors; a fifth of the groups is held out and scored by the full learner."""
+    pairs = derived_pairs(spark, d)
+    split = folds.group_folds(pairs.select("pair_id", "group_id", "is_double"), "group_id")
+    stats = S.statistics(S.numbered_sides(pairs.join(split.where("fold <> 0").select("pair_id"), "pair_id", "left_semi")))
+    both = S.pair_vectors(S.side_vectors(pairs, read_table(spark, d, "embeddings"), stats))
+    met = materialize(split.join(both.select("pair_id", S.absolute_difference(F.col("base"), F.col("cand")).alias("difference")), "pair_id"), "stacked")
+    train, held = learn.stack(met.where("fold <> 0").drop("fold"), "group_id", "difference", (met.where("fold = 0").drop("fold"),))
+    columns = ["pair_id", "is_double", "stack_sim"]
+    return train.select(*columns, F.lit(False).alias("held_out")).unionByName(held.select(*columns, F.lit(True).alias("held_out")))
 
 
 @query("ablation")

@@ -1,4 +1,4 @@
-"""Similarity features of listing pairs: one projection, no shuffle."""
+"""Similarity features of listing pairs: one projection without a shuffle, and lookups joined to it by pair."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as A
 from ..functions import text as T
+from .lookup import embedding_pair_features
+from .photos import photo_pair_features
 
 #: Text fields: n of the character n-grams, and raw characters that are looked at.
 TEXT_FIELDS = {"title": (3, None), "description": (4, 512)}
@@ -94,6 +96,19 @@ def build_features(pairs: DataFrame, keep: tuple[str, ...] = ("base_item_id", "c
     return df.select(*keep, *(c.cast("double").alias(k) for k, c in out.items()))
 
 
+def build_all_features(pairs: DataFrame, vectors: DataFrame, images: DataFrame, keep: tuple[str, ...] = ("pair_id",), *, key: str = "vec_id", stable: bool = False) -> DataFrame:
+    """All 58 features of ``pairs`` in one row each: the row-local ones, those of the sides' ``vectors`` (``key``, embedding) and of their photos in
+    ``images`` (image_key, dhash, embedding, found).
+
+    The lookups run over narrow columns; their blocks are joined to the row-local one by pair_id, so no text is shuffled more than once.
+    """
+    keep = tuple(dict.fromkeys(("pair_id", *keep)))
+    local = build_features(pairs, keep, stable=stable)
+    embedded = embedding_pair_features(pairs, vectors, key, f"base_{key}", f"cand_{key}", ("pair_id",))
+    photos = photo_pair_features(pairs, images, "base_title_image", "cand_title_image", ("pair_id",))
+    return local.join(embedded, "pair_id").join(photos, "pair_id")
+
+
 def drop_groups(features: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """Without the columns that start with one of ``prefixes``."""
     return features.select(*(c for c in features.columns if not c.startswith(prefixes)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import draw
+from ..sources.stored import materialize
 
 #: Largest groups that are placed one by one; the rest are dealt by hash.
 HEAD = 10_000
@@ -73,9 +74,29 @@ def leakage_between(train: DataFrame, valid: DataFrame, ids: tuple[str, ...] = (
     return out.select((F.col("n_leaked_items") / F.greatest("n_valid_items", F.lit(1))).alias("overlap_ratio"), "n_valid_items", "n_leaked_items")
 
 
+#: Rows that are sorted in one place at most for a sample.
+SORTED_ROWS = 100_000
+_DRAW_BITS = 60
+
+
 def exact_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows without replacement, the same in every run."""
-    return df.orderBy(draw(F.col(key).cast("string"), F.lit(str(seed))), key).limit(k)
+    """``k`` rows without replacement, the same in every run: those of the smallest draws.
+
+    A large sample is found by the draws' highest 16 bits, of which the counts are collected: whole ranges of draws, and the first rows of one more.
+    """
+    value = draw(F.col(key).cast("string"), F.lit(str(seed)))
+    rest, taken = df, None
+    if k > SORTED_ROWS:
+        high = F.shiftright(value, _DRAW_BITS - 16)
+        cut = 0
+        # 2 ** 16 rows at most
+        for row in sorted(df.groupBy(high.alias("high")).agg(F.count("*").alias("n")).collect()):
+            if row["n"] > k:
+                break
+            cut, k = row["high"] + 1, k - row["n"]
+        taken, rest = df.where(high < cut), df.where(high == cut)
+    rest = rest.orderBy(value, key).limit(k)
+    return rest if taken is None else taken.unionByName(rest)
 
 
 def subsample_negatives(df: DataFrame, key: str, y: str, ratio: int | None, seed: int = 42) -> DataFrame:
@@ -92,19 +113,30 @@ def class_weight(df: DataFrame, y: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg((neg / F.greatest(pos, F.lit(1))).alias("weight"))
 
 
-def ranks_in_buckets(pool: DataFrame, bucket: str, key: str, salts: int = 32) -> DataFrame:
-    """``pool`` with ``place`` from 0 and ``size`` within its bucket; the order is by salt (a hash of ``key``), then ``key``.
+#: Rows of a bucket that are ranked together, on average at most.
+RANKED_ROWS = 200_000
+
+
+def ranks_in_buckets(pool: DataFrame, bucket: str, key: str, rows: int = RANKED_ROWS) -> DataFrame:
+    """``pool`` (a stored table) with ``place`` from 0 and ``size`` within its bucket; the order is by a draw of ``key``, then ``key``.
 
-    A bucket is ranked in ``salts`` parts, so that one which holds most rows is no single group.
+    If a bucket is larger than ``rows``, buckets are ranked in parts by the draws' highest bits and the parts' counts added up, so that one which holds
+    most rows is no single group.
     """
-    salted = pool.withColumn("_salt", (draw(F.col(key).cast("string")) % salts).cast("int"))
-    counts = salted.groupBy(bucket, "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(bucket).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.select(F.col(bucket).alias("_b"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(bucket)).alias("size"))
-    within = Window.partitionBy(bucket, "_salt").orderBy(key)
-    ranked = salted.withColumn("_in", F.row_number().over(within) - 1)
-    joined = ranked.join(sums, ranked[bucket].eqNullSafe(F.col("_b")) & (F.col("_salt") == F.col("_s")))
-    return joined.withColumn("place", F.col("_in") + F.col("_before")).drop("_salt", "_n", "_b", "_s", "_before", "_in")
+    drawn = pool.withColumn("_draw", draw(F.col(key).cast("string")))
+    largest = pool.groupBy(bucket).count().agg(F.max("count")).first()[0] or 0
+    bits = max(-(-largest // rows) - 1, 0).bit_length()
+    if not bits:
+        order = Window.partitionBy(bucket).orderBy("_draw", key)
+        ranked = drawn.withColumns({"place": (F.row_number().over(order) - 1).cast("long"), "size": F.count("*").over(Window.partitionBy(bucket))})
+        return ranked.drop("_draw")
+    parted = drawn.withColumn("_part", F.shiftright("_draw", _DRAW_BITS - bits))
+    counts = parted.groupBy(bucket, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(bucket).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(F.col(bucket).alias("_b"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(bucket)).alias("size"))
+    ranked = parted.withColumn("_in", F.row_number().over(Window.partitionBy(bucket, "_part").orderBy("_draw", key)) - 1)
+    joined = ranked.join(sums, ranked[bucket].eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("place", F.col("_in") + F.col("_before")).drop("_draw", "_part", "_b", "_p", "_before", "_in")
 
 
 def balanced_batches(df: DataFrame, key: str, y: str, batches: int, batch_size: int, seed: int = 42) -> DataFrame:
@@ -112,7 +144,8 @@ def balanced_batches(df: DataFrame, key: str, y: str, batches: int, batch_size:
     half = batch_size // 2
     slots = df.sparkSession.range(batches * batch_size).select((F.col("id") / batch_size).cast("int").alias("batch"), (F.col("id") % batch_size).cast("int").alias("slot"))
     slots = slots.withColumn("bucket", (F.col("slot") < half).cast("int"))
-    ranked = ranks_in_buckets(df.where(F.col(y).isin(0, 1)).select(F.col(key).alias("key"), F.col(y).cast("int").alias("bucket")), "bucket", "key")
+    pool = materialize(df.where(F.col(y).isin(0, 1)).select(F.col(key).alias("key"), F.col(y).cast("int").alias("bucket")), "batch-pool")
+    ranked = ranks_in_buckets(pool, "bucket", "key")
     sizes = F.broadcast(ranked.groupBy("bucket").agg(F.max("size").alias("n")))  # two rows
     wanted = slots.join(sizes, "bucket").withColumn("place", draw(F.lit(str(seed)), F.col("batch").cast("string"), F.col("slot").cast("string")) % F.col("n"))
     return wanted.join(ranked.select("bucket", "place", "key"), ["bucket", "place"]).select("batch", "slot", F.col("bucket").alias("y"), F.col("key").alias(key))

@@ -79,22 +79,44 @@ def encode_unique(texts: DataFrame, encode: Callable[[list[str]], np.ndarray] =
     return texts.select("text_key", "text").mapInArrow(run, "text_key string, embedding array<float>")
 
 
-def apply_tower(sides: DataFrame, key: str, vector: str, weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """``key`` and ``encoded``: a given two-layer network with unit output, over distinct sides. The weights' size is fixed."""
+Weights = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def tower(vector: Column, weights: Weights) -> Column:
+    """A given two-layer network with unit output, of arrays; null for null. The weights' size is fixed."""
     w1, b1, w2, b2 = weights
 
     @F.arrow_udf("array<double>")
     def encode(x: pa.Array) -> pa.Array:
-        v = np.asarray(x.flatten(), dtype=np.float64).reshape(len(x), -1)
-        z = np.maximum(v @ w1 + b1, 0) @ w2 + b2
+        rows = np.flatnonzero(np.asarray(x.is_valid()))
+        v = np.asarray(x.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), -1)
+        z = np.maximum(v @ w1 + b1, 0) @ w2 + b2 if len(rows) else np.zeros((0, len(b2)))
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-8)
-        return pa.ListArray.from_arrays(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32), pa.array(z.ravel()))
+        out: list = [None] * len(x)
+        for i, one in zip(rows.tolist(), z, strict=True):
+            out[i] = one
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return encode(vector)
+
+
+def apply_tower(sides: DataFrame, key: str, vector: str, weights: Weights) -> DataFrame:
+    """``key`` and ``encoded`` of distinct sides by :func:`tower`."""
+    return sides.where(F.col(vector).isNotNull()).select(key, vector).dropDuplicates([key]).select(key, tower(F.col(vector), weights).alias("encoded"))
+
+
+def _tower_sim(a: Column, b: Column) -> Column:
+    square = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return 1 / (1 + F.sqrt(square + 1e-12))
+
 
-    return sides.where(F.col(vector).isNotNull()).select(key, vector).dropDuplicates([key]).select(key, encode(vector).alias("encoded"))
+def tower_pairs(pairs: DataFrame, base: str, cand: str, weights: Weights, keep: tuple[str, ...]) -> DataFrame:
+    """1 / (1 + distance) of the encodings of the ``base`` and ``cand`` vectors in each row; null where either is null."""
+    met = pairs.select(*keep, tower(F.col(base), weights).alias("_b"), tower(F.col(cand), weights).alias("_c"))
+    return met.select(*keep, _tower_sim(F.col("_b"), F.col("_c")).alias("tower_sim"))
 
 
 def tower_score(pairs: DataFrame, encoded: DataFrame, key: str, base: str, cand: str, keep: tuple[str, ...]) -> DataFrame:
     """1 / (1 + distance) of both sides' encodings."""
     met = lookup_both(pairs.select(*dict.fromkeys([*keep, base, cand])), encoded, key, base, cand, ("encoded",))
-    square = F.aggregate(F.zip_with("base_encoded", "cand_encoded", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return met.select(*keep, (1 / (1 + F.sqrt(square + 1e-12))).alias("tower_sim"))
+    return met.select(*keep, _tower_sim(F.col("base_encoded"), F.col("cand_encoded")).alias("tower_sim"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import hamming
+from ..sources.stored import exists
 from .lookup import dot, lookup_both
 
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
@@ -21,10 +24,30 @@ def photo_keys(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def locate_photos(spark: SparkSession, roots: list[str], keys: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """image_key and path of the wanted keys' files under ``roots`` and their folders; the first path of a key counts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path")
-    found = files.select("path", F.regexp_extract("path", r"([^/]+)\.([^./]+)$", 1).alias("image_key"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
-    return found.where(F.col("suffix").isin(*suffixes)).join(keys.select("image_key"), "image_key", "left_semi").groupBy("image_key").agg(F.min("path").alias("path"))
+    """image_key and path of the wanted keys' files in ``roots`` and their folders, not in folders of those.
+
+    Of several files with one key that of the first root counts, in a root that of the root itself, then of the first folder by name.
+    """
+    parts = []
+    for i, root in enumerate(roots):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+        # what follows the root's own name: the place of its last part in the path
+        inner = F.regexp_extract("path", rf"(?:^|/){re.escape(root.rstrip('/').split('/')[-1])}/(.*)$", 1)
+        parts.append(files.select("path", F.lit(i).alias("root"), F.size(F.split(inner, "/")).alias("depth")))
+    files = reduce(DataFrame.unionByName, parts).where("depth <= 2")
+    found = files.select("*", F.regexp_extract("path", r"([^/]+)\.([^./]+)$", 1).alias("image_key"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
+    wanted = found.where(F.col("suffix").isin(*suffixes)).join(keys.select("image_key"), "image_key", "left_semi")
+    return wanted.groupBy("image_key").agg(F.min(F.struct("root", "depth", "path")).alias("first")).select("image_key", "first.path")
+
+
+def save_encoded(table: DataFrame, path: str) -> None:
+    """Keep an encode table (image_key, dhash, embedding, found) for a later run."""
+    table.write.mode("overwrite").parquet(path)
+
+
+def load_encoded(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that :func:`save_encoded` kept; None where there is none."""
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def location_stats(located: DataFrame) -> DataFrame:
@@ -53,17 +76,19 @@ def still_to_encode(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.join(cache.where("found").select("image_key"), "image_key", "left_anti")
 
 
+def _grid(decode: Callable[[bytes], list[int] | None], content: bytes | None) -> list[int] | None:
+    try:
+        return decode(content)
+    except (ValueError, OSError):
+        return None  # an unreadable file is a photo that isn't found
+
+
 def hash_photos(files: DataFrame, decode: Callable[[bytes], list[int] | None]) -> DataFrame:
     """image_key, dhash and found of ``files`` (image_key, content); ``decode`` gives 72 grey values, or None for what it can't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grids = []
-            for content in batch.column("content"):
-                try:
-                    grids.append(decode(content.as_py()))
-                except (ValueError, OSError):
-                    grids.append(None)  # an unreadable file is a photo that isn't found
+            grids = [_grid(decode, content.as_py()) for content in batch.column("content")]
             yield pa.RecordBatch.from_arrays([batch.column("image_key"), pa.array(grids, pa.list_(pa.int32()))], ["image_key", "grid"])
 
     grids = files.select("image_key", "content").mapInArrow(run, "image_key string, grid array<int>")
@@ -71,6 +96,29 @@ def hash_photos(files: DataFrame, decode: Callable[[bytes], list[int] | None]) -
     return hashed.withColumn("found", F.col("dhash").isNotNull())
 
 
+def encode_photos(files: DataFrame, keys: DataFrame, decode: Callable[[bytes], list[int] | None], encode: Callable[[list[bytes]], np.ndarray], known: DataFrame | None = None) -> DataFrame:
+    """image_key, dhash, embedding and found of all ``keys``: usable rows of ``known`` as they are, the others from ``files`` (image_key, content).
+
+    ``encode`` gives one vector for each readable photo; a key without a readable file isn't found. A batch's photos are encoded together.
+    """
+    todo = keys.select("image_key") if known is None else still_to_encode(keys.select("image_key"), known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column("content").to_pylist()
+            grids = [_grid(decode, c) for c in contents]
+            readable = [i for i, g in enumerate(grids) if g is not None]
+            vectors: list = [None] * len(grids)
+            for i, v in zip(readable, encode([contents[i] for i in readable]) if readable else [], strict=True):
+                vectors[i] = np.asarray(v, dtype=np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("image_key"), pa.array(grids, pa.list_(pa.int32())), pa.array(vectors, pa.list_(pa.float32()))], ["image_key", "grid", "embedding"])
+
+    wanted = files.join(todo, "image_key", "left_semi").select("image_key", "content")
+    new = wanted.mapInArrow(run, "image_key string, grid array<int>, embedding array<float>").select("image_key", dhash(F.col("grid")).alias("dhash"), "embedding")
+    rows = todo.join(new, "image_key", "left").withColumn("found", F.col("dhash").isNotNull())
+    return rows if known is None else align_cache(keys.select("image_key"), known.select("image_key", "dhash", "embedding", "found")).where("found").unionByName(rows)
+
+
 def align_cache(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Every key with its usable row of the cache; ``found`` is false for the others."""
     met = keys.join(cache.where("found"), "image_key", "left")

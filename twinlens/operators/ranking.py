@@ -9,30 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..sources.stored import BROADCAST_ROWS, materialize
 
+#: Distinct scores, or rows of one group, that are put in order together, on average at most.
+ORDERED_ROWS = 200_000
 
-def score_table(scored: DataFrame, score: str, y: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, score, n, p and the rows and positives with smaller scores (n_below, p_below) and in all (n_all, p_all).
 
-    Null scores are left out.
-    """
+def _bucket(of: DataFrame, score: str, parts: int) -> Column:
+    """Which of ``parts`` nearly equal ranges of the stored ``of``'s scores a row's score lies in."""
+    bounds = of.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*(F.lit(float(b)) for b in dict.fromkeys(bounds))), lambda b: b < F.col(score)))
+
+
+def _grouped(scored: DataFrame, score: str, y: str | None, keys: tuple[str, ...]) -> DataFrame:
+    """keys, score, n and p of ``scored``, stored: the rows and positives of each score. Null scores are left out."""
     positives = F.sum(F.col(y).cast("long")) if y else F.lit(0).cast("long")
     g = scored.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.coalesce(positives, F.lit(0)).alias("p"))
-    bounds = g.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*(F.lit(float(b)) for b in dict.fromkeys(bounds))), lambda b: b < F.col("score"))) if bounds else F.lit(0)
-    g = g.withColumn("bucket", bucket)
-    totals = g.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
-    # at most BUCKETS rows for each key
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    zero = F.lit(0)
-    offsets = totals.select(*keys, "bucket", F.coalesce(F.sum("bn").over(before), zero).alias("on"), F.coalesce(F.sum("bp").over(before), zero).alias("op"), F.sum("bn").over(whole).alias("n_all"), F.sum("bp").over(whole).alias("p_all"))
+    return materialize(g, "scores")
+
+
+def _running(g: DataFrame, rows: int, keys: tuple[str, ...]) -> DataFrame:
+    """The ``rows`` rows of the stored ``g`` with the sums over smaller scores (n_below, p_below) and in all (n_all, p_all)."""
+    g = g.withColumn("bucket", _bucket(g, "score", -(-rows // ORDERED_ROWS)))
     inside = Window.partitionBy(*keys, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
     run = g.withColumns({"rn": F.coalesce(F.sum("n").over(inside), zero), "rp": F.coalesce(F.sum("p").over(inside), zero)})
+    # a row for each bucket of each key
+    totals = g.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
+    by = Window.partitionBy(*(keys or (F.lit(0),)))
+    before = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "bucket", F.coalesce(F.sum("bn").over(before), zero).alias("on"), F.coalesce(F.sum("bp").over(before), zero).alias("op"), F.sum("bn").over(by).alias("n_all"), F.sum("bp").over(by).alias("p_all"))
     return run.join(offsets, [*keys, "bucket"]).select(*keys, "score", "n", "p", (F.col("rn") + F.col("on")).alias("n_below"), (F.col("rp") + F.col("op")).alias("p_below"), "n_all", "p_all")
 
 
+def score_table(scored: DataFrame, score: str, y: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, score, n, p and the rows and positives with smaller scores (n_below, p_below) and in all (n_all, p_all).
+
+    Null scores are left out. ``scored`` is read once.
+    """
+    g = _grouped(scored, score, y, keys)
+    return _running(g, g.count(), keys)
+
+
 def auc_metrics(scored: DataFrame, score: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """pr_auc (step-wise, ties share a threshold) and roc_auc for each key; null where a class is missing."""
     t = score_table(scored, score, y, keys)
@@ -44,11 +64,21 @@ def auc_metrics(scored: DataFrame, score: str, y: str, keys: tuple[str, ...] = (
     return sums.select(*keys, "rows", "positives", F.when(both, F.col("ap") / pos).alias("pr_auc"), F.when(both, F.col("wins") / (pos.cast("double") * neg)).alias("roc_auc"))
 
 
+def compare_splits(folds: DataFrame, honest: str) -> DataFrame:
+    """split, pr_auc (the mean over the folds, of :func:`auc_metrics` by split and fold) and ``over_group``, its ratio to that of the split ``honest``."""
+    mean = folds.groupBy("split").agg(F.avg("pr_auc").alias("pr_auc"))
+    reference = F.broadcast(mean.where(F.col("split") == honest).select(F.col("pr_auc").alias("_honest")))  # one row
+    return mean.join(reference).select("split", "pr_auc", (F.col("pr_auc") / F.col("_honest")).alias("over_group"))
+
+
 def rank_normalize(scored: DataFrame, score: str, out: str) -> DataFrame:
     """``scored`` with ``out``: the mean rank of equal scores over n - 1; 0.5 for a single row; null for a null score."""
-    t = score_table(scored, score)
+    g = _grouped(scored, score, None, ())
+    rows = g.count()
+    t = _running(g, rows, ())
     rank = F.when(F.col("n_all") == 1, 0.5).otherwise((F.col("n_below") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("n_all") - 1, F.lit(1)))
-    return scored.join(t.select(F.col("score").alias("_score"), rank.alias(out)), F.col(score).cast("double") == F.col("_score"), "left").drop("_score")
+    ranks = t.select(F.col("score").alias("_score"), rank.alias(out))
+    return scored.join(F.broadcast(ranks) if rows <= BROADCAST_ROWS else ranks, F.col(score).cast("double") == F.col("_score"), "left").drop("_score")
 
 
 def blend(a: Column, b: Column, weight: float) -> Column:
@@ -70,12 +100,23 @@ def blend_sweep(ranked: DataFrame, y: str, weights: tuple[float, ...]) -> DataFr
     return auc_metrics(each, "blend", y, ("weight",)).select("weight", "pr_auc")
 
 
-def map_by_group(scored: DataFrame, group: str, y: str, score: str, tie: str, skip_empty: bool = True) -> DataFrame:
-    """group, ap and n_pos; ties of score are ordered by ``tie``. Groups without positives are left out, or have AP 0."""
-    order = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))
-    hits = scored.select(group, F.col(y).cast("long").alias("y"), F.row_number().over(order).alias("rank"), F.sum(F.col(y).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    ap = hits.groupBy(group).agg(F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), F.sum("y").alias("n_pos"))
-    ap = ap.select(group, F.when(F.col("n_pos") > 0, F.col("s") / F.greatest("n_pos", F.lit(1))).otherwise(0.0).alias("ap"), "n_pos")
+def map_by_group(scored: DataFrame, group: str, y: str, score: str, tie: str, skip_empty: bool = True, rows: int = ORDERED_ROWS) -> DataFrame:
+    """group, ap and n_pos; ties of score are ordered by ``tie``. Groups without positives are left out, or have AP 0.
+
+    If a group is larger than ``rows``, groups are ranked in ranges of scores and the ranges' counts added up.
+    """
+    stored = materialize(scored.select(F.col(group).alias("group"), F.col(y).cast("long").alias("y"), F.col(score).alias("score"), F.col(tie).alias("tie")), "ranked-groups")
+    largest = stored.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    stored = stored.withColumn("range", -_bucket(stored, "score", -(-largest // rows)))
+    order = Window.partitionBy("group", "range").orderBy(F.col("score").desc(), F.col("tie"))
+    inside = stored.select("group", "range", "y", F.row_number().over(order).alias("rank"), F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy("group", "range").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    offsets = counts.select(F.col("group").alias("g"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p"))
+    hits = inside.join(offsets, F.col("group").eqNullSafe(F.col("g")) & (F.col("range") == F.col("r")))
+    precision = (F.col("hits") + F.col("p")) / (F.col("rank") + F.col("n"))
+    ap = hits.groupBy("group").agg(F.sum(F.when(F.col("y") == 1, precision).otherwise(0.0)).alias("s"), F.sum("y").alias("n_pos"))
+    ap = ap.select(F.col("group").alias(group), F.when(F.col("n_pos") > 0, F.col("s") / F.greatest("n_pos", F.lit(1))).otherwise(0.0).alias("ap"), "n_pos")
     return ap.where("n_pos > 0") if skip_empty else ap
 
 
