@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import ROOT
 
-NAMES = ["build_features", "restore_homoglyphs", "auc_per_fold", "rank_blend", "leakage", "mine_triplets", "embedding_features", "photo_features", "ap_by_group"]
+NAMES = ["build_features", "restore_homoglyphs", "auc_per_fold", "rank_blend", "leakage", "mine_triplets", "embedding_features", "photo_features", "ap_by_group", "pair_features", "side_vectors", "triplet_losses", "split_comparison", "nested_keys"]
 
 
 def test_entry(spark):
@@ -32,8 +32,14 @@ def test_query_matches_sql(spark, small, name):
     assert rows(got) == rows(want)
 
 
-def test_without_the_training_data_subpackage(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "caches", "a folder that can't be imported"])
+def test_without_the_training_data_subpackage(tmp_path, left):
     shutil.copytree(ROOT / "twinlens", tmp_path / "twinlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if left != "nothing":
+        (tmp_path / "twinlens" / "llm" / "__pycache__").mkdir(parents=True)
+        (tmp_path / "corpus_pipeline.py").write_text("import twinlens.llm.common\n")
+    if left.startswith("a folder"):
+        (tmp_path / "twinlens" / "llm" / "__init__.py").write_text("import a_library_that_is_missing\n")
     code = "import __spark_entry__ as e; n = set(e.queries()); assert 'build_features' in n and not any(x.startswith('op') and x[2].isdigit() for x in n) and 'pipeline' not in n; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
