@@ -224,6 +224,83 @@ def test_quality(spark, small):
     assert quality.classify(docs.limit(0), empty, F.lit(False)).count() == 0
 
 
+def test_quality_votes(spark, small):
+    """Every score is the weighted vote of the exact nearest neighbours, found one document at a time in double precision."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    held = common.crc_mod(F.col("doc_id"), 3) == 1
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x"), (-4, "Some words. " * 20000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    votes = quality.fit(docs, labels, ~held)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, held).collect()}
+    sampled = votes.vectors.astype(float)
+    assert np.allclose(np.linalg.norm(sampled, axis=1), 1, atol=1e-5) and len(sampled) == len(votes.labels) > 20
+    for r in docs.collect():
+        z = (quality.terms((r["text"] or "").encode()).astype(float) * votes.weights) @ votes.projection
+        z /= max(np.linalg.norm(z), 1e-12)
+        cosines = [float(np.dot(z, v)) for v in sampled]
+        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[: quality.NEIGHBOURS]
+        weight = [math.exp((cosines[i] - cosines[near[0]]) / quality.TEMPERATURE) * votes.class_weights[i] for i in near]
+        assert got[r["doc_id"]] == pytest.approx(sum(w * votes.labels[i] for w, i in zip(weight, near)) / sum(weight), abs=2e-3)
+    good = quality.keep_good(docs, labels, ~held)
+    assert {r["doc_id"] for r in good.collect()} == {i for i, x in got.items() if x >= 0.5}
+
+
+def test_latent_vectors_are_singular_vectors():
+    x = (np.random.default_rng(1).normal(size=(60, 8)) @ np.diag([9, 7, 5, 4, 0.1, 0.1, 0.1, 0.1])).astype(np.float32)
+    want = np.linalg.svd(x, full_matrices=False)[2][:4]
+    assert np.allclose(np.abs(np.sum(quality._singular_vectors(x, 4).T * want, axis=1)), 1, atol=1e-3)
+
+
+def test_softmax_step():
+    """One pass of training over tiny bags against loops over every bag, n-gram and dimension."""
+    rng = np.random.default_rng(3)
+    start = {"vectors": rng.normal(size=(6, 2)), "squares": np.zeros((6, 2)), "weights": rng.normal(size=(3, 2)), "wsquares": np.zeros((3, 2))}
+    state = {k: v.copy() for k, v in start.items()}
+    bags, y = [(np.array([0, 1, 2]), 4), (np.array([2, 3]), 2), (np.array([4]), 3)], [1, 0, 0]
+    steps = max(toxicity.EPOCHS, -(-toxicity.LEAST_STEPS * toxicity.BATCH // 3))
+    toxicity._train(bags, np.array(y), np.random.default_rng(0), state)
+    v, w = start["vectors"], start["weights"]
+    v2, w2 = np.zeros((6, 2)), np.zeros((3, 2))
+    balance = [3 / 2 / 2, 3 / 2 / 1]
+    for _ in range(steps):  # a batch holds all three bags
+        gv, gw = np.zeros((6, 2)), np.zeros((3, 2))
+        for (ids, size), label in zip(bags, y):
+            hidden = [sum(v[i][d] for i in ids) / size for d in range(2)] + [1.0]
+            logits = [sum(hidden[d] * w[d][c] for d in range(3)) for c in range(2)]
+            p = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+            up = [(p[c] - (c == label)) * balance[label] / 3 for c in range(2)]
+            for c in range(2):
+                for d in range(3):
+                    gw[d][c] += hidden[d] * up[c]
+                for d in range(2):
+                    for i in ids:
+                        gv[i][d] += up[c] * w[d][c] / size
+        v2, w2 = v2 + gv**2, w2 + gw**2
+        v = v - toxicity.RATE * gv / np.sqrt(v2 + toxicity.START)
+        w = w - toxicity.RATE * gw / np.sqrt(w2 + 1e-10)
+    assert np.allclose(state["vectors"], v, atol=1e-6) and np.allclose(state["weights"], w, atol=1e-6)
+    assert np.array_equal(state["vectors"][5], start["vectors"][5])
+
+
+def test_toxicity_scores_are_those_of_the_worst_passage(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    held = common.crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels, ~held)
+    long = "plain words of no harm " * 20000
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, long)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels, held).collect()}
+    for r in docs.collect():
+        ids, at, n = toxicity.subwords(r["text"] or "")
+        logits = [model.bias + sum(float(model.table[i]) for i in ids[at == k]) / max(int((at == k).sum()), toxicity.LEAST_BAG) for k in range(n)]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(logits))), abs=1e-4)
+    kept = toxicity.drop_toxic(docs.withColumn("score", F.create_map(F.lit("a"), F.lit(1))), labels, ~held)
+    assert kept.columns == ["doc_id", "text", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i, x in got.items() if x < 0.5}
+    none = labels.limit(0)
+    assert toxicity.drop_toxic(docs, none, F.lit(True)).count() == quality.keep_good(docs, none, F.lit(True)).count() == docs.count()
+    assert toxicity.drop_toxic(docs.limit(0), labels, ~held).count() == quality.keep_good(docs.limit(0), labels, ~held).count() == 0
+
+
 def test_toxicity(spark, small):
     rng = np.random.default_rng(8)
     clean = [words(rng, 120) for _ in range(120)]
@@ -326,6 +403,11 @@ def test_pipeline(spark, small):
         ids.append({r["doc_id"] for r in now.select("doc_id").collect()})
     assert all(b <= a for a, b in zip(ids, ids[1:])) and 0 < len(ids[-1]) < docs.count()
     # each stage against its operator's own verdicts on what came before
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    good = quality.classify(docs, labels, common.crc_mod(F.col("doc_id"), 3) == 1).where("predicted = 1")
+    assert ids[0] == {r["doc_id"] for r in good.collect()}
+    clean = toxicity.classify(docs.where(F.col("doc_id").isin([*ids[0]])), labels, common.crc_mod(F.col("doc_id"), 5) == 0).where("predicted = 0")
+    assert ids[1] == {r["doc_id"] for r in clean.collect()}
     left = docs.where(F.col("doc_id").isin([*ids[1]]))
     assert ids[2] == {r["component_id"] for r in simhash.near_duplicates(left).collect()}
     left = docs.where(F.col("doc_id").isin([*ids[2]]))

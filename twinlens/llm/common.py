@@ -2,84 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import BROADCAST_ROWS, discard, fresh, materialize, new_path, remove, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a session in one process gets a temporary folder; on a cluster it is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='twinlens-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-#: Folders written in each open :func:`scratch` block.
-_scratch: list[list[str]] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for folders in _scratch:
-        folders.append(path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever file system it is."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Delete at the block's end the folders that operators wrote in it, but for those that the block takes off the list.
-
-    What the block returns must be written by then, as frames that read these folders no longer can.
-    """
-    folders: list[str] = []
-    _scratch.append(folders)
-    try:
-        yield folders
-    finally:
-        _scratch.remove(folders)
-        for path in folders:
-            remove(spark, path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for tables that nothing reads any more."""
-    for table in tables:
-        remove(table.sparkSession, table.written_to)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A name for a helper column that no column of ``df`` has, in either case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+__all__ = ["BROADCAST_ROWS", "connected_components", "crc_mod", "discard", "fresh", "materialize", "new_path", "remove", "row_key", "scratch", "shared_dir", "with_keys"]
 
 
 def crc_mod(key: Column, n: int) -> Column:
@@ -87,10 +15,6 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-#: Rows of a key table that are broadcast at most (8 bytes each); beyond that Spark joins by shuffling.
-BROADCAST_ROWS = 500_000
-
-
 def row_key(documents: DataFrame) -> Column:
     """A hash of a row's id and text: rows alike in both share it."""
     return F.xxhash64(F.col("doc_id").cast("string"), F.lit("\x00"), F.col("text").cast("string"))
@@ -116,19 +40,24 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     hooks: list[DataFrame] = []
     while not left.isEmpty():
         hook = materialize(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), f"{name}-hooks")
+        # many hooks have one target: a small table of hooks is broadcast, a large one is joined by a shuffle whose skewed partitions Spark splits
+        small = hook.count() <= BROADCAST_ROWS
+        spread = lambda table, small=small: F.broadcast(table) if small else table
         chained = True
         while chained:  # until no hook's target hooks itself
+            old = hook
             for _ in range(2):
-                up = hook.select(F.col("id").alias("to"), F.col("to").alias("further"))
+                up = spread(hook.select(F.col("id").alias("to"), F.col("to").alias("further")))
                 hook = hook.join(up, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("chained"))
             hook = materialize(hook, f"{name}-hooks")
+            discard(old)
             chained = not hook.where("chained").isEmpty()
-            hook = hook.select("id", "to")
-        hooks.append(hook)
+        hooks.append(hook.select("id", "to"))
         moved = left
         for end in ("a", "b"):
-            moved = moved.join(hook.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        left = materialize(_proper(moved), f"{name}-edges")
+            moved = moved.join(spread(hooks[-1].withColumnRenamed("id", end)), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        old, left = left, materialize(_proper(moved), f"{name}-edges")
+        discard(old)
     if not hooks:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     # no end hooks in its own round, so an id hooks in one round only and the rounds' tables hold disjoint ids; a later round moves the ends of earlier ones

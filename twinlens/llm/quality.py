@@ -1,6 +1,6 @@
 """Quality classification by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are pairs of neighbouring character classes and bins of its repetition; their weighted
+A text's terms are its hashed character n-grams, pairs of neighbouring character classes, and bins of its repetition; their weighted
 counts are projected by a truncated singular value decomposition that is fitted on a bounded
 sample of labelled rows. The sample's vectors are broadcast, every document's exact cosines with them are computed in
 blocks, and the nearest neighbours vote with weights that grow with their similarity.
@@ -34,7 +34,12 @@ _rest = [b for b in range(9, 127) if not _CLASS[b] and (b >= 32 or b in (9, 10,
 _CLASS[_rest] = np.arange(5, 5 + len(_rest))
 N_CLASSES = int(_CLASS.max()) + 1
 BINS = 8
-N_TERMS = N_CLASSES * N_CLASSES + 4 * BINS
+#: Bytes of an n-gram, buckets that n-grams are hashed to (a power of 2), and their weight beside the pairs of classes.
+NGRAM, BUCKETS, NGRAM_WEIGHT = 4, 2048, 0.5
+_STYLE = N_CLASSES * N_CLASSES
+N_TERMS = _STYLE + 4 * BINS + BUCKETS
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def _bins(share: float) -> np.ndarray:
@@ -49,19 +54,28 @@ def _bins(share: float) -> np.ndarray:
 
 
 def terms(text: bytes) -> np.ndarray:
-    """Term weights of a whole text: square roots of the shares of class pairs, and bins of repetition."""
+    """Term weights of a whole text: square roots of the shares of class pairs and of hashed n-grams with A-Z lowered, and bins of repetition."""
     out = np.zeros(N_TERMS, dtype=np.float32)
-    classes = _CLASS[np.frombuffer(text, dtype=np.uint8)]
+    plain = np.frombuffer(text, dtype=np.uint8)
+    classes = _CLASS[plain]
     if len(classes) > 1:
-        pairs = np.bincount(classes[:-1] * N_CLASSES + classes[1:], minlength=N_CLASSES * N_CLASSES)
-        out[: N_CLASSES * N_CLASSES] = np.sqrt(pairs / (len(classes) - 1))
+        pairs = np.bincount(classes[:-1] * N_CLASSES + classes[1:], minlength=_STYLE)
+        out[:_STYLE] = np.sqrt(pairs / (len(classes) - 1))
+    n = len(plain) - NGRAM + 1
+    if n > 0:
+        byte = _LOWER[plain]
+        code = byte[:n]
+        for k in range(1, NGRAM):
+            code = code * np.uint32(257) + byte[k : n + k]
+        bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(33 - BUCKETS.bit_length())
+        out[-BUCKETS:] = np.sqrt(np.bincount(bucket, minlength=BUCKETS) / n) * NGRAM_WEIGHT
     words = text.split()
     if words:
         n = len(words)
         same = sum(map(bytes.__eq__, words[:-1], words[1:])) / max(n - 1, 1)
         lines = [line for line in text.split(b"\n") if line.strip()]
         shares = (same, len(set(words)) / n, len(set(lines)) / max(len(lines), 1), 1 / (1 + n / 50))
-        out[N_CLASSES * N_CLASSES :] = np.concatenate([_bins(s) for s in shares]) * 0.5
+        out[_STYLE : _STYLE + 4 * BINS] = np.concatenate([_bins(s) for s in shares]) * 0.5
     return out
 
 
@@ -109,6 +123,15 @@ def _text_terms(documents: DataFrame, extra: list[str]) -> DataFrame:
     return documents.select(*extra, F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", terms binary")
 
 
+def _singular_vectors(x: np.ndarray, k: int, extra: int = 16, turns: int = 4) -> np.ndarray:
+    """The first ``k`` right singular vectors of ``x`` by subspace iteration, which needs no square matrix of the terms."""
+    basis = np.random.default_rng(0).standard_normal((x.shape[1], min(k + extra, *x.shape))).astype(np.float32)
+    for _ in range(turns):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    _, _, inner = np.linalg.svd(x @ basis, full_matrices=False)
+    return (basis @ inner.T)[:, :k]
+
+
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE, dimensions: int = DIMENSIONS) -> Votes:
     """Fit on a sample of ``labels`` (doc_id, quality); without any, every score is 0.5."""
     sample, sizes = labelled_sample(documents, labels, "quality", learn, per_class)
@@ -124,13 +147,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     texts_with = np.count_nonzero(x, axis=0)
     weights = np.log((1 + len(x)) / (1 + texts_with)) + 1
     used = np.flatnonzero(texts_with)
-    gram = np.zeros((len(used), len(used)))
-    for at in range(0, len(x), 512):
-        scaled = x[at : at + 512][:, used] * weights[used]
-        gram += scaled.T @ scaled
-    values, axes = np.linalg.eigh(gram)
-    projection = np.zeros((N_TERMS, min(dimensions, len(used))))
-    projection[used] = axes[:, np.argsort(-values)[:dimensions]]
+    projection = np.zeros((N_TERMS, min(dimensions, len(used), len(x))), dtype=np.float32)
+    projection[used] = _singular_vectors(x[:, used] * weights[used].astype(np.float32), projection.shape[1])
     votes = Votes(weights, projection, np.zeros((0, 1)), y, np.zeros(0), 0.5)
     votes.vectors = np.concatenate([votes.latent(x[at : at + 512]) for at in range(0, len(x), 512)])
     # sampled classes count as often as they occur
@@ -165,6 +183,10 @@ def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_clas
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> DataFrame:
-    """``documents``, with all their columns, that score 0.5 or more."""
+    """``documents``, with all their columns, that score 0.5 or more.
+
+    Null and empty texts are scored like any other and stay or go by their score; repeated rows fare alike; columns may have any names and kinds.
+    Without labels every score is 0.5 and all rows stay; an empty table gives no rows.
+    """
     votes = fit(documents, labels, learn, per_class)
     return documents.where(score(documents.sparkSession, votes, F.col("text")) >= 0.5)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialize, row_key, with_keys
+from .common import BROADCAST_ROWS, connected_components, fresh, materialize, row_key, with_keys
 from .forest import Forest
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -226,6 +226,12 @@ def _components(documents: DataFrame, shingle_words: int, max_bits: int) -> tupl
     return docs, materialize(roots, "simhash-roots")
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """A written table of one row for each component or fingerprint, of which one may have most documents: broadcast if it is small, so that they aren't
+    gathered; else joined by a shuffle whose skewed partitions Spark splits."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every document.
 
@@ -234,9 +240,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     none. Extra columns are ignored; no documents, no rows.
     """
     docs, roots = _components(documents, shingle_words, max_bits)
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialize(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+    named = materialize(roots.join(_spread(least), "root").select("fp", "component_id"), "simhash-components")
+    return docs.join(_spread(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -249,7 +255,7 @@ def drop_near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORD
     docs, roots = _components(documents, shingle_words, max_bits)
     key, nth = fresh(documents, "row"), fresh(documents, "nth")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = docs.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select("best.row")
+    best = docs.join(_spread(roots).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("best")).select("best.row")
     times = docs.groupBy("row").agg(F.count("*").alias("n"))
     kept = materialize(times.join(best, "row", "left_semi").select(F.col("row").alias(key), F.col("n").alias("times")), "simhash-kept")
     keyed = documents.withColumn(key, row_key(documents))

@@ -201,6 +201,12 @@ def classify(documents: DataFrame, labels: DataFrame, held_out: Column, per_clas
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> DataFrame:
-    """``documents``, with all their columns, without those that score 0.5 or more."""
+    """``documents``, with all their columns, without those that score 0.5 or more.
+
+    Null and wordless texts get the bias alone and stay unless the model finds such texts toxic; repeated rows fare alike; columns may have any names
+    and kinds. Without labels nothing is known to be toxic and all rows stay; an empty table gives no rows.
+    """
     model = fit(documents, labels, learn, per_class)
+    if not model.bias and not model.table.any():
+        return documents
     return documents.where(score(documents.sparkSession, model, F.col("text")) < 0.5)

@@ -8,20 +8,23 @@ the passes. Rounds of further passes with wider windows follow until one unites
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import BROADCAST_ROWS, connected_components, discard, materialize
 from .forest import Forest
 
 COSINE, PASSES, BITS, FOLLOWERS, SEED = 0.93, 16, 32, 64, 7
 #: Passes of each later round, and how many times as many followers as its predecessor it compares, up to MOST_FOLLOWERS.
 MORE_PASSES, WIDER, MOST_FOLLOWERS = 4, 4, 4096
-#: Vectors of one component that a task compares at once; larger components are split into pairs of blocks.
-BLOCK = 2048
+#: Passes that share one shuffle: so many copies of each vector at a time.
+PASSES_AT_ONCE = 4
+#: Vectors of one component that a task compares at once; larger components are split into pairs of blocks, small ones into up to SPREAD blocks of SMALL_BLOCK.
+BLOCK, SMALL_BLOCK, SPREAD = 2048, 256, 8
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -54,7 +57,7 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, np.any(cols[1:] != cols[:-1], axis=1))), len(cols))
 
 
-def _hashes(passes: int, bits: int, seed: int):
+def _hashes(passes: int, bits: int, seed: list[int]):
     """Adds ``keys``: for every pass, the signs of ``bits`` random projections as an integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def _hashes(passes: int, bits: int, seed: int):
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), passes * bits))
+                    planes[size] = np.random.default_rng([*seed, int(size)]).standard_normal((int(size), passes * bits))
                 signs = (_units(batch.column("embedding").take(pa.array(rows))) @ planes[size] > 0).reshape(len(rows), passes, bits)
                 out[rows] = signs @ weights
             keys = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), passes).cast(pa.list_(pa.int64()))
@@ -125,7 +128,7 @@ def _count_links(cosine: float):
     return run
 
 
-def _passes(table: DataFrame, cosine: float, passes: int, followers: int, bits: int, seed: int) -> DataFrame:
+def _passes(table: DataFrame, cosine: float, passes: int, followers: int, bits: int, seed: list[int]) -> DataFrame:
     """Links (a, b) that ``passes`` passes over ``table`` (key, label, embedding, size) meet, as forests."""
     narrow = table.select("key", "label", "embedding", "size")
     schema = f"key long, label long, embedding {dict(table.dtypes)['embedding']}, size int, keys array<long>"
@@ -151,17 +154,21 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: i
     most = table.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     found, joined, turn = None, -1, 0
     while True:
-        links = _passes(table, cosine, passes if not turn else MORE_PASSES, followers, bits, seed + turn)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-        found = materialize(connected_components(links, "vectors").withColumnsRenamed({"id": "key", "component_id": "root"}), "vectors-found")
+        todo = passes if not turn else MORE_PASSES
+        parts = [materialize(_passes(table, cosine, min(PASSES_AT_ONCE, todo - k), followers, bits, [seed, turn, k]), "vectors-links") for k in range(0, todo, PASSES_AT_ONCE)]
+        links = reduce(DataFrame.unionByName, parts if found is None else [*parts, found.select(F.col("key").alias("a"), F.col("root").alias("b"))])
+        old, found = found, materialize(connected_components(links, "vectors").withColumnsRenamed({"id": "key", "component_id": "root"}), "vectors-found")
+        discard(*parts, *([old] if old is not None else []))
         unions = found.where("key <> root").count()  # each id but a root was united with another
         if unions == joined or most <= followers + 1:  # one pass compares all of a label
             break
         joined, turn, followers = unions, turn + 1, max(followers, min(followers * WIDER, MOST_FOLLOWERS))
     members = table.select("key", "embedding", "n", "first").join(found, "key")
     members = materialize(members, "vectors-members")
-    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("first").alias("component_id"))
+    number = F.greatest(F.ceil(F.count("*") / BLOCK), F.least(F.lit(SPREAD), F.ceil(F.count("*") / SMALL_BLOCK)))
+    blocks = materialize(members.groupBy("root").agg(number.cast("int").alias("blocks"), F.min("first").alias("component_id")), "vectors-blocks")
+    # a large component's rows all have one root: its block counts are broadcast if they are few, else Spark splits the skewed partition
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
     met = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("root", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "key", "n", "embedding")
