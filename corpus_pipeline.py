@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.llm import decontamination, packing, quality, simhash, toxicity
-from twinlens.llm.common import crc_mod, materialize
+from twinlens.llm.common import crc_mod, discard, materialize, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,8 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again in the shared folder; what a stage needs no more is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as folders:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            folders.remove(docs.written_to)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
