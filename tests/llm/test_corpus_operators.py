@@ -331,7 +331,7 @@ def lm_brute(texts, train, depth):
                 grams[n].update(zip(*(s[i:] for i in range(n))))
     c = grams[1]
     total = sum(c.values())
-    least = max(lm.LEAST, lm.P_MIN * total)
+    least = lm.LEAST
     root = lambda w: (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
     trees = []
 
@@ -368,13 +368,13 @@ def lm_brute(texts, train, depth):
     return out, [len(t) for t in trees]
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 4])
-def test_suffix_tree(spark, depth):
+@pytest.mark.parametrize(("depth", "chunk_words"), [(1, lm.CHUNK), (2, 300), (3, 300), (4, lm.CHUNK)])
+def test_suffix_tree(spark, depth, chunk_words):
     rng = np.random.default_rng(9)
     phrase = words(rng, 30)
     texts = [words(rng, 20).replace("w1", "the w1") + " " + (phrase if i % 2 else "") + (" a b c" if i % 3 else " a c b d") for i in range(60)] + [None, "", "  ", phrase, phrase.upper(), "of the of the", "zz zz zz yy", "a b " * 20000]
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
-    got = {r["doc_id"]: r for r in lm.score_corpus(table(spark, texts), common.crc_mod(F.col("doc_id"), 10) == 0, depth).collect()}
+    got = {r["doc_id"]: r for r in lm.score_corpus(table(spark, texts), common.crc_mod(F.col("doc_id"), 10) == 0, depth, chunk_words).collect()}
     brute, retained = lm_brute(texts, train, depth)
     assert len(retained) == depth and all(retained)
     for i, want in enumerate(brute):
@@ -384,6 +384,16 @@ def test_suffix_tree(spark, depth):
     assert got[63]["score"] > got[63]["base_score"] + 20
 
 
+def test_what_chunks_send():
+    rng = np.random.default_rng(3)
+    for keys in ([5], [0, 2**64 - 1], np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64) * 2)):
+        keys = np.array(keys, np.uint64)
+        assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+    for numbers in ([], [0, 254, 255, 256, 2**40], rng.integers(0, 600, 1000)):
+        numbers = np.array(numbers, np.int64)
+        assert (lm._unpack_numbers(lm._pack_numbers(numbers)) == numbers).all()
+
+
 def test_suffix_tree_of_few_texts(spark):
     one = lm.score_corpus(table(spark, ["a b " * 50]), F.lit(False)).first()
     assert one["score"] > one["base_score"] + 20 and one["score"] == pytest.approx(lm_brute(["a b " * 50], [True], lm.DEPTH)[0][0][4])

@@ -1,40 +1,48 @@
 """Scoring by a probabilistic suffix tree over words.
 
-A context of one to DEPTH words is a candidate if it makes up at least the share P_MIN of the training tokens, and is retained if its next-word distribution
-diverges enough from its parent's (the context without its oldest word; the root is the smoothed
+A context of one to DEPTH words is a candidate if it occurs LEAST times or more in the training texts, at every size of the corpus, and is
+retained if its next-word distribution diverges enough from its parent's (the context without its oldest word; the root is the smoothed
 distribution of single words). A retained context's distribution interpolates its counts with its parent's
 distribution, and each word is scored in the state of the longest retained suffix of what precedes it.
 
-P_MIN bounds the tree whatever the corpus: at most 1 / P_MIN words, contexts of each length and next-word entries of each length have that share.
-Counts cover all training tokens; words below the share are counted and joined by Spark.
+The tree grows with the corpus and is never in one place. Texts are cut into chunks of about CHUNK words. A chunk asks for what it needs: it sends
+the hashes of its different words or word sequences, with their counts in it, to the tasks that own their ranges of hashes, and gets the counts over all
+training texts back, in the same order. So it goes length by length; sequences that hold a rarer one aren't asked for. Likewise the chunks send each
+context's share of the divergence and get back whether it is retained. A frequent context is one row of each chunk, however often it occurs.
+
+Words and sequences are told apart by 64-bit hashes: among n different ones about n ** 2 / 2 ** 65 pairs are expected to be confused.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain, repeat
+from contextlib import contextmanager
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import materialize, new_path
 
-#: Least share of the training tokens and least count of a context and of an entry.
-P_MIN, LEAST = 1e-6, 2
+#: Least count of a context and of an entry.
+LEAST = 2
 #: Words of the longest contexts.
 DEPTH = 3
 #: Least log-likelihood gain of a retained context for each of its entries (and one more), and weight of the parent's distribution.
 CUTOFF, PARENT_WEIGHT = 2.0, 2.0
 #: Additive smoothing of single words.
 ADD = 0.1
-#: Words that a task counts before it hands the counts on.
-WORDS_HELD = 200_000
-_SHIFT = 20  # bits of a word's number: 1 / P_MIN < 2 ** 20
+#: Words of a chunk (a longer text is one chunk), chunks of a bucket, and words of the corpus to a range of hashes (as a power of two).
+CHUNK, BUCKET_CHUNKS, RANGE_BITS = 1 << 20, 2, 21
 END = b""  # the end token; no word is empty
+#: What a chunk asks for: counts of sequences of a length, or whether contexts of a length are retained.
+COUNT, RETAIN = 0, 1
+_ASKED = "kind int, length int, part int, chunk long, keys binary, numbers binary, sums binary"
+_TOLD = "kind int, length int, part int, chunk long, told binary, distinct long"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -44,289 +52,302 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
-    return (t.as_py() for t in batch.column(name))
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Whole numbers, most of them small: their count, a byte for each, and eight bytes for each that is 255 or more."""
+    return np.uint64(len(numbers)).tobytes() + np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype("<i8").tobytes()
 
 
-def _binary(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("text").cast("string").cast("binary").alias("text"))
+def _unpack_numbers(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", -1, 8 + n)
+    return out
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """``word`` (binary; empty is the end token) and its count ``c`` over all of ``documents``."""
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted different hashes as differences, in as many bytes as the largest one needs."""
+    base = keys[0]
+    steps = np.diff(keys, prepend=base)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return base.tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    base, width = np.frombuffer(blob, "<u8", 1)[0], blob[8]
+    narrow = np.frombuffer(blob, np.uint8, -1, 9).reshape(-1, width)
+    steps = np.zeros((len(narrow), 8), np.uint8)
+    steps[:, :width] = narrow
+    return base + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
-        for batch in batches:
-            for text in _texts(batch):
-                held.update(tokens(text))
-                if len(held) >= WORDS_HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
 
-    return _binary(documents).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context's hash and a word's."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-@dataclass
-class Level:
-    """Contexts of one length. An entry's key is its context's number and, in the lowest bits, its word's number.
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, one place of each, and each place's number among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
 
-    ``own`` is the weight that an entry adds; ``back`` the weight of the parent's distribution in each context, nan where it isn't retained;
-    ``suffix`` each context's number without its oldest word, among the contexts that are shorter by one.
-    """
 
-    keys: np.ndarray
-    own: np.ndarray
-    back: np.ndarray
-    suffix: np.ndarray
-
-
-@dataclass
-class SuffixTree:
-    """A fitted tree. A word's number is its rank by count; a context of several words has its place among the next shorter one's entries as number."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    total: int
-    distinct: int
-    least: float
-    levels: list[Level] = field(default_factory=list)
-    _number: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_number": None}
-
-    @property
-    def denominator(self) -> float:
-        return self.total + ADD * (self.distinct + 1)
-
-    def root(self) -> np.ndarray:
-        return (self.counts + ADD) / self.denominator
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; -1 for words below the share."""
-        if self._number is None:
-            self._number = {w: i for i, w in enumerate(self.words)}
-        return np.fromiter(map(self._number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-
-    def contexts(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length, at each position of whole texts one after another: the number of the context before it (before a text's first word the
-        end token alone), and the place of the entry that it makes with the word here, in the tree so far; -1 for none."""
-        end = self.numbers([END])[0]
-        before = context = np.concatenate([[end], ids[:-1]])
-        for level in [*self.levels, None]:
-            place = _find(level.keys, _keys(context, ids)) if level else np.full(len(ids), -1)
-            yield context, place
-            context = np.where(before == end, -1, np.concatenate([[-1], place[:-1]]))
-
-    def state(self, length: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probability of each word after each context of ``length`` words."""
-        chain = [context]
-        for level in self.levels[1:length][::-1]:
-            chain.append(level.suffix[chain[-1]])
-        p = self.root()[word]
-        for level, at in zip(self.levels, chain[::-1], strict=False):
-            if len(level.keys):
-                place, back = _find(level.keys, _keys(at, word)), level.back[at]
-                p = np.where(np.isnan(back), p, np.where(place >= 0, level.own[place], 0.0) + back * p)
-        return p
-
-    def log_scores(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each position's root and state probabilities; of a word below the share, log10 of what its root probability is multiplied with."""
-        if not len(self.counts):
-            return np.zeros(len(ids)), np.zeros(len(ids))
-        root = np.where(ids >= 0, self.root()[ids], 1.0)
-        p = root.copy()
-        for level, (context, place) in zip(self.levels, self.contexts(ids), strict=False):
-            if len(level.keys):
-                rows = np.flatnonzero((context >= 0) & ~np.isnan(level.back[context]))
-                p[rows] *= level.back[context[rows]]
-                at = place[rows]
-                p[rows] += np.where(at >= 0, level.own[at], 0.0)
-        return np.log10(root), np.log10(p)
-
-
-def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return np.where((context < 0) | (word < 0), -1, context << _SHIFT | word)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in the sorted ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted) & (wanted >= 0), at, -1)
-
-
-def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    """Some rows at a time: the rows, their tokens one after another, and where each row's tokens start."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        texts = [tokens(t) for t in _texts(part)]
-        yield part, list(chain.from_iterable(texts)), np.cumsum([0, *map(len, texts)])[:-1]
-
-
-def number_texts(documents: DataFrame, tree: SuffixTree, held_out: Column) -> DataFrame:
-    """Every text's words as numbers of the tree, a written table: row, doc_id, held_out, n_tokens, ids (32-bit numbers, the end token's last) and
-    ``rare``, its words that have none with how often they occur. Later passes read no text."""
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
+def cut_chunks(documents: DataFrame, held_out: Column, buckets: int, chunk_words: int = CHUNK) -> DataFrame:
+    """Chunks of texts, a written table in buckets by ``chunk``: doc_ids, held_out and n_tokens of its texts, its different words' hashes, the end
+    token's first, and every word's number among these, all texts' one after another (as planes of bytes, which compress well)."""
     kind = dict(documents.dtypes)["doc_id"]
-    pair = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, hashes binary, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        from pyspark import TaskContext
+
+        chunk, number, texts, held, docs = TaskContext.get().partitionId() << 33, {END: 0}, [], [], []
+
+        def out() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+            ids = np.concatenate(texts).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((held, pa.bool_()), ([len(t) for t in texts], pa.int64()))]
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(docs))
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), doc_ids, *lists, pa.array([hashes.tobytes()], pa.binary()), pa.array([ids], pa.binary())], ["chunk", "doc_ids", "held", "n_tokens", "hashes", "ids"])
+
+        size = 0
         for batch in batches:
-            for part, words, starts in _parts(batch):
-                ids = model.numbers(words)
-                ends = np.append(starts[1:], len(ids)).tolist()
-                blob, starts = ids.astype("<i4").tobytes(), starts.tolist()
-                below = np.flatnonzero(ids < 0)
-                of = (np.searchsorted(starts, below, side="right") - 1).tolist()
-                rare: list[dict[bytes, int]] = [{} for _ in starts]
-                for i, word in zip(of, map(words.__getitem__, below.tolist()), strict=True):
-                    rare[i][word] = rare[i].get(word, 0) + 1
-                columns = [
-                    *(part.column(c) for c in ("row", "doc_id", "held_out")),
-                    pa.array(np.diff([*starts, len(ids)])),
-                    pa.array([blob[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([[{"word": w, "times": n} for w, n in r.items()] for r in rare], pair),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "ids", "rare"])
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<struct<word binary, times long>>"), "lm-numbers")
-
-
-def _numbers(column: pa.Array, texts: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Some texts of a column of numbers at a time: the first one's place, their numbers one after another, and where each begins."""
-    for at in range(0, len(column), texts):
-        blobs = column.slice(at, texts).to_pylist()
-        yield at, np.frombuffer(b"".join(blobs), dtype="<i4").astype(np.int64), np.cumsum([0, *(len(b) // 4 for b in blobs)])[:-1]
-
-
-def _count_entries(numbered: DataFrame, tree: SuffixTree) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the next longer contexts' entries with the least count or more over all of ``numbered``, sorted, and their counts.
-
-    At most 1 / P_MIN keys have that count.
-    """
-    shared = numbered.sparkSession.sparkContext.broadcast(tree)
+            for i, (text, out_of) in enumerate(zip(batch.column("text"), batch.column("held"), strict=True)):
+                words = tokens(text.as_py())
+                for word in words:
+                    if word not in number:
+                        number[word] = len(number)
+                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                held.append(out_of.as_py())
+                docs.append(batch.column("doc_id").slice(i, 1))
+                size += len(words)
+                if size >= chunk_words:
+                    yield out()
+                    chunk, number, texts, held, docs, size = chunk + 1, {END: 0}, [], [], [], 0
+        if texts:
+            yield out()
+
+    rows = documents.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
+    spark, path = documents.sparkSession, new_path(documents.sparkSession, "lm-chunks")
+    table = f"lm_chunks_{uuid.uuid4().hex}"
+    rows.mapInArrow(run, schema).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+class Chunk:
+    """One chunk's texts with what it has been told so far."""
+
+    def __init__(self, row: dict, total: int, distinct: int, rounds: int):
+        self.rounds = rounds
+        self.lengths = np.array(row["n_tokens"], np.int64)
+        self.training = np.repeat(~np.array(row["held"], bool), self.lengths)
+        self.ids = np.frombuffer(row["ids"], np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+        self.hashes = np.frombuffer(row["hashes"], "<u8")
+        self.denominator = total + ADD * (distinct + 1)
+        parts: dict[tuple[int, int], list] = {}
+        for t in row["told"] or []:
+            parts.setdefault((t["kind"], t["length"]), []).append((t["part"], t["told"]))
+        self.answers = {k: np.concatenate([_unpack_numbers(blob) for _, blob in sorted(p)]) for k, p in parts.items()}
+
+    def told(self, kind: int, length: int) -> np.ndarray | None:
+        """Answers in the order of the keys asked for; None before they are given. Contexts of a length are asked about a round after its counts."""
+        return self.answers.get((kind, length), np.zeros(0, np.int64)) if self.rounds > length + (kind == RETAIN) else None
+
+    def walk(self, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """What it asks for next: kind, length, sorted hashes, numbers and sums. At the end it has ``root`` and ``state``, each word's probabilities."""
+        keys, _, number = _different(self.hashes)
+        place, word = number[self.ids], self.hashes[self.ids]  # each position's place among the keys of the current length
+        end, none = number[0], np.array([], float)
+        told = self.told(COUNT, 0)
+        if told is None:
+            yield COUNT, 0, keys, np.bincount(place[self.training], minlength=len(keys)), none
+            return
+        count = told >> 1
+        self.known = count[place] > 0
+        self.root = (count[place] + ADD) / self.denominator
+        self.state, before = self.root, np.append(end, place[:-1])
+        first = before == end
+        for length in range(1, depth + 1):
+            # the context before each position, among the keys of the length before; the oldest word may be an end token, no other
+            context = before if length == 1 else np.where(first, -1, np.append(-1, place[:-1]))
+            total = np.where(context >= 0, count[context], 0)
+            context[total < LEAST] = -1
+            here = np.flatnonzero((context >= 0) & (place >= 0) & (count[place] >= LEAST))
+            longer, sample, number = _different(_mixed(keys[context[here]], word[here]))
+            told = self.told(COUNT, length)
+            if told is None:
+                yield COUNT, length, longer, np.bincount(number[self.training[here]], minlength=len(longer)), none
+                return
+            n = told >> 1
+            asking = np.flatnonzero(np.bincount(context[context >= 0], minlength=len(keys)))
+            verdicts = self.told(RETAIN, length)
+            if verdicts is None:
+                yield RETAIN, length, keys[asking], *self._shares(asking, count, context[here[sample]], self.state[here[sample]], told)
+            else:
+                kept = np.zeros(len(keys), np.int64)
+                kept[asking] = verdicts
+                rows = np.flatnonzero((context >= 0) & (kept[context] > 0))
+                own = np.zeros(len(place))
+                own[here] = np.where(n[number] >= LEAST, n[number], 0)
+                rest = np.maximum(total[rows] - (kept[context[rows]] - 1), 0)
+                self.state = self.state.copy()
+                self.state[rows] = ((rest + PARENT_WEIGHT) * self.state[rows] + own[rows]) / (total[rows] + PARENT_WEIGHT)
+            place = np.full(len(place), -1)
+            place[here] = number
+            keys, count = longer, n
+            if not len(keys):
+                keys, count = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+
+    def _shares(self, asking: np.ndarray, totals: np.ndarray, context: np.ndarray, parent: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The divergence test's sums over those entries that this chunk counts in: entries, their counts, their contexts' totals; gains and parents' probabilities."""
+        mine = np.flatnonzero((told & 1 == 1) & (told >> 1 >= LEAST))
+        n, at, p = told[mine] >> 1, context[mine], parent[mine]
+        entries, kept, gain, expected = (np.bincount(at, w, len(totals))[asking] for w in (None, n, n * np.log(n / totals[at] / p), p))
+        some = entries > 0
+        return np.concatenate([entries, kept[some].astype(np.int64), totals[asking][some]]), np.concatenate([gain[some], expected[some]])
+
+
+def _reduce(table: pa.Table) -> pa.Table:
+    """Counts, or verdicts on contexts, of one range of hashes for every chunk that asks. Of the chunks that ask for a key, one is told to count its entry in."""
+    kind, length, part = (table.column(c)[0].as_py() for c in ("kind", "length", "part"))
+    asked = [_unpack_keys(k.as_py()) for k in table.column("keys")]
+    numbers = [_unpack_numbers(x.as_py()) for x in table.column("numbers")]
+    keys = np.concatenate(asked)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    distinct = 0
+    if kind == COUNT:
+        n = np.add.reduceat(np.concatenate(numbers)[order], starts)
+        distinct = int((n > 0).sum())
+        answer = np.repeat(2 * n, sizes)
+        answer[starts] += 1
+    else:
+        columns = np.zeros((5, len(keys)))
+        at = 0
+        for k, x, s in zip(asked, numbers, table.column("sums"), strict=True):
+            some = at + np.flatnonzero(x[: len(k)])
+            columns[0, at : at + len(k)] = x[: len(k)]
+            columns[1:3, some] = x[len(k) :].reshape(2, -1)
+            columns[3:, some] = np.frombuffer(s.as_py(), "<f8").reshape(2, -1)
+            at += len(k)
+        entries, kept, _, gain, expected = (np.add.reduceat(c[order], starts) for c in columns)
+        total = np.maximum.reduceat(columns[2][order], starts)
+        rest = np.maximum(total - kept, 0.0)
+        gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / np.maximum(total, 1) / np.maximum(1 - expected, 1e-12)), 0.0)
+        answer = np.repeat(np.where((entries > 0) & (gain >= CUTOFF * (entries + 1)), kept + 1, 0).astype(np.int64), sizes)
+    told = np.empty(len(keys), np.int64)
+    told[order] = answer
+    ends = list(accumulate(map(len, asked)))
+    blobs = [_pack_numbers(told[end - len(k) : end]) for k, end in zip(asked, ends, strict=True)]
+    same = lambda x: pa.array([x] * len(asked), pa.int32())
+    return pa.table([same(kind), same(length), same(part), table.column("chunk"), pa.array(blobs, pa.binary()), pa.array([distinct] + [0] * (len(asked) - 1))], ["kind", "length", "part", "chunk", "told", "distinct"])
+
+
+def _joined(chunks: DataFrame, told: list[DataFrame]) -> DataFrame:
+    """Every chunk with what it has been told so far. The chunks stay where their buckets are; only what they are told moves."""
+    if not told:
+        return chunks.withColumn("told", F.lit(None).cast("array<struct<kind int, length int, part int, told binary>>"))
+    rows = told[0]
+    for more in told[1:]:
+        rows = rows.unionByName(more)
+    return chunks.join(rows.groupBy("chunk").agg(F.collect_list(F.struct("kind", "length", "part", "told")).alias("told")), "chunk", "left")
+
+
+def ask(chunks: DataFrame, told: list[DataFrame], total: int, distinct: int, depth: int, bits: int) -> DataFrame:
+    """One round: what all chunks ask for next, and what they are told, a written table."""
+    rounds = len(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        shift = np.uint64(64 - bits)
         for batch in batches:
-            found = []
-            for _, ids, _ in _numbers(batch.column("ids")):
-                *shorter, (context, _) = model.contexts(ids)
-                # an entry without its oldest word is a frequent entry, too
-                keys = _keys(np.where(shorter[-1][1] < 0, -1, context) if shorter else context, ids)
-                found.append(keys[keys >= 0])
-            if found:
-                own, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["key", "n"])
-
-    counted = numbered.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= tree.least)
-    table = materialize(counted, "lm-counts")
-    rows = table.toPandas().sort_values("key")
-    discard(table)
-    return rows["key"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
-
-
-def _retain(context: np.ndarray, n: np.ndarray, totals: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Divergence test: for each context its parent's weight, nan if not retained, and for each entry its own weight, 0 if not.
-
-    Per entry: the number of its ``context`` (sorted), its count ``n`` and the parent's probability of its word. ``totals`` has every context's count.
-    """
-    back, own = np.full(len(totals), np.nan), np.zeros(len(n))
-    if not len(n):
-        return back, own
-    starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    sizes, here = np.diff(np.append(starts, len(context))), context[starts]
-    total = totals[here].astype(float)
-    kept, expected = np.add.reduceat(n, starts).astype(float), np.add.reduceat(parent, starts)
-    rest = np.maximum(total - kept, 0.0)
-    gain = np.add.reduceat(n * np.log(n / totals[context] / parent), starts)
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / total / np.maximum(1 - expected, 1e-12)), 0.0)
-    retained = gain >= CUTOFF * (sizes + 1)
-    back[here] = np.where(retained, (rest + PARENT_WEIGHT) / (total + PARENT_WEIGHT), np.nan)
-    return back, np.where(np.repeat(retained, sizes), n / (totals[context] + PARENT_WEIGHT), 0.0)
-
-
-def fit_words(counts: DataFrame) -> SuffixTree:
-    """The root of the tree for the word counts ``counts`` (:func:`word_counts`, a written table)."""
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"] or 0), int(sums["v"])
-    least = max(float(LEAST), P_MIN * total)
-    # the end token is a context even where it is rare
-    frequent = counts.where((F.col("c") >= least) | (F.octet_length("word") == 0)).toPandas()
-    frequent = frequent.assign(word=[bytes(w) for w in frequent["word"]]).sort_values(["c", "word"], ascending=[False, True])
-    return SuffixTree(list(frequent["word"]), frequent["c"].to_numpy(dtype=np.int64), total, distinct, least)
-
-
-def grow(tree: SuffixTree, training: DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """``tree`` with contexts of up to ``depth`` words of the numbered texts ``training``, length by length until no entry is frequent."""
-    totals, mask = tree.counts, (1 << _SHIFT) - 1
-    for length in range(1, depth + 1):
-        if not len(totals):
-            break
-        keys, n = _count_entries(training, tree)
-        context, word = keys >> _SHIFT, keys & mask
-        if length == 1:
-            suffix, parent = np.full(len(totals), -1), tree.root()[word]
-        else:
-            longer = tree.levels[-1].keys
-            shorter = tree.levels[-1].suffix[longer >> _SHIFT]
-            suffix = longer & mask if length == 2 else _find(tree.levels[-2].keys, _keys(shorter, longer & mask))
-            parent = tree.state(length - 1, suffix[context], word)
-        back, own = _retain(context, n, totals, parent)
-        tree.levels.append(Level(keys, own, back, suffix))
-        totals = n
-    return tree
-
-
-def score_documents(numbered: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score and score of every text of ``numbered`` (:func:`number_texts`).
-
-    Words of the tree are scored in the tasks; the others, at most ``1 / P_MIN``-rare each, meet
-    their counts in a join on the word.
-    """
-    shared = numbered.sparkSession.sparkContext.broadcast(tree)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                for kind, length, keys, numbers, sums in Chunk(row, total, distinct, rounds).walk(depth):
+                    if not len(keys):
+                        continue
+                    parts = (keys >> shift).astype(np.int64)
+                    starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])[: len(keys)]).tolist()
+                    rows, extra = [], numbers[len(keys) :].reshape(2, -1) if kind == RETAIN else None
+                    some = np.cumsum(np.append(0, numbers[: len(keys)] > 0))
+                    for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                        own, more = numbers[a:b], b""
+                        if extra is not None:
+                            x, y = some[a], some[b]
+                            own = np.concatenate([own, *extra[:, x:y]])
+                            more = np.concatenate([*sums.reshape(2, -1)[:, x:y]]).tobytes()
+                        rows.append((kind, length, int(parts[a]), row["chunk"], _pack_keys(keys[a:b]), _pack_numbers(own), more))
+                    if rows:
+                        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, ["kind", "length", "part", "chunk", "keys", "numbers", "sums"])
+
+    asked = _joined(chunks, told).select("chunk", "held", "n_tokens", "hashes", "ids", "told").mapInArrow(run, _ASKED)
+    return materialize(asked.groupBy("kind", "length", "part").applyInArrow(_reduce, _TOLD), "lm-told")
+
+
+def score_chunks(chunks: DataFrame, told: list[DataFrame], total: int, distinct: int, depth: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score of every text of the chunks, once they have been told all."""
+    kind, rounds = dict(chunks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">"), len(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            for at, ids, starts in _numbers(batch.column("ids")):
-                base, state = (np.add.reduceat(x, starts) for x in model.log_scores(ids))
-                known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(starts)), pa.array(known), pa.array(base), pa.array(state)], ["row", "known", "base", "state"])
-
-    scored = numbered.select("row", "ids").mapInArrow(run, "row long, known long, base double, state double")
-    told = numbered.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    each = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(tree.denominator))
-    met = told.join(counts.where(F.col("c") < tree.least), "word", "left").select("row", each.alias("base"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"))
-    # a text's parts: its own row, its scores in the tree, and its rare words'
-    zero, none = F.lit(0.0), F.lit(0).cast("long")
-    kind = dict(numbered.dtypes)["doc_id"]
-    parts = numbered.select("row", "doc_id", "held_out", "n_tokens", none.alias("known"), zero.alias("base"), zero.alias("state"))
-    for part, state in ((scored, F.col("state")), (met, F.col("base"))):
-        parts = parts.unionByName(part.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), none.alias("n_tokens"), "known", "base", state.alias("state")))
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "state")))
-    return sums.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"), F.col("state").alias("score"))
-
-
-def score_corpus(documents: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                chunk = Chunk(part.select(["held", "n_tokens", "hashes", "ids", "told"]).to_pylist()[0], total, distinct, rounds)
+                for _ in chunk.walk(depth):
+                    raise RuntimeError("a chunk wasn't told all that it asked for")
+                starts = np.cumsum(chunk.lengths) - chunk.lengths
+                known, base, state = (np.add.reduceat(x, starts) for x in (chunk.known.astype(np.int64), np.log10(chunk.root), np.log10(chunk.state)))
+                columns = [*(part.column(c).flatten() for c in ("doc_ids", "held", "n_tokens")), pa.array(known), pa.array(base), pa.array(state)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = _joined(chunks, told)
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Drop each job's shuffle files once its result is written, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _ranges(words: int) -> int:
+    """Bits of a hash that tell its range, so that a range has a bounded share of the corpus' words."""
+    return max(1, (words >> RANGE_BITS).bit_length())
+
+
+def score_corpus(documents: DataFrame, held_out: Column, depth: int = DEPTH, chunk_words: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``documents``.
 
     The tree is fitted on the rows for which ``held_out`` (of doc_id) is false. A null or empty text is its end token alone. Rows that
     repeat an id are scored each. Without training rows every probability is 1 and the scores are 0. Extra columns are ignored.
     """
-    counts = materialize(word_counts(documents.where(~held_out)), "lm-words")
-    tree = fit_words(counts)
-    numbered = number_texts(documents, tree, held_out)
-    scored = score_documents(numbered, grow(tree, numbered.where("not held_out"), depth), counts)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = documents.sparkSession
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b"), F.count("*").alias("n")).first()
+    # a word takes two bytes or more of its text, most of them about six
+    words = int(size["b"] or 0) // 6 + int(size["n"])
+    buckets = min(max(1, words // (chunk_words * BUCKET_CHUNKS)) + spark.sparkContext.defaultParallelism, 100_000)
+    with _dropping_shuffles(spark):
+        chunks = cut_chunks(documents, held_out, buckets, chunk_words)
+        total = F.sum(F.aggregate(F.zip_with("held", "n_tokens", lambda h, n: F.when(h, 0).otherwise(n)), F.lit(0).cast("long"), lambda a, b: a + b))
+        total, distinct, told = int(chunks.agg(total).first()[0] or 0), 0, []
+        for _ in range(depth + 2):
+            told.append(ask(chunks, told, total, distinct, depth, _ranges(words)))
+            if len(told) == 1:
+                distinct = int(told[0].agg(F.sum("distinct")).first()[0] or 0)
+    scored = score_chunks(chunks, told, total, distinct, depth)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
