@@ -389,6 +389,10 @@ def test_what_chunks_send():
     for keys in ([5], [0, 2**64 - 1], np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64) * 2)):
         keys = np.array(keys, np.uint64)
         assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+    for keys in ([], [7, 7, 7], [3, 2, 1, 2, 2**64 - 1, 2**64 - 2], rng.integers(0, 50, 300), rng.integers(0, 2**62, 5000).astype(np.uint64) | np.uint64(2**63)):
+        keys = np.array(keys, np.uint64)
+        order, ranked = lm._order(keys)
+        assert (order == np.argsort(keys, kind="stable")).all() and (ranked == keys[order]).all()
     for numbers in ([], [0, 254, 255, 256, 2**40], rng.integers(0, 600, 1000)):
         numbers = np.array(numbers, np.int64)
         assert (lm._unpack_numbers(lm._pack_numbers(numbers)) == numbers).all()

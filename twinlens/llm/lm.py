@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import new_path
 
 #: Least count of a context and of an entry.
 LEAST = 2
@@ -65,18 +65,18 @@ def _unpack_numbers(blob: bytes) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted different hashes as differences, in as many bytes as the largest one needs."""
+    """Sorted different hashes as differences, in as many planes of bytes as the largest one needs."""
     base = keys[0]
     steps = np.diff(keys, prepend=base)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return base.tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return base.tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpack_keys(blob: bytes) -> np.ndarray:
     base, width = np.frombuffer(blob, "<u8", 1)[0], blob[8]
-    narrow = np.frombuffer(blob, np.uint8, -1, 9).reshape(-1, width)
-    steps = np.zeros((len(narrow), 8), np.uint8)
-    steps[:, :width] = narrow
+    planes = np.frombuffer(blob, np.uint8, -1, 9).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
     return base + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -88,10 +88,33 @@ def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in order, equal ones as they come, and the keys in that order.
+
+    Sorts the keys' leading bits together with their places, which takes half the time, unless these bits don't tell all different keys apart.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    low = np.uint64(len(keys).bit_length())
+    least, most = keys.min(), keys.max()
+    # keys of one range begin with the same bits
+    mixed = keys << np.uint64(64 - int(least ^ most).bit_length() if least < most else 0)
+    mixed >>= low
+    mixed <<= low
+    mixed |= np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    mixed &= (np.uint64(1) << low) - np.uint64(1)
+    order = mixed.view(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+    return order, ranked
+
+
 def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, one place of each, and each place's number among them."""
-    order = np.argsort(keys)
-    ranked = keys[order]
+    order, ranked = _order(keys)
     new = np.append(True, ranked[1:] != ranked[:-1])[: len(keys)]
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -136,7 +159,7 @@ def cut_chunks(documents: DataFrame, held_out: Column, buckets: int, chunk_words
     rows = documents.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
     spark, path = documents.sparkSession, new_path(documents.sparkSession, "lm-chunks")
     table = f"lm_chunks_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, schema).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(table)
+    rows.mapInArrow(run, schema).write.bucketBy(buckets, "chunk").options(path=path, compression="zstd").saveAsTable(table)
     return spark.table(table)
 
 
@@ -162,47 +185,49 @@ class Chunk:
     def walk(self, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """What it asks for next: kind, length, sorted hashes, numbers and sums. At the end it has ``root`` and ``state``, each word's probabilities."""
         keys, _, number = _different(self.hashes)
-        place, word = number[self.ids], self.hashes[self.ids]  # each position's place among the keys of the current length
-        end, none = number[0], np.array([], float)
+        place, none = number[self.ids], np.array([], float)
         told = self.told(COUNT, 0)
         if told is None:
             yield COUNT, 0, keys, np.bincount(place[self.training], minlength=len(keys)), none
             return
         count = told >> 1
-        self.known = count[place] > 0
-        self.root = (count[place] + ADD) / self.denominator
-        self.state, before = self.root, np.append(end, place[:-1])
-        first = before == end
+        self.known = (count > 0)[place]
+        self.root = self.state = ((count + ADD) / self.denominator)[place]
+        # of each text's first word the context is an end token; no longer context ends in one
+        before = np.append(number[0], place[:-1])
+        first = np.append(before == number[0], True)
+        frequent = (count >= LEAST)[place]
+        spots = np.flatnonzero((count >= LEAST)[before])  # positions whose context is frequent, and these contexts' places among the keys
+        context = before[spots]
         for length in range(1, depth + 1):
-            # the context before each position, among the keys of the length before; the oldest word may be an end token, no other
-            context = before if length == 1 else np.where(first, -1, np.append(-1, place[:-1]))
-            total = np.where(context >= 0, count[context], 0)
-            context[total < LEAST] = -1
-            here = np.flatnonzero((context >= 0) & (place >= 0) & (count[place] >= LEAST))
-            longer, sample, number = _different(_mixed(keys[context[here]], word[here]))
+            entry = frequent[spots]  # where the sequence without its oldest word is frequent, too
+            here = spots[entry]
+            longer, sample, number = _different(_mixed(keys[context[entry]], self.hashes[self.ids[here]]))
             told = self.told(COUNT, length)
             if told is None:
                 yield COUNT, length, longer, np.bincount(number[self.training[here]], minlength=len(longer)), none
                 return
             n = told >> 1
-            asking = np.flatnonzero(np.bincount(context[context >= 0], minlength=len(keys)))
+            kept = np.bincount(context, minlength=len(keys))
+            asking = np.flatnonzero(kept)
+            often = (n >= LEAST)[number]
+            here_often, number = here[often], number[often]
             verdicts = self.told(RETAIN, length)
             if verdicts is None:
-                yield RETAIN, length, keys[asking], *self._shares(asking, count, context[here[sample]], self.state[here[sample]], told)
+                yield RETAIN, length, keys[asking], *self._shares(asking, count, context[entry][sample], self.state[here[sample]], told)
             else:
-                kept = np.zeros(len(keys), np.int64)
                 kept[asking] = verdicts
-                rows = np.flatnonzero((context >= 0) & (kept[context] > 0))
+                some = kept[context] > 0
+                rows, at = spots[some], context[some]
                 own = np.zeros(len(place))
-                own[here] = np.where(n[number] >= LEAST, n[number], 0)
-                rest = np.maximum(total[rows] - (kept[context[rows]] - 1), 0)
-                self.state = self.state.copy()
-                self.state[rows] = ((rest + PARENT_WEIGHT) * self.state[rows] + own[rows]) / (total[rows] + PARENT_WEIGHT)
-            place = np.full(len(place), -1)
-            place[here] = number
-            keys, count = longer, n
-            if not len(keys):
-                keys, count = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+                own[here_often] = n[number]
+                rest, total = np.maximum(count[at] - (kept[at] - 1), 0), count[at]
+                self.state = self.state.copy() if self.state is self.root else self.state
+                self.state[rows] = ((rest + PARENT_WEIGHT) * self.state[rows] + own[rows]) / (total + PARENT_WEIGHT)
+            frequent = np.zeros(len(place), bool)
+            frequent[here_often] = True
+            inside = ~first[here_often + 1]
+            spots, context, keys, count = here_often[inside] + 1, number[inside], longer, n
 
     def _shares(self, asking: np.ndarray, totals: np.ndarray, context: np.ndarray, parent: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The divergence test's sums over those entries that this chunk counts in: entries, their counts, their contexts' totals; gains and parents' probabilities."""
@@ -219,8 +244,7 @@ def _reduce(table: pa.Table) -> pa.Table:
     asked = [_unpack_keys(k.as_py()) for k in table.column("keys")]
     numbers = [_unpack_numbers(x.as_py()) for x in table.column("numbers")]
     keys = np.concatenate(asked)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
+    order, ranked = _order(keys)
     starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     sizes = np.diff(np.append(starts, len(keys)))
     distinct = 0
@@ -290,7 +314,9 @@ def ask(chunks: DataFrame, told: list[DataFrame], total: int, distinct: int, dep
                         yield pa.RecordBatch.from_arrays(columns, ["kind", "length", "part", "chunk", "keys", "numbers", "sums"])
 
     asked = _joined(chunks, told).select("chunk", "held", "n_tokens", "hashes", "ids", "told").mapInArrow(run, _ASKED)
-    return materialize(asked.groupBy("kind", "length", "part").applyInArrow(_reduce, _TOLD), "lm-told")
+    path = new_path(chunks.sparkSession, "lm-told")
+    asked.groupBy("kind", "length", "part").applyInArrow(_reduce, _TOLD).write.parquet(path, compression="zstd")
+    return chunks.sparkSession.read.schema(_TOLD).parquet(path)
 
 
 def score_chunks(chunks: DataFrame, told: list[DataFrame], total: int, distinct: int, depth: int) -> DataFrame:
