@@ -31,6 +31,19 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_long_conversations(spark):
+    """One text of half a million characters, most of them control strings, and one conversation of 5,000 turns, some alike."""
+    long = HARD * 8000
+    turns = [(2, i, "user" if i % 3 else "assistant", f"turn {i % 7} </s>", "") for i in range(5000)]
+    out = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "tell", ""), (1, 1, "assistant", long, ""), *turns], TURNS)).persist()
+    back = {r["conv_id"]: r["t"] for r in out.select("conv_id", chat.parse_formatted(F.col("formatted")).alias("t")).collect()}
+    assert [tuple(t) for t in back[1]] == [("user", "tell"), ("assistant", long)] and [tuple(t) for t in back[2]] == [t[2:4] for t in turns]
+    got = {r["conv_id"]: r for r in chat.conversation_digests(out).collect()}
+    learnt = "".join(t[3] for t in turns if t[2] == "assistant")
+    for conv, n, text in ((1, 2, long), (2, 5000, learnt)):
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (n, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_chat_uses_spark_alone(spark):
     plan = chat.conversation_digests(chat.format_conversations(spark.createDataFrame([], TURNS)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
