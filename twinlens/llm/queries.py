@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontamination, html, lm, negatives, packing, quality, simhash, toxicity, vectors, warc
+from . import audit, chat, decontamination, html, lm, negatives, packing, quality, repeats, simhash, toxicity, vectors, warc
 from .common import crc_mod
 
 
@@ -59,6 +59,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -135,6 +140,28 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(text_chars + CASE WHEN same THEN 8 ELSE 24 + role_chars END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p, h FROM d
+), s AS (
+  SELECT doc_id, p, sha256(substr(h, 2 * p + 1, 100)) AS k FROM w
+), g AS (
+  SELECT doc_id, p FROM s QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id
+), r AS (
+  SELECT doc_id, p, CASE WHEN lag(p) OVER (PARTITION BY doc_id ORDER BY p) >= p - 50 THEN 0 ELSE 1 END AS new FROM g
+), c AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM r
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM c GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, b AS start, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS stop FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d)
+)
+SELECT doc_id, any_value(length(h)) // 2 AS n_bytes, any_value(length(h)) // 2 - CAST(sum(coalesce(stop, length(h) // 2) - start) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * start + 1, 2 * (coalesce(stop, length(h) // 2) - start)), '' ORDER BY start))) AS kept_sha256
+FROM k JOIN d USING (doc_id) GROUP BY doc_id
 """,
     "op12_hard_negatives": """
 WITH e AS (
