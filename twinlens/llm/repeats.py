@@ -9,8 +9,9 @@ Texts are bytes. A byte goes if a string of LENGTH bytes that covers it also sta
    starts in. Every chunk is told these for its contexts, as few runs of strings, and marks the bytes that go.
 
 Nothing is gathered by a key without a bound: a chunk asks for an anchor, or names a context, once. An anchor that occurs over MANY times names its contexts to the owners of the
-contexts' hashes instead, and one with more than that, or over CROWD different contexts, has its strings sorted one by one: the owner of a string's hash gets it once from each chunk. So what one task
-gets for one key grows with the number of chunks at most, a few bytes each in the first two steps. Chunks stay where their buckets are; only what they ask and are told moves.
+contexts' hashes instead, and one with more than that, or over CROWD different contexts, is left to its strings: each chunk names a string once, by two hashes of 64 bits, to the owner of
+the first, who tells its smallest document. So what one task gets for one key grows with the number of chunks at most, by some 24 bytes each. Chunks stay where their buckets are; only what they
+ask and are told moves.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .suffixes import BYTES, END, GAP, _ranges, suffix_arrays
 LENGTH = 50
 #: Bytes of a chunk (a longer text is one chunk), chunks of a bucket, and anchors of the corpus to a range of hashes (as a power of two).
 CHUNK, BUCKET_CHUNKS, RANGE_BITS = 6 << 20, 2, 20
-#: Occurrences of an anchor, and different contexts of one, beyond which strings are sorted one by one.
+#: Occurrences of an anchor, and different contexts of one, beyond which strings are looked up one by one.
 MANY, CROWD = 1 << 20, 32
 #: Strings whose anchors are found at once, and symbols whose suffixes are sorted at once, unless one anchor has more.
 STEP, SORTED = 1 << 19, 1 << 20
@@ -99,7 +100,9 @@ def anchors(text: np.ndarray, valid: np.ndarray, length: int) -> list[np.ndarray
         anchor = (least[at] & mask).astype(np.int64)
         new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         first = at[new]
-        for column, more in zip(found, (hashes[anchor[new]], start + first, np.diff(np.append(new, len(at))), anchor[new] - first), strict=True):
+        # the least hashes begin with zeros: multiplied, they are spread over all ranges
+        spread = hashes[anchor[new]] * np.uint64(0x9E3779B97F4A7C15)
+        for column, more in zip(found, (spread, start + first, np.diff(np.append(new, len(at))), anchor[new] - first), strict=True):
             column.append(more)
     return [np.concatenate(c) if c else np.zeros(0, np.uint64 if not i else np.int64) for i, c in enumerate(found)]
 
@@ -209,11 +212,7 @@ class Chunk:
 
         yield from self._parts(self.pair_part[mine], contexts, CONTEXTS, asks=False)
 
-        def strings(s: slice) -> list:
-            first = self.string_at[self.string_pick[s]]
-            sizes = np.full(len(first), self.length, np.int64)
-            return [self.string_hash[s].tobytes(), self.string_own[s].tobytes(), self.string_doc[s].tobytes(), None, sizes.astype("<i4").tobytes(), self.text[_ranges(first, sizes)].tobytes()]
-
+        strings = lambda s: [self.string_hash[s].tobytes(), self.string_own[s].tobytes(), self.string_doc[s].tobytes(), None, None, None]
         yield from self._parts((self.string_hash >> self.shift).astype(np.int64), strings, STRINGS)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,18 +372,22 @@ def _tell_least(length: int):
         heads = _heads(key[order], own[order])
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        has = order[heads] < len(size)
-        text = order[heads[has]]  # one sent copy of each context
-        first = np.minimum.reduceat(doc[order], heads)[has] if len(heads) else doc
-        least = least_documents(buffer, (np.cumsum(size) - size)[text], size[text], key[text], first, length)
-        strings = size[text] - length + 1
-        run_heads = _heads(np.repeat(np.arange(len(text)), strings), least) if len(least) else np.zeros(0, np.int64)
-        run_sizes, run_least = np.diff(np.append(run_heads, len(least))), least[run_heads]
-        ends = np.searchsorted(run_heads, np.cumsum(strings))
-        # of all contexts, also those that weren't sent
-        runs, starts = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
-        runs[has] = np.diff(ends, prepend=0)
-        starts[has] = ends - runs[has]
+        first = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
+        if table.column("kind")[0].as_py() == STRINGS:  # told apart by both hashes
+            starts, runs, run_least = np.arange(len(heads)), np.ones(len(heads), np.int64), first
+            run_sizes = runs
+        else:
+            has = order[heads] < len(size)
+            text = order[heads[has]]  # the bytes of each context that was sent
+            least = least_documents(buffer, (np.cumsum(size) - size)[text], size[text], key[text], first[has], length)
+            strings = size[text] - length + 1
+            run_heads = _heads(np.repeat(np.arange(len(text)), strings), least) if len(least) else np.zeros(0, np.int64)
+            run_sizes, run_least = np.diff(np.append(run_heads, len(least))), least[run_heads]
+            ends = np.searchsorted(run_heads, np.cumsum(strings))
+            # of all contexts, also those that weren't sent
+            runs, starts = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+            runs[has] = np.diff(ends, prepend=0)
+            starts[has] = ends - runs[has]
         blobs, at = [], len(size)
         for i in asking:
             context = number[at : at + len(keys[i])]
