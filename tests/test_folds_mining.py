@@ -26,6 +26,44 @@ def test_group_folds(pairs):
     assert folds.leakage_between(folded, folded.limit(0)).first()["overlap_ratio"] == 0
 
 
+def plain_loads(sizes, k):
+    """Each group on the lightest fold, largest first."""
+    loads = [0] * k
+    for n in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += n
+    return loads
+
+
+def test_places_by_histogram_equal_places_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        k = int(rng.integers(1, 7))
+        sizes = [int(x) for x in rng.choice([1, 1, 1, 2, 3, 7, 50, 1000], rng.integers(1, 60))]
+        histogram = {n: sizes.count(n) for n in sizes}
+        placed = folds.place_histogram(histogram, k)
+        assert all(sum(placed[n]) == c for n, c in histogram.items())
+        assert [sum(n * placed[n][f] for n in placed) for f in range(k)] == plain_loads(sizes, k)
+    placed = folds.place_histogram({1: 10**12, 10**9: 3, 7: 10**10}, 5)  # a trillion groups in a moment
+    loads = [sum(n * p[f] for n, p in placed.items()) for f in range(5)]
+    assert max(loads) - min(loads) <= 1
+
+
+@pytest.mark.parametrize("narrow", [True, False])
+def test_balanced_folds_of_many_groups(spark, monkeypatch, narrow):
+    """30,000 groups, one of which holds a third of all rows, and a null one."""
+    if not narrow:
+        monkeypatch.setattr(folds, "BROADCAST_ROWS", 100)
+    df = spark.range(60_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 1000 = 1 then null else cast(id div 2 as string) end as g")
+    folded = folds.group_folds(df, "g", 4).persist()
+    assert folded.columns == ["id", "g", "fold"] and folded.select("id").distinct().count() == 60_000
+    sizes = [r["count"] for r in df.groupBy("g").count().collect()]
+    assert sorted(r["count"] for r in folded.groupBy("fold").count().collect()) == sorted(plain_loads(sizes, 4))
+    assert folded.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
+    other = folds.group_folds(df, "g", 4, seed=1)
+    assert folded.join(other.withColumnRenamed("fold", "f2"), "id").where("fold <> f2").count() > 1000
+    assert folds.group_folds(df.limit(0), "g").count() == 0
+
+
 def test_samples(pairs):
     assert folds.exact_sample(pairs, "pair_id", 10).count() == 10
     kept = folds.subsample_negatives(pairs, "pair_id", "is_double", 2)
@@ -53,6 +91,8 @@ def test_nested_folds(pairs):
         inside = nested.where(F.col("outer") == k)
         assert {r["pair_id"] for r in inside.select("pair_id").collect()} == {r["pair_id"] for r in outer.where(F.col("fold") != k).collect()}
         assert inside.groupBy("group_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty() and inside.select("fold").distinct().count() <= 3
+        sizes = [r["count"] for r in inside.groupBy("group_id").count().collect()]
+        assert sorted(r["count"] for r in inside.groupBy("fold").count().collect()) == sorted(plain_loads(sizes, 3))
 
 
 def test_random_negatives(spark):

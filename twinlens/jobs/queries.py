@@ -403,17 +403,31 @@ _FOLDED = f"{WITH}, folded AS (SELECT *, CAST({s_draw('group_id', chr(39) + '42'
 
 @query("group_folds_hash", f"{_FOLDED} SELECT fold, count(*) AS n, count(DISTINCT group_id) AS groups FROM folded GROUP BY fold")
 def q_group_folds_hash(spark, d):
-    return folds.group_folds(derived_pairs(spark, d), "group_id", head=0).groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups"))
+    return folds.group_folds(derived_pairs(spark, d), "group_id", hashed=True).groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups"))
 
 
-@query("group_folds")
+@query("group_folds", f"{WITH}, g AS (SELECT group_id, count(*) AS n FROM pairs GROUP BY group_id) SELECT sum(n)::BIGINT AS n, count(*) AS groups, 0::BIGINT AS split_groups, max(n) AS largest, true AS balanced, 5 AS folds FROM g")
 def q_group_folds(spark, d):
-    return folds.group_folds(derived_pairs(spark, d), "group_id").select("pair_id", "group_id", "fold")
+    """What holds for balanced folds: every row has one, no group is in two, and folds differ by one largest group at most."""
+    folded = folds.group_folds(derived_pairs(spark, d), "group_id").groupBy("group_id", "fold").agg(F.count("*").alias("n"))
+    return _invariants(folded).select("n", "groups", "split_groups", "largest", "balanced", "folds")
 
 
-@query("nested_folds")
+def _invariants(cells: DataFrame, *keys: str) -> DataFrame:
+    """Of rows counted by group and fold (and ``keys``)."""
+    groups = cells.groupBy(*keys, F.coalesce("group_id", F.lit("")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    groups = groups.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("split_groups"), F.max("n").alias("largest"))
+    loads = cells.groupBy(*keys, "fold").agg(F.sum("n").alias("load")).groupBy(*keys).agg((F.max("load") - F.min("load")).alias("spread"), F.count("*").cast("int").alias("folds"))
+    met = groups.join(loads, list(keys)) if keys else groups.crossJoin(loads)  # one row each
+    return met.withColumn("balanced", F.col("spread") <= F.col("largest"))
+
+
+@query("nested_folds", f"{WITH}, g AS (SELECT group_id, count(*) AS n FROM pairs GROUP BY group_id) SELECT sum(n)::BIGINT * 4 AS rows, count(*) * 4 AS groups, 0::BIGINT AS split_groups, true AS balanced, 15 AS folds FROM g")
 def q_nested_folds(spark, d):
-    return folds.nested_folds(derived_pairs(spark, d).select("pair_id", "group_id"), "group_id").groupBy("outer", "fold").agg(F.count("*").alias("n"))
+    """Over all five held-out folds: every group is in the inner folds of the four others, in one fold each, and inner folds are balanced."""
+    nested = folds.nested_folds(derived_pairs(spark, d).select("pair_id", "group_id"), "group_id")
+    each = _invariants(nested.groupBy("outer", "group_id", "fold").agg(F.count("*").alias("n")), "outer")
+    return each.agg(F.sum("n").alias("rows"), F.sum("groups").alias("groups"), F.sum("split_groups").alias("split_groups"), F.every("balanced").alias("balanced"), F.sum("folds").cast("int").alias("folds"))
 
 
 @query("random_folds", f"{WITH} SELECT fold, is_double, count(*) AS n FROM (SELECT is_double, CAST({s_draw('CAST(pair_id AS VARCHAR)', 'CAST(is_double AS VARCHAR)', chr(39) + '42' + chr(39))} % 5 AS INTEGER) AS fold FROM pairs) GROUP BY fold, is_double")
@@ -423,12 +437,12 @@ def q_random_folds(spark, d):
 
 @query("leakage", f"{_FOLDED}, i AS (SELECT DISTINCT fold, id FROM (SELECT fold, base_item_id AS id FROM folded UNION ALL SELECT fold, cand_item_id FROM folded) WHERE id IS NOT NULL), c AS (SELECT id, count(*) AS k FROM i GROUP BY id) SELECT fold, round(count(*) FILTER (WHERE k > 1) / count(*), 6) AS overlap_ratio, count(*) AS n_valid_items, count(*) FILTER (WHERE k > 1) AS n_leaked_items FROM i JOIN c USING (id) GROUP BY fold")
 def q_leakage(spark, d):
-    return r6(folds.leakage(folds.group_folds(derived_pairs(spark, d), "group_id", head=0), "fold"))
+    return r6(folds.leakage(folds.group_folds(derived_pairs(spark, d), "group_id", hashed=True), "fold"))
 
 
 @query("fold_class_weights", f"{_FOLDED} SELECT fold, round(count(*) FILTER (WHERE is_double = 0) / greatest(count(*) FILTER (WHERE is_double = 1), 1), 6) AS weight FROM folded GROUP BY fold")
 def q_fold_weights(spark, d):
-    return r6(folds.class_weight(folds.group_folds(derived_pairs(spark, d), "group_id", head=0), "is_double", "fold"))
+    return r6(folds.class_weight(folds.group_folds(derived_pairs(spark, d), "group_id", hashed=True), "is_double", "fold"))
 
 
 @query("negative_subsample", f"{WITH}, k AS (SELECT pair_id, is_double, row_number() OVER (PARTITION BY is_double ORDER BY {s_draw('CAST(pair_id AS VARCHAR)', chr(39) + '42' + chr(39))}, pair_id) AS rn FROM pairs) SELECT pair_id, is_double FROM k WHERE is_double = 1 OR rn <= 4 * (SELECT count(*) FROM pairs WHERE is_double = 1)")
@@ -489,7 +503,7 @@ def _cosines(spark, d) -> DataFrame:
 def q_split(spark, d):
     """The mean score of a metric over group folds and over random folds, and how far the latter overstate it."""
     c = materialize(_cosines(spark, d), "cosines")
-    group = folds.group_folds(c, "group_id", head=0).select(F.lit("group").alias("split"), "fold", "s", "is_double")
+    group = folds.group_folds(c, "group_id", hashed=True).select(F.lit("group").alias("split"), "fold", "s", "is_double")
     random = folds.stratified_folds(c, "pair_id", "is_double").select(F.lit("random").alias("split"), "fold", "s", "is_double")
     return r6(ranking.compare_splits(ranking.auc_metrics(group.unionByName(random), "s", "is_double", ("split", "fold")), "group"))
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import draw
-from ..sources.stored import materialize
+from ..sources.stored import BROADCAST_ROWS, fresh, materialize
+from .lookup import HEAVY_SHARE, lookup
 
-#: Largest groups that are placed one by one; the rest are dealt by hash.
-HEAD = 10_000
+#: The null group's name among groups as text.
+_NULL = "\x00"
 
 
 def hash_fold(group: Column, n_splits: int, seed: int) -> Column:
@@ -19,27 +20,81 @@ def hash_fold(group: Column, n_splits: int, seed: int) -> Column:
     return (draw(group.cast("string"), F.lit(str(seed))) % n_splits).cast("int")
 
 
-def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42, head: int = HEAD) -> DataFrame:
+def place_equal(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` groups of one size go to each fold, if one after another goes to the lightest fold (of equal ones the first); ``loads`` are updated.
+
+    Fold i takes its j-th group at load ``loads[i] + j * size``, so the groups go to the ``count`` smallest of these. The level up to which all are taken is found by bisection,
+    in a number of steps that doesn't depend on ``count``.
+    """
+    below = lambda level: [max(0, -(-(level - load) // size)) for load in loads]  # noqa: E731  groups that are placed at loads below the level
+    low, high = min(loads), max(loads) + size * count + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    taken = below(low)
+    for i, load in enumerate(loads):  # what is left goes to folds that are exactly at this level
+        if sum(taken) < count and load + taken[i] * size == low:
+            taken[i] += 1
+    for i, n in enumerate(taken):
+        loads[i] += n * size
+    return taken
+
+
+def place_histogram(histogram: dict[int, int], n_splits: int) -> dict[int, list[int]]:
+    """For each group size how many of its groups (``histogram``) each fold takes: longest processing time first, over counts instead of groups."""
+    loads = [0] * n_splits
+    return {size: place_equal(loads, size, histogram[size]) for size in sorted(histogram, reverse=True)}
+
+
+def _bounds(counts: list[int]) -> list[int]:
+    """Ends of the folds' places among the groups of a size, but for the last one's."""
+    return list(accumulate(counts))[:-1]
+
+
+def _sized(df: DataFrame, group: str, seed: int) -> DataFrame:
+    """Each group's text ``_g``, its rows ``n`` and a seeded key for its place among groups of its size, as a narrow written table."""
+    sizes = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit(_NULL)).alias("_g")).agg(F.count("*").alias("n"))
+    return materialize(sizes.withColumn("_seeded", F.concat(F.lit(f"{seed}:"), "_g")), "fold-groups")
+
+
+def _few(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row for each different group size; n rows have sqrt(2 n) different sizes at most."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
+def assign_folds(sizes: DataFrame, n_splits: int, bucket: str = "n") -> DataFrame:
+    """``sizes`` (a written table from :func:`_sized`) with ``place`` and ``fold``; only the counts of equal sizes come to the driver."""
+    histogram = {r["n"]: r["k"] for r in sizes.groupBy("n").agg(F.count("*").alias("k")).collect()}
+    rows = [(size, _bounds(counts)) for size, counts in place_histogram(histogram, n_splits).items()]
+    ranked = ranks_in_buckets(sizes, bucket, "_seeded").join(_few(sizes.sparkSession, rows, "n long, bounds array<long>"), "n")
+    return ranked.withColumn("fold", F.size(F.filter("bounds", lambda b: b <= F.col("place")))).drop("bounds", "size")
+
+
+def _to_rows(df: DataFrame, group: str, table: DataFrame, values: dict[str, str]) -> DataFrame:
+    """``df`` with ``values`` of its group in ``table`` (a written table of all groups, with their rows ``n``)."""
+    key = fresh(df, "_group")
+    tagged = df.withColumn(key, F.coalesce(F.col(group).cast("string"), F.lit(_NULL)))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    # fewer than HEAVY_SHARE groups
+    heavy = [r["_g"] for r in table.where(F.col("n") * HEAVY_SHARE > total).select("_g").collect()] if table.count() > BROADCAST_ROWS else []
+    if heavy:
+        return lookup(tagged, table, "_g", key, values, heavy).drop(key)
+    side = table.select(F.col("_g").alias(key), *(F.col(c).alias(n) for n, c in values.items()))
+    return tagged.join(F.broadcast(side) if table.count() <= BROADCAST_ROWS else side, key, "left").drop(key)
+
+
+def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42, *, hashed: bool = False) -> DataFrame:
     """``df`` with ``fold``: a group lies in one fold, folds have nearly equal row counts.
 
-    The ``head`` largest groups are placed on the lightest fold, one by one on the driver; the tail is dealt by hash. A null group
-    is a group.
+    Groups are placed by size, largest first, each on the lightest fold. The driver sees how many groups have each size, and decides how many of them each fold takes;
+    groups are joined to these by their rank among groups of their size, which a seeded draw orders. So folds differ by one largest group at most, for
+    any number of groups. With ``hashed`` each group is dealt by a seeded hash alone. A null group is a group. ``df`` is read twice, the first time only its groups.
     """
-    tagged = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\x00")))
-    hashed = tagged.withColumn("fold", hash_fold(F.col("_g"), n_splits, seed))
-    if not head:
-        return hashed.drop("_g")
-    sizes = tagged.groupBy("_g").agg(F.count("*").alias("n"))
-    order = [F.col("n").desc(), draw(F.col("_g"), F.lit(str(seed))), F.col("_g")]
-    load = [(0, k) for k in range(n_splits)]
-    placed = []
-    for row in sizes.orderBy(*order).limit(head).collect():
-        n, fold = heapq.heappop(load)
-        placed.append((row["_g"], fold))
-        heapq.heappush(load, (n + row["n"], fold))
-    # head rows at most
-    table = F.broadcast(df.sparkSession.createDataFrame(placed or [("", 0)], "_g string, _fold int"))
-    return hashed.join(table, "_g", "left").withColumn("fold", F.coalesce("_fold", "fold")).drop("_g", "_fold")
+    if hashed:
+        return df.withColumn("fold", hash_fold(F.coalesce(F.col(group).cast("string"), F.lit(_NULL)), n_splits, seed))
+    placed = materialize(assign_folds(_sized(df, group, seed), n_splits).select("_g", "n", "fold"), "folds")
+    return _to_rows(df, group, placed, {"fold": "fold"})
 
 
 def stratified_folds(df: DataFrame, key: str, y: str, n_splits: int = 5, seed: int = 42) -> DataFrame:
@@ -47,14 +102,38 @@ def stratified_folds(df: DataFrame, key: str, y: str, n_splits: int = 5, seed: i
     return df.withColumn("fold", (draw(F.col(key).cast("string"), F.coalesce(F.col(y).cast("string"), F.lit("")), F.lit(str(seed))) % n_splits).cast("int"))
 
 
-def nested_folds(df: DataFrame, group: str, n_splits: int = 5, inner: int = 3, seed: int = 42, head: int = HEAD) -> DataFrame:
-    """``outer`` and ``fold``: inner folds of the training rows of each outer fold; columns of ``df`` repeat once per outer fold they train."""
-    outer = group_folds(df, group, n_splits, seed, head).withColumnRenamed("fold", "own")
-    parts = None
-    for k in range(n_splits):
-        part = group_folds(outer.where(F.col("own") != k), group, inner, seed + 1, head).withColumn("outer", F.lit(k)).drop("own")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+def nested_matrix(df: DataFrame, group: str, n_splits: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
+    """One row for each group, as a written table: _g, n, its outer ``fold``, and ``inner``: its inner fold where each outer fold is held out, null at its own.
+
+    Outer folds are those of :func:`group_folds`. Where one is held out, the other groups of a size are placed anew: in the order of their outer folds and places
+    in these, so that the groups are ranked once, whatever fold is held out.
+    """
+    outer = materialize(assign_folds(_sized(df, group, seed), n_splits).select("_g", "n", "fold", F.concat(F.lit(f"{seed + 1}:"), "_g").alias("_seeded")), "folds-outer")
+    outer = outer.withColumn("cell", F.concat_ws(":", "n", "fold"))
+    cells: dict[int, list[int]] = {}
+    for r in outer.groupBy("n", "fold").agg(F.count("*").alias("k")).collect():  # group sizes times outer folds
+        cells.setdefault(r["n"], [0] * n_splits)[r["fold"]] = r["k"]
+    held_out = [place_histogram({n: sum(k) - k[o] for n, k in cells.items() if sum(k) > k[o]}, inner) for o in range(n_splits)]
+    rows = []
+    for n, counts in cells.items():
+        for fold in range(n_splits):
+            bounds, before = [], []
+            for o in range(n_splits):
+                bounds.append(_bounds(held_out[o][n]) if o != fold and n in held_out[o] else None)
+                before.append(sum(counts[f] for f in range(fold) if f != o))
+            rows.append((n, fold, before, bounds))
+    ranked = ranks_in_buckets(outer, "cell", "_seeded").join(_few(df.sparkSession, rows, "n long, fold int, before array<long>, bounds array<array<long>>"), ["n", "fold"])
+    inside = F.zip_with("before", "bounds", lambda start, ends: F.when(ends.isNotNull(), F.size(F.filter(ends, lambda b: b <= start + F.col("place")))))
+    return materialize(ranked.select("_g", "n", "fold", inside.alias("inner")), "folds-nested")
+
+
+def nested_folds(df: DataFrame, group: str, n_splits: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
+    """``outer`` and ``fold``: inner folds of the training rows of each outer fold; columns of ``df`` repeat once per outer fold they train.
+
+    The rows are read twice: once for the sizes of their groups and once with their group's row of :func:`nested_matrix`, from which all outer folds are expanded.
+    """
+    rows = _to_rows(df, group, nested_matrix(df, group, n_splits, inner, seed), {"_inner": "inner"})
+    return rows.select(*df.columns, F.posexplode("_inner").alias("outer", "fold")).where("fold is not null")
 
 
 def leakage(df: DataFrame, fold: str, ids: tuple[str, ...] = ("base_item_id", "cand_item_id")) -> DataFrame:

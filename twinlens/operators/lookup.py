@@ -11,12 +11,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.stored import materialize
+
+
+#: A key with more than one of so many rows is heavy, so there are fewer heavy keys than this; the sketch tracks many times as many.
+HEAVY_SHARE, TRACKED = 512, 20_000
+
+
+def heavy_keys(df: DataFrame, *columns: str, share: int = HEAVY_SHARE) -> list:
+    """Values that more than one in ``share`` of the rows hold in one of the columns; null isn't one. One pass with a frequency sketch of bounded size."""
+    sketches = [F.expr(f"approx_top_k(`{c}`, {share}, {TRACKED})").alias(f"_{i}") for i, c in enumerate(columns)]
+    row = df.agg(F.count("*").alias("_n"), *sketches).first()
+    # share values of each column at most; what the sketch counts too much makes a key heavy that needn't be
+    return list(dict.fromkeys(x["item"] for i in range(len(columns)) for x in row[f"_{i}"] or [] if x["item"] is not None and x["count"] * share > row["_n"]))
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, column: str, values: dict[str, str], heavy: list) -> DataFrame:
+    """``df`` with ``values`` (new name: column) of the row of ``table`` whose ``key`` is in ``column``; null for null and unknown keys.
+
+    Rows with a ``heavy`` key or none meet a broadcast part of the table, which has a row for each heavy key at most, and stay where they are. The others are
+    joined as Spark sees fit. ``df`` is read once for either part: give it stored or cheap.
+    """
+    side = table.select(F.col(key).alias("_k"), *(F.col(c).alias(n) for n, c in values.items()))
+    own = F.col(column)
+    few = own.isNull() | own.isin(heavy) if heavy else own.isNull()
+    one = df.where(few).join(F.broadcast(side.where(F.col("_k").isin(heavy))), own == F.col("_k"), "left") if heavy else df.where(few).select("*", *(F.lit(None).cast(t).alias(n) for n, t in side.dtypes))
+    return one.unionByName(df.where(~few).join(side, own == F.col("_k"), "left")).drop("_k")
+
 
 def lookup_both(pairs: DataFrame, table: DataFrame, key: str, base: str, cand: str, values: tuple[str, ...]) -> DataFrame:
-    """``pairs`` with ``base_{v}`` and ``cand_{v}`` from ``table``; unknown and null keys give null. Give a narrow ``pairs``."""
+    """``pairs`` with ``base_{v}`` and ``cand_{v}`` from ``table``, which has a row for each key; unknown and null keys give null. Give a narrow ``pairs``: it is stored.
+
+    Popular keys and null ones make no hot task: see :func:`lookup`. A pair is shuffled for those of its sides whose key is neither.
+    """
+    pairs = materialize(pairs, "lookup-pairs")
+    heavy = heavy_keys(pairs, base, cand)
     for side, column in (("base", base), ("cand", cand)):
-        side_table = table.select(F.col(key).alias("_k"), *(F.col(v).alias(f"{side}_{v}") for v in values))
-        pairs = pairs.join(side_table, F.col(column) == F.col("_k"), "left").drop("_k")
+        pairs = lookup(pairs, table, key, column, {f"{side}_{v}": v for v in values}, heavy)
     return pairs
 
 
