@@ -12,8 +12,10 @@ from ..functions import attributes as A
 from ..functions import text as T
 from ..operators import features, folds, lookup, mining, photos, ranking
 from ..operators import sides as S
+from ..sources import containers
 from ..sources.pairs import LISTINGS_SQL, PAIRS_SQL, derived_pairs, read_table
-from ..sources.stored import materialize
+from ..sources.store import EncodeStore
+from ..sources.stored import materialize, new_path
 from . import learn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,11 +321,43 @@ def q_encode_texts(spark, d):
     return lookup.encode_unique(lookup.unique_texts(derived_pairs(spark, d), "base_title", "cand_title"))
 
 
-@query("photo_hashes")
+def _photo_files(spark, d) -> tuple[str, DataFrame]:
+    """A folder with a plain grey picture of 9 by 8 pixels for each photo key of the pairs, and the keys. A photo's pixels are the numbers of a vector."""
+    photo_table = images(spark, d).where("embedding is not null")
+    pixel = lambda i: F.least(F.greatest(F.floor((F.get("embedding", F.pmod(i, F.size("embedding"))).cast("double") + 1) * 127.5), F.lit(0)), F.lit(255))
+    text = F.concat(F.lit("P2\n# a photo\n9 8\n255\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: pixel(i).cast("string")), " "))
+    root = new_path(spark, "photo-files")
+    pictures = photo_table.select("image_key", F.when(F.col("found"), text).otherwise("not a picture").alias("value"))
+    pictures.repartition(4 * spark.sparkContext.defaultParallelism, "image_key").write.partitionBy("image_key").text(root)
+    return root, photo_table.select("image_key")
+
+
+_PIXELS = "list_transform(range(72), lambda i: least(greatest(floor((CAST(embedding[CAST(i % len(embedding) + 1 AS INTEGER)] AS DOUBLE) + 1) * 127.5), 0), 255))"
+
+
+@query("photo_hashes", f"{WITH}, {_IMAGES}, px AS (SELECT image_key, found, {_PIXELS} AS p FROM images WHERE embedding IS NOT NULL), "
+    "h AS (SELECT image_key, found, list_sum(list_transform(range(64), lambda i: CASE WHEN p[CAST(i + i // 8 + 2 AS INTEGER)] > p[CAST(i + i // 8 + 1 AS INTEGER)] THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INTEGER) ELSE 0 END)) AS h FROM px) "
+    "SELECT image_key, CASE WHEN found THEN CAST(CASE WHEN h >= (CAST(1 AS HUGEINT) << 63) THEN h - (CAST(1 AS HUGEINT) << 64) ELSE h END AS BIGINT) END AS dhash, found FROM h")
 def q_photo_hashes(spark, d):
-    """Documents' bytes stand in for photo files: the means of 72 even runs of them are the grey grid."""
-    files = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_key"), F.col("text").cast("binary").alias("content"))
-    return photos.hash_photos(files, photos.byte_grid)
+    """Photos from files: written, found by their keys, packed into containers, read from these by ranges, decoded and hashed."""
+    root, keys = _photo_files(spark, d)
+    located = materialize(photos.locate_photos(spark, [root], keys, ("txt",), r"image_key=([^/]+)/"), "photo-paths")
+    packed = materialize(containers.pack_files(photos.read_files(located, [root])), "photo-containers")
+    return photos.hash_photos(containers.read_packed(packed, keys), photos.decode_pgm)
+
+
+@query("encode_store", f"{WITH}, {_IMAGES}, first AS (SELECT DISTINCT base_title_image AS image_key FROM pairs) "
+    "SELECT i.image_key, i.dhash, i.found, CASE WHEN f.image_key IS NOT NULL AND i.found THEN 1 ELSE 2 END AS run, NOT i.found AS missing FROM images i LEFT JOIN first f USING (image_key)")
+def q_encode_store(spark, d):
+    """A store of encodes that two runs fill: the base sides' photos, then those of both sides that it lacks. What wasn't found is tried again; a third run lacks no other."""
+    table = materialize(images(spark, d).select("image_key", "dhash", "found"), "photo-table")
+    kept = EncodeStore(spark, new_path(spark, "encode-store"), buckets=8)
+    pairs = derived_pairs(spark, d)
+    for run, columns in ((1, ("base_title_image",)), (2, ("base_title_image", "cand_title_image"))):
+        todo = kept.missing(photos.photo_keys(pairs, *columns))
+        kept.append(table.join(todo, "image_key", "left_semi").withColumn("run", F.lit(run)))
+    left = kept.missing(table.select("image_key")).withColumn("missing", F.lit(True))
+    return kept.rows().join(left, "image_key", "left").select("image_key", "dhash", "found", "run", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 @query("tower_scores")

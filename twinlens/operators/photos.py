@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import hamming
-from ..sources.stored import exists
+from ..sources.stored import BROADCAST_ROWS, exists
 from .lookup import dot, lookup_both
 
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
@@ -23,8 +23,12 @@ def photo_keys(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.explode(F.array(*columns)).alias("image_key")).where("image_key is not null and image_key <> ''").distinct()
 
 
-def locate_photos(spark: SparkSession, roots: list[str], keys: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """image_key and path of the wanted keys' files in ``roots`` and their folders, not in folders of those.
+#: A file's key: its name without the suffix.
+STEM = r"([^/]+)\.[^./]+$"
+
+
+def locate_photos(spark: SparkSession, roots: list[str], keys: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, key: str = STEM) -> DataFrame:
+    """image_key and path of the wanted keys' files in ``roots`` and their folders, not in folders of those. ``key`` is a pattern whose first group is the key in a path.
 
     Of several files with one key that of the first root counts, in a root that of the root itself, then of the first folder by name.
     """
@@ -35,7 +39,7 @@ def locate_photos(spark: SparkSession, roots: list[str], keys: DataFrame, suffix
         inner = F.regexp_extract("path", rf"(?:^|/){re.escape(root.rstrip('/').split('/')[-1])}/(.*)$", 1)
         parts.append(files.select("path", F.lit(i).alias("root"), F.size(F.split(inner, "/")).alias("depth")))
     files = reduce(DataFrame.unionByName, parts).where("depth <= 2")
-    found = files.select("*", F.regexp_extract("path", r"([^/]+)\.([^./]+)$", 1).alias("image_key"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
+    found = files.select("*", F.regexp_extract("path", key, 1).alias("image_key"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
     wanted = found.where(F.col("suffix").isin(*suffixes)).join(keys.select("image_key"), "image_key", "left_semi")
     return wanted.groupBy("image_key").agg(F.min(F.struct("root", "depth", "path")).alias("first")).select("image_key", "first.path")
 
@@ -71,6 +75,49 @@ def byte_grid(content: bytes | None) -> list[int] | None:
     return ((sums[end] - sums[start]) * 65536 // (end - start)).tolist()
 
 
+def read_files(located: DataFrame, roots: list[str]) -> DataFrame:
+    """image_key, path and content of ``located`` files (image_key, path). Files are read where their contents are used; name the ``roots`` that they lie in."""
+    spark = located.sparkSession
+    files = reduce(DataFrame.unionByName, (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content") for root in roots))
+    # paths are looked up in files' rows, so contents don't move as long as the located paths are few enough to broadcast
+    small = located.count() <= BROADCAST_ROWS
+    found = located.select("image_key", "path")
+    return files.join(F.broadcast(found) if small else found, "path").select("image_key", "path", "content")
+
+
+_PGM = re.compile(rb"(P[25])(?:\s+|\s*#[^\n]*\n)+(\d+)(?:\s+|\s*#[^\n]*\n)+(\d+)(?:\s+|\s*#[^\n]*\n)+(\d+)\s")
+
+
+def decode_pgm(content: bytes, rows: int = 8, columns: int = 9) -> list[int]:
+    """``rows`` times ``columns`` mean grey values, in 256ths, of a picture in portable grey format (plain or raw); ValueError for anything else.
+
+    Cells share the picture's lines and columns evenly; of a picture with fewer than these each fills several cells.
+    """
+    head = _PGM.match(content or b"")
+    if not head:
+        raise ValueError("not a grey picture")
+    width, height, most = (int(x) for x in head.groups()[1:])
+    if not width or not height or not 0 < most < 65536:
+        raise ValueError("a grey picture without pixels or depth")
+    if head[1] == b"P2":
+        values = np.array(re.sub(rb"#[^\n]*", b"", content[head.end() :]).split()[: width * height], dtype=np.int64)
+    else:
+        values = np.frombuffer(content[head.end() :], np.uint8 if most < 256 else ">u2")[: width * height].astype(np.int64)
+    if len(values) < width * height or (values > most).any():
+        raise ValueError("a grey picture that is cut off or too bright")
+    grid = values.reshape(height, width)
+    for axis, (n, cells) in enumerate(((height, rows), (width, columns))):
+        start = np.arange(cells) * n // cells
+        end = np.maximum(np.arange(1, cells + 1) * n // cells, start + 1)
+        sums = np.insert(np.cumsum(grid, axis=axis), 0, 0, axis=axis)
+        grid = np.take(sums, end, axis) - np.take(sums, start, axis)
+        if axis == 0:
+            tall = end - start
+        else:
+            grid = grid * 256 // (tall[:, None] * (end - start))
+    return grid.ravel().tolist()
+
+
 def still_to_encode(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Keys that the cache has no usable row for."""
     return keys.join(cache.where("found").select("image_key"), "image_key", "left_anti")
