@@ -4,7 +4,8 @@ Texts are bytes. A byte goes if a string of LENGTH bytes that covers it also sta
 
 1. A string's anchor is the least of the hashes of its runs of GRAM bytes, so equal strings have equal anchors at the same place. Neighbouring strings that share an anchor are one context,
    about 18 strings in 67 bytes. Texts lie in chunks; each asks the owners of ranges of hashes which of its anchors occur in other documents, too.
-2. For those the chunks name their different contexts by 64 bits of their own beside the anchor's. The owner has the smallest document of each context, and picks one chunk to send its bytes.
+2. For those the chunks name their different contexts by 64 bits of their own beside the anchor's. A context that is the only one of its anchor has no string to be told from any other, so its
+   owner answers with its smallest document. Of any other it picks one chunk to send its bytes.
 3. Contexts that share an anchor meet, each once. Their suffix array (:mod:`suffixes`) puts equal strings side by side, which gives each string the smallest document that it
    starts in. Every chunk is told these for its contexts, as few runs of strings, and marks the bytes that go.
 
@@ -23,10 +24,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_path, scratch
+from .common import materialize, new_path, scratch
 from .lm import _different, _dropping_shuffles, _mixed, _order, _pack_keys, _pack_numbers, _unpack_keys, _unpack_numbers
 from .suffixes import BYTES, END, GAP, _ranges, suffix_arrays
 
@@ -35,11 +37,13 @@ LENGTH = 50
 #: Bytes of a chunk (a longer text is one chunk), chunks of a bucket, and anchors of the corpus to a range of hashes (as a power of two).
 CHUNK, BUCKET_CHUNKS, RANGE_BITS = 6 << 20, 2, 20
 #: Occurrences of an anchor, and different contexts of one, beyond which strings are looked up one by one.
-MANY, CROWD = 1 << 20, 32
+MANY, CROWD = 1 << 20, 64
 #: Strings whose anchors are found at once, and symbols whose suffixes are sorted at once, unless one anchor has more.
 STEP, SORTED = 1 << 19, 1 << 20
 #: What chunks ask for: which anchors are shared, which contexts to send, and the smallest documents of the contexts' strings and of single strings.
 SHARED, SENDERS, CONTEXTS, STRINGS = range(4)
+#: What becomes of a context: it is its anchor's only one, this chunk sends it, its strings go one by one, another chunk sends it.
+ALONE, SEND, SPLIT, AWAIT = range(4)
 _ASKED = "kind int, part long, chunk long, keys binary, own binary, docs binary, many binary, sizes binary, texts binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 _TOLD = "kind int, part long, chunk long, told binary"
@@ -116,6 +120,15 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, which compress well."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(blob: bytes, at: int = 0) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8, -1, at).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
 def _pieces(heads: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     """Start and end of each run of rows."""
     return zip(heads.tolist(), np.append(heads, n)[1:].tolist(), strict=True)
@@ -144,10 +157,10 @@ class Chunk:
         self.hash, self.first, self.n, self.place = anchors(self.text, valid, self.length)
         self.row = np.searchsorted(self.ends, self.first, side="right")
 
-    def _parts(self, parts: np.ndarray, rows: Callable[[slice], list[bytes]], kind: int, asks: bool = True) -> Iterator[list]:
+    def _parts(self, parts: np.ndarray, rows: Callable[[slice], list[bytes]], kind: int) -> Iterator[list]:
         """A row for each part of sorted questions."""
         for a, b in _pieces(_heads(parts), len(parts)):
-            yield [kind, int(parts[a]), self.chunk if asks else -1, *rows(slice(a, b))]
+            yield [kind, int(parts[a]), self.chunk, *rows(slice(a, b))]
 
     def ask_shared(self) -> Iterator[list]:
         self._contexts()
@@ -181,18 +194,24 @@ class Chunk:
 
     def ask_senders(self) -> Iterator[list]:
         self._pairs()
-        columns = lambda s: [self.pair_hash[s].tobytes(), self.pair_own[s].tobytes(), self.pair_doc[s].tobytes(), None, None, None]
+        columns = lambda s: [_pack_keys(self.pair_hash[s]), self.pair_own[s].tobytes(), _planes(self.pair_doc[s]), None, None, None]
         yield from self._parts(self.pair_part, columns, SENDERS)
 
     def _verdicts(self) -> None:
         self._pairs()
-        self.verdict = np.concatenate([np.frombuffer(b, np.uint8) for b in self.told.get(SENDERS, [])] or [np.zeros(0, np.uint8)])
+        codes, least = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        for blob in self.told.get(SENDERS, []):
+            n = int(np.frombuffer(blob, "<u8", 1)[0])
+            codes.append(np.frombuffer(blob, np.uint8, n, 8))
+            least.append(_from_planes(blob, 8 + n))
+        self.verdict, self.alone_least = np.concatenate(codes), np.concatenate(least)
         # strings one by one: their places, and for each different one the smallest document here
-        some = np.flatnonzero(self.verdict[self.number] == 2)
+        some = np.flatnonzero(self.verdict[self.number] == SPLIT)
         self.string_at = _ranges(self.first[some], self.n[some])
         self.string_row = np.repeat(self.row[some], self.n[some])
         view, length = memoryview(self.bytes), self.length
-        both = [np.fromiter((f(view[a : a + length]) for a in self.string_at.tolist()), np.uint64, len(self.string_at)) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest)]
+        digests = b"".join(xxhash.xxh3_128_digest(view[a : a + length]) for a in self.string_at.tolist())
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2).T
         order = np.lexsort((both[1], both[0]))
         heads = _heads(*(b[order] for b in both))
         self.string_number = np.empty(len(order), np.int64)
@@ -203,27 +222,33 @@ class Chunk:
 
     def send(self) -> Iterator[list]:
         self._verdicts()
-        mine = np.flatnonzero(self.verdict == 1)
-        at, more = self.pick[mine], self.length - 1
-        # the smallest document of all is known to the owner, as every chunk's is in what it named
-        def contexts(s: slice) -> list:
-            first, sizes = self.first[at[s]], self.n[at[s]] + more
-            return [self.pair_hash[mine[s]].tobytes(), self.pair_own[mine[s]].tobytes(), None, None, sizes.astype("<i4").tobytes(), self.text[_ranges(first, sizes)].tobytes()]
+        asked, more = np.flatnonzero((self.verdict == SEND) | (self.verdict == AWAIT)), self.length - 1
+        first, sizes = self.first[self.pick[asked]], np.where(self.verdict[asked] == SEND, self.n[self.pick[asked]] + more, 0)
 
-        yield from self._parts(self.pair_part[mine], contexts, CONTEXTS, asks=False)
+        def contexts(s: slice) -> list:
+            texts = zstandard.compress(self.text[_ranges(first[s], sizes[s])].tobytes(), 1)
+            pairs = asked[s]
+            return [_pack_keys(self.pair_hash[pairs]), self.pair_own[pairs].tobytes(), _planes(self.pair_doc[pairs]), None, sizes[s].astype("<u2").tobytes(), texts]
 
-        strings = lambda s: [self.string_hash[s].tobytes(), self.string_own[s].tobytes(), self.string_doc[s].tobytes(), None, None, None]
+        yield from self._parts(self.pair_part[asked], contexts, CONTEXTS)
+        strings = lambda s: [_pack_keys(self.string_hash[s]), self.string_own[s].tobytes(), _planes(self.string_doc[s]), None, None, None]
         yield from self._parts((self.string_hash >> self.shift).astype(np.int64), strings, STRINGS)
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and end (in the chunk's text) of every maximal run of bytes that go."""
         self._verdicts()
         starts, ends, rows = [], [], []
+        verdict = self.verdict[self.number]
+        least = np.zeros(len(self.verdict), np.int64)
+        least[self.verdict == ALONE] = self.alone_least
+        gone = np.flatnonzero((verdict == ALONE) & (least[self.number] < self.ids[self.row]))
+        starts.append(self.first[gone])
+        ends.append((self.first + self.n)[gone] + self.length - 1)
+        rows.append(self.row[gone])
         runs, sizes, least = _unpack_runs(self.told.get(CONTEXTS, []))
         if len(runs):
-            # parts of contexts whose anchors have many occurrences aren't answered
-            number = np.cumsum(~self.pair_many) - 1
-            seen = np.flatnonzero(~self.pair_many[self.number])
+            number = np.cumsum((self.verdict == SEND) | (self.verdict == AWAIT)) - 1
+            seen = np.flatnonzero((verdict == SEND) | (verdict == AWAIT))
             pair = number[self.number[seen]]
             head = (np.cumsum(runs) - runs)[pair]
             run = _ranges(head, runs[pair])
@@ -251,7 +276,7 @@ class Chunk:
 
 def _pack_runs(runs: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> bytes:
     """For each context the number of its runs of strings, then the runs' sizes and smallest documents (as planes of bytes, which compress well)."""
-    return np.array([len(runs), len(sizes)], "<u8").tobytes() + runs.astype("<u2").tobytes() + sizes.astype("<u2").tobytes() + least.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.array([len(runs), len(sizes)], "<u8").tobytes() + runs.astype("<u2").tobytes() + sizes.astype("<u2").tobytes() + _planes(least)
 
 
 def _unpack_runs(blobs: list[bytes]) -> list[np.ndarray]:
@@ -260,7 +285,7 @@ def _unpack_runs(blobs: list[bytes]) -> list[np.ndarray]:
         n, m = np.frombuffer(blob, "<u8", 2).tolist()
         parts[0].append(np.frombuffer(blob, "<u2", n, 16).astype(np.int64))
         parts[1].append(np.frombuffer(blob, "<u2", m, 16 + 2 * n).astype(np.int64))
-        parts[2].append(np.frombuffer(blob, np.uint8, 8 * m, 16 + 2 * n + 2 * m).reshape(8, -1).T.copy().view("<i8").ravel())
+        parts[2].append(_from_planes(blob, 16 + 2 * (n + m)))
     return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
 
 
@@ -290,23 +315,34 @@ def _tell_shared(many: int):
     return run
 
 
+def _pairs_asked(table: pa.Table) -> list[list[np.ndarray]]:
+    """Of every row the keys, the hashes of their own, and the smallest documents."""
+    return [[_unpack_keys(x.as_py()) for x in table.column("keys")], _column(table, "own", "<u8"), [_from_planes(x.as_py()) for x in table.column("docs")]]
+
+
 def _tell_senders(crowd: int):
-    """Of one range of contexts: 1 for the chunk that sends a context, 2 for every chunk where its strings go one by one, else 0."""
+    """Of one range of contexts: what becomes of each, and the smallest documents of those that are their anchors' only ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, owns = _column(table, "keys", "<u8"), _column(table, "own", "<u8")
-        key, own = np.concatenate(hashes), np.concatenate(owns)
+        asked = _pairs_asked(table)
+        key, own, doc = map(np.concatenate, asked)
         order = np.lexsort((own, key))
         ranked, other = key[order], own[order]
         heads, keys = _heads(ranked, other), _heads(ranked)
-        many = table.column("part")[0].as_py() & 1
-        contexts = np.diff(np.append(np.searchsorted(heads, keys), len(heads)))
-        crowded = np.repeat(contexts > crowd, np.diff(np.append(keys, len(ranked)))) | bool(many)
-        told = np.zeros(len(key), np.uint8)
-        told[order[heads]] = 1
-        told[order[crowded]] = 2
-        ends = np.cumsum([len(k) for k in hashes])
-        return _answers(table, [told[e - len(k) : e].tobytes() for k, e in zip(hashes, ends.tolist(), strict=True)])
+        sizes, spread = np.diff(np.append(heads, len(key))), np.diff(np.append(keys, len(key)))
+        contexts = np.repeat(np.diff(np.append(np.searchsorted(heads, keys), len(heads))), spread)
+        codes, least = np.empty(len(key), np.uint8), np.empty(len(key), np.int64)
+        code = np.full(len(key), AWAIT, np.uint8)
+        code[heads] = SEND
+        code[contexts == 1] = ALONE
+        code[(contexts > crowd) | bool(table.column("part")[0].as_py() & 1)] = SPLIT
+        codes[order], least[order] = code, np.repeat(np.minimum.reduceat(doc[order], heads), sizes)
+        blobs, end = [], 0
+        for k in asked[0]:
+            own_codes, own_least = codes[end : end + len(k)], least[end : end + len(k)]
+            blobs.append(np.uint64(len(k)).tobytes() + own_codes.tobytes() + _planes(own_least[own_codes == ALONE]))
+            end += len(k)
+        return _answers(table, blobs)
 
     return run
 
@@ -360,41 +396,35 @@ def _tell_least(length: int):
     """Of one range of contexts, or of single strings: the smallest documents of their strings, for every chunk that asks."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks = np.array(table.column("chunk")) >= 0
-        keys, owns, docs, sizes = (_column(table, c, k) for c, k in (("keys", "<u8"), ("own", "<u8"), ("docs", "<i8"), ("sizes", "<i4")))
-        sent, asking = [i for i, x in enumerate(sizes) if len(x)], np.flatnonzero(asks).tolist()
-        none = [np.zeros(0, np.uint64)]
-        key, own = (np.concatenate([*none, *(x[i] for i in sent), *(x[i] for i in asking)]) for x in (keys, owns))
-        doc = np.concatenate([np.full(sum(len(keys[i]) for i in sent), np.iinfo(np.int64).max), *(docs[i] for i in asking)])
-        size = np.concatenate([np.zeros(0, np.int64), *(sizes[i].astype(np.int64) for i in sent)])
-        buffer = np.frombuffer(b"".join(table.column("texts")[i].as_py() for i in sent), np.uint8)
-        order = np.lexsort((own, key))  # what was sent comes first among equals
+        asked = _pairs_asked(table)
+        key, own, doc = map(np.concatenate, asked)
+        strings_alone = table.column("kind")[0].as_py() == STRINGS
+        size = np.zeros(len(key), np.int64) if strings_alone else np.concatenate(_column(table, "sizes", "<u2")).astype(np.int64)
+        order = np.lexsort((-size, own, key))  # what was sent comes first among equals
         heads = _heads(key[order], own[order])
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        first = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
-        if table.column("kind")[0].as_py() == STRINGS:  # told apart by both hashes
+        first = np.minimum.reduceat(doc[order], heads)
+        if strings_alone:  # told apart by both hashes
             starts, runs, run_least = np.arange(len(heads)), np.ones(len(heads), np.int64), first
             run_sizes = runs
         else:
-            has = order[heads] < len(size)
-            text = order[heads[has]]  # the bytes of each context that was sent
-            least = least_documents(buffer, (np.cumsum(size) - size)[text], size[text], key[text], first[has], length)
+            buffer = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("texts")), np.uint8)
+            text = order[heads]  # the bytes of each context come from one chunk
+            least = least_documents(buffer, (np.cumsum(size) - size)[text], size[text], key[text], first, length)
             strings = size[text] - length + 1
-            run_heads = _heads(np.repeat(np.arange(len(text)), strings), least) if len(least) else np.zeros(0, np.int64)
+            run_heads = _heads(np.repeat(np.arange(len(text)), strings), least)
             run_sizes, run_least = np.diff(np.append(run_heads, len(least))), least[run_heads]
             ends = np.searchsorted(run_heads, np.cumsum(strings))
-            # of all contexts, also those that weren't sent
-            runs, starts = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
-            runs[has] = np.diff(ends, prepend=0)
-            starts[has] = ends - runs[has]
-        blobs, at = [], len(size)
-        for i in asking:
-            context = number[at : at + len(keys[i])]
-            at += len(context)
+            runs = np.diff(ends, prepend=0)
+            starts = ends - runs
+        blobs, at = [], 0
+        for k in asked[0]:
+            context = number[at : at + len(k)]
+            at += len(k)
             every = _ranges(starts[context], runs[context])
             blobs.append(_pack_runs(runs[context], run_sizes[every], run_least[every]))
-        return _answers(table.filter(pa.array(asks)), blobs)
+        return _answers(table, blobs)
 
     return run
 
@@ -441,8 +471,8 @@ class _Rounds:
 
 def _judged(documents: DataFrame, length: int, chunk_bytes: int, columns: str, row: Callable[[bytes, list[tuple[int, int]]], list], types: list[pa.DataType]) -> DataFrame:
     """doc_id and what ``row`` makes of each document's bytes and the spans of them that go, as a written table."""
-    if length < 16:
-        raise ValueError("strings of fewer than 16 bytes aren't supported")
+    if not 16 <= length <= 1 << 14:
+        raise ValueError("strings have 16 to 16,384 bytes")
     spark, kind = documents.sparkSession, dict(documents.dtypes)["doc_id"]
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
@@ -461,10 +491,8 @@ def _judged(documents: DataFrame, length: int, chunk_bytes: int, columns: str, r
         rounds = _Rounds(documents, length, chunk_bytes)
         bits = rounds.bits
         rounds.tell(rounds.ask(Chunk.ask_shared), _tell_shared(MANY))
-        named = materialize(rounds.ask(Chunk.ask_senders), "repeats-named")
-        rounds.tell(named, _tell_senders(CROWD))
-        rounds.tell(rounds.ask(Chunk.send).unionByName(named.where("part % 2 = 0").withColumn("kind", F.lit(CONTEXTS))), _tell_least(length))
-        discard(named)
+        rounds.tell(rounds.ask(Chunk.ask_senders), _tell_senders(CROWD))
+        rounds.tell(rounds.ask(Chunk.send), _tell_least(length))
         judged = rounds._joined().select("chunk", "doc_ids", "sizes", "text", "told").mapInArrow(judge, f"doc_id {kind}, {columns}")
         result = materialize(judged, "repeats")
         folders.remove(result.written_to)
