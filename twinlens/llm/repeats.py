@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, scratch
-from .lm import _different, _dropping_shuffles, _mixed, _order, _pack_keys, _pack_numbers, _unpack_keys, _unpack_numbers
+from .lm import _different, _dropping_shuffles, _order, _pack_keys, _pack_numbers, _unpack_keys, _unpack_numbers
 from .suffixes import BYTES, END, GAP, _ranges, suffix_arrays
 
 #: Bytes of a string that counts as repeated.
@@ -37,7 +37,7 @@ LENGTH = 50
 #: Bytes of a chunk (a longer text is one chunk), chunks of a bucket, and anchors of the corpus to a range of hashes (as a power of two).
 CHUNK, BUCKET_CHUNKS, RANGE_BITS = 6 << 20, 2, 20
 #: Occurrences of an anchor, and different contexts of one, beyond which strings are looked up one by one.
-MANY, CROWD = 1 << 20, 64
+MANY, CROWD = 1 << 20, 128
 #: Strings whose anchors are found at once, and symbols whose suffixes are sorted at once, unless one anchor has more.
 STEP, SORTED = 1 << 19, 1 << 20
 #: What chunks ask for: which anchors are shared, which contexts to send, and the smallest documents of the contexts' strings and of single strings.
@@ -76,7 +76,7 @@ def _cut(documents: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     spark, name = documents.sparkSession, f"repeats_{uuid.uuid4().hex}"
     written = rows.mapInArrow(run, f"chunk long, doc_ids array<{kind}>, sizes array<long>, text binary").write.bucketBy(buckets, "chunk")
-    written.options(path=new_path(spark, "repeats-chunks"), compression="zstd").saveAsTable(name)
+    written.options(path=new_path(spark, "repeats-chunks"), compression="zstd", **{"parquet.compression.codec.zstd.level": "6"}).saveAsTable(name)
     table = spark.table(name)
     table.schema  # noqa: B018  resolved before its name goes; the files stay
     spark.sql(f"DROP TABLE {name}")
@@ -94,8 +94,12 @@ def anchors(text: np.ndarray, valid: np.ndarray, length: int) -> list[np.ndarray
         if not len(at):
             continue
         words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text[start : end + length - 1], 8)).view("<u8").ravel()
-        hashes = _mixed(words[: len(words) - gram + 8], words[gram - 8 :])
-        least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)  # of equal ones the first
+        hashes = words[: len(words) - gram + 8] * np.uint64(0x9E3779B97F4A7C15)
+        hashes += words[gram - 8 :]
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(32)
+        least = hashes & ~mask
+        least |= np.arange(len(hashes), dtype=np.uint64)  # of equal ones the first
         done = 1
         while done < width:  # least of the next 2, 4, 8, ... places
             step = min(done, width - done)
