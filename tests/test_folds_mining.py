@@ -192,7 +192,9 @@ def test_sources_and_sinks(spark, pairs, tmp_path):
     pairs.repartition(3).write.parquet(path)
     back = read_pairs(spark, path)
     assert back.count() == pairs.count() and "pair_id" not in back.columns
-    assert 0 < last_part(spark.read.parquet(path)).count() < pairs.count()
+    last = last_part(spark.read.parquet(path))
+    assert 0 < last.count() < pairs.count()
+    assert [f.split("/")[-1] for f in sorted(r["f"] for r in last.select(F.input_file_name().alias("f")).distinct().collect())] == [max(f.split("/")[-1] for f in spark.read.parquet(path).inputFiles())]
     assert sides(pairs).count() == 2 * pairs.count()
     sinks.write_report({"counts": pairs.groupBy("is_double").count(), "all": pairs.agg(F.count("*").alias("n"))}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1

@@ -71,3 +71,28 @@ def test_vectors_of_popular_and_missing_keys(spark):
             assert r["emb_cosine"] is None
         else:
             assert abs(r["emb_cosine"] - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) < 1e-9
+
+
+def test_count_states_merge(spark):
+    df = spark.range(30_000).selectExpr("id % 3 as part", "cast(id % 9000 as string) as a", "case when id % 2 = 0 then null else concat('b', id % 50) end as b")
+    states = lookup.materialize(lookup.count_states(df, ("a", "b"), "part"), "test-states")
+    both = lookup.merge_counts(states).first()
+    assert both["parts"] == 3 and abs(both["estimate"] - 9025) <= 9025 * lookup.SKETCH_BOUND
+    assert max(len(r["state"]) for r in states.collect()) < 20_000
+    assert sorted(r["part"] for r in lookup.merge_counts(states, "part").collect()) == [0, 1, 2]
+
+
+def test_distinct_sides_are_encoded_once(spark):
+    from twinlens.operators import sides
+
+    columns = ("item_id long", "title string", "description string", "category_name string", "subcategory_name string", "param1 string", "param2 string", "json_params string", "price double", "count_images int", "title_image string", "vec_id long")
+    schema = "pair_id long, " + ", ".join(f"{s}_{c}" for s in ("base", "cand") for c in columns)
+    item = lambda i: (i, f"title {i % 3}", None if i % 2 else "text", "", "", "", "", "", float(i % 3), i % 2, "", i % 4 if i % 5 else None)
+    pairs = spark.createDataFrame([(k, *item(k), *item(k * 7 % 30)) for k in range(60)], schema)
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    keyed, distinct = sides.keyed_sides(pairs).collect(), {r["side_key"]: r["vector"] for r in sides.distinct_side_vectors(pairs, table).collect()}
+    assert len(distinct) < 40 and distinct.keys() == {r[s] for r in keyed for s in ("base_side", "cand_side")}
+    whole = {(r["pair_id"], r["side"]): r["vector"] for r in sides.side_vectors(pairs, table).collect()}
+    for r in keyed:
+        for s in ("base", "cand"):
+            assert distinct[r[f"{s}_side"]] == pytest.approx(whole[r["pair_id"], s])

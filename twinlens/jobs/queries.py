@@ -360,13 +360,57 @@ def q_encode_store(spark, d):
     return kept.rows().join(left, "image_key", "left").select("image_key", "dhash", "found", "run", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
-@query("tower_scores")
+def _weights(rows: int, columns: int) -> np.ndarray:
+    """Weights by a rule that SQL can state, too."""
+    i, j = np.indices((rows, columns))
+    return ((i * 37 + j * 101 + i * j) % 17 - 8) / 8
+
+
+def s_layer(v: str, rows: int, columns: int, relu: bool) -> str:
+    dot = f"list_sum(list_transform(range({rows}), lambda i: {v}[CAST(i + 1 AS INTEGER)] * (((i * 37 + j * 101 + i * j) % 17) - 8) / 8.0::DOUBLE))"
+    return f"list_transform(range({columns}), lambda j: {f'greatest({dot}, 0)' if relu else dot})"
+
+
+_SIDES = (
+    "s AS (SELECT pair_id, 'base' AS side, base_vec_id AS vec_id, base_price AS p, base_count_images AS i, base_title AS t, base_description AS de FROM pairs "
+    "UNION ALL SELECT pair_id, 'cand', cand_vec_id, cand_price, cand_count_images, cand_title, cand_description FROM pairs), "
+    "v AS (SELECT pair_id, side, vec_id, ln(1 + CASE WHEN p > 0 THEN p ELSE 0 END) AS a, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END AS b, CAST(coalesce(i, 0) AS DOUBLE) AS c, "
+    "ln(1 + length(coalesce(t, ''))) AS e, ln(1 + length(coalesce(de, ''))) AS f FROM s), "
+    "m AS (SELECT " + ", ".join(f"avg({x}) AS m{x}, stddev_pop({x}) + 1e-6 AS s{x}" for x in "abcef") + " FROM v)"
+)
+
+
+@query(
+    "tower_scores",
+    f"{WITH}, {_SIDES}, "
+    "x AS (SELECT pair_id, side, list_concat(CAST(g.embedding AS DOUBLE[]), [" + ", ".join(f"({x} - m{x}) / s{x}" for x in "abcef") + "]) AS x FROM v CROSS JOIN m JOIN embeddings g USING (vec_id)), "
+    f"h AS (SELECT pair_id, side, {s_layer('x', 69, 32, True)} AS h FROM x), z AS (SELECT pair_id, side, {s_layer('h', 32, 16, False)} AS z FROM h), "
+    "u AS (SELECT pair_id, side, list_transform(z, lambda y: y / greatest(sqrt(list_dot_product(z, z)), 1e-8)) AS u FROM z) "
+    "SELECT p.pair_id, round(1 / (1 + sqrt(list_sum(list_transform(range(16), lambda i: pow(b.u[CAST(i + 1 AS INTEGER)] - c.u[CAST(i + 1 AS INTEGER)], 2))) + 1e-12)), 4) AS tower_sim "
+    "FROM pairs p LEFT JOIN u b ON b.pair_id = p.pair_id AND b.side = 'base' LEFT JOIN u c ON c.pair_id = p.pair_id AND c.side = 'cand'",
+)
 def q_tower(spark, d):
-    """A given tower over both sides' vectors of embedding and numbers."""
-    rng = np.random.default_rng(3)
-    weights = (rng.normal(size=(69, 32)), np.zeros(32), rng.normal(size=(32, 16)), np.zeros(16))
-    both = S.pair_vectors(S.side_vectors(derived_pairs(spark, d), read_table(spark, d, "embeddings")))
-    return lookup.tower_pairs(both, "base", "cand", weights, ("pair_id",))
+    """A given tower over vectors of embedding and numbers: distinct sides are encoded once, and looked up for both sides of a pair."""
+    weights = (_weights(69, 32), np.zeros(32), _weights(32, 16), np.zeros(16))
+    pairs = derived_pairs(spark, d)
+    encoded = materialize(lookup.apply_tower(S.distinct_side_vectors(pairs, read_table(spark, d, "embeddings")), "side_key", "vector", weights), "sides-encoded")
+    scored_pairs = lookup.tower_score(S.keyed_sides(pairs), encoded, "side_key", "base_side", "cand_side", ("pair_id",))
+    return scored_pairs.select("pair_id", F.round("tower_sim", 4).alias("tower_sim"))
+
+
+@query("text_count_states", f"{WITH} SELECT 8::BIGINT AS parts, count(DISTINCT t) AS texts, true AS within_bound, true AS same_when_merged_twice FROM (SELECT base_title AS t FROM pairs UNION ALL SELECT cand_title FROM pairs UNION ALL SELECT base_description FROM pairs UNION ALL SELECT cand_description FROM pairs)")
+def q_text_count_states(spark, d):
+    """Stored sketches of eight parts' texts, merged at once and with the last part added later, against the exact count."""
+    columns = ("base_title", "cand_title", "base_description", "cand_description")
+    pairs = derived_pairs(spark, d).withColumn("part", (F.col("pair_id") / 8 % 8).cast("int"))
+    states = materialize(lookup.count_states(pairs, columns, "part"), "count-states")
+    once = lookup.merge_counts(states)
+    first = states.where("part < 7").agg(F.hll_union_agg("state").alias("state")).unionByName(states.where("part = 7").select("state"))
+    twice = lookup.merge_counts(first).select(F.col("estimate").alias("later"))
+    exact = lookup.unique_texts(pairs, *columns).agg(F.count("*").alias("texts"))
+    met = once.crossJoin(twice).crossJoin(exact)  # one row each
+    close = F.abs(F.col("estimate") - F.col("texts")) <= F.col("texts") * lookup.SKETCH_BOUND
+    return met.select("parts", "texts", close.alias("within_bound"), (F.col("estimate") == F.col("later")).alias("same_when_merged_twice"))
 
 
 # --- metrics ----------------------------------------------------------------------------------

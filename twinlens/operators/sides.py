@@ -52,5 +52,22 @@ def pair_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("pair_id").agg(of("base").alias("base"), of("cand").alias("cand"))
 
 
+def keyed_sides(pairs: DataFrame, key: str = "vec_id") -> DataFrame:
+    """pair_id with ``base_side`` and ``cand_side``, keys of the sides by what their vectors are made of; sides alike in that share a key. Nothing is shuffled."""
+    numbers = lambda s: side_numbers(F.col(f"{s}_price"), F.col(f"{s}_count_images"), F.col(f"{s}_title"), F.col(f"{s}_description"))
+    parts = lambda s: F.concat_ws(":", F.coalesce(F.col(f"{s}_{key}").cast("string"), F.lit("")), F.array_join(F.transform(numbers(s), lambda x: x.cast("string")), ":"))
+    return pairs.select("pair_id", *(F.md5(parts(s).cast("binary")).alias(f"{s}_side") for s in ("base", "cand")))
+
+
+def distinct_side_vectors(pairs: DataFrame, table: DataFrame, stats: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
+    """side_key and vector, as :func:`side_vectors` gives it, once for each key of :func:`keyed_sides`."""
+    numbered = numbered_sides(pairs, key)
+    parts = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), *(F.col(n).cast("string") for n in NUMBERS))
+    distinct = numbered.select(F.md5(parts.cast("binary")).alias("side_key"), key, *NUMBERS).dropDuplicates(["side_key"])
+    scaled = standardise(distinct, statistics(numbered) if stats is None else stats)
+    met = scaled.join(table.select(key, F.col("embedding").cast("array<double>").alias("_e")), key, "left")
+    return met.select("side_key", F.when(F.col("_e").isNotNull(), F.concat("_e", F.array(*NUMBERS))).alias("vector"))
+
+
 def absolute_difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
