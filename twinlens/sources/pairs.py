@@ -72,7 +72,7 @@ def last_part(df: DataFrame) -> DataFrame:
     if not files:
         return df.limit(0)
     jvm = df.sparkSession._jvm
-    return df.where(F.col("_metadata.file_path") == jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(max(files))).toUri().toString())
+    return df.where(F.col("_metadata.file_path") == jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(max(files))).toString())
 
 
 def sides(pairs: DataFrame) -> DataFrame:
