@@ -86,7 +86,7 @@ def brute(page):
     while best.parent is not None and best.parent.tag not in ("#page", "body") and best.parent.points >= 0.6 * best.points:
         best = best.parent
     whole = best.tag in ("#page", "body")
-    beside = [n for n in best.parent.parts if isinstance(n, Node)] if not whole else [best]
+    around = [] if whole else list(chain(best))[1:]
     out = []
 
     def tell(n):
@@ -103,12 +103,24 @@ def brute(page):
                 tell(part)
                 out.append(" ")
 
-    for n in beside:
-        size, links = n.amounts()
-        if n is best or n.tag != "a" and size and links < 0.5 * size:
-            out.append(" ")
-            tell(n)
-            out.append(" ")
+    def level(n):
+        """What lies beside the container, in it and in the elements around it."""
+        for part in n.parts:
+            if isinstance(part, str):
+                out.append(part if n.tag not in ("#page", "body") else "")
+            elif part is best or part not in around and part.tag != "a" and (size := part.amounts())[0] and size[1] < 0.5 * size[0]:
+                out.append(" ")
+                tell(part)
+                out.append(" ")
+            elif part in around:
+                out.append(" ")
+                level(part)
+                out.append(" ")
+
+    if whole:
+        tell(best)
+    else:
+        level(around[-1])
     return " ".join("".join(out).split())
 
 
@@ -172,3 +184,36 @@ def test_time_grows_with_the_page():
 
     for part in ("<script>x</script><p>a</p>", "<![CDATA[ a <p>b</p>", "<svg><p>a</svg>", "<p class='x>y</p>", "<div><b>a"):
         assert took(part * 20000) < 16 * max(took(part * 2500), 0.01), part
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_wrapped_paragraphs_of_the_given_pages(spark, small, depth):
+    """Each paragraph in wrappers of its own: the text is the same."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect() if r["html"]]
+    pages = [p for p in pages if "<article" in p][:60]
+    for page in pages:
+        head, start, rest = page.partition("<article")
+        body, end, tail = rest.rpartition("</article>")
+        wrapped = re.sub(r"<p>(.*?)</p>", lambda m: "<div>" * depth + m[0] + "</div>" * depth, body, flags=re.DOTALL)
+        for tag in ("article", "div"):
+            before = (head + start + body + end + tail).replace("<article", f"<{tag}").replace("</article>", f"</{tag}>")
+            after = (head + start + wrapped + end + tail).replace("<article", f"<{tag}").replace("</article>", f"</{tag}>")
+            assert main_text(after) == main_text(before)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><div><p>{0}</p></div></div><div><div><p>Second {0}</p></div></div>", "{0} Second {0}"),
+        ("<div class=page><div class=col><div><p>{0}</p></div></div><div class=col><div><p>Second {0}</p></div></div></div>", "{0} Second {0}"),
+        ("<div><p>Before it.</p><div><div><div><p>{0}</p><p>{0}</p></div></div></div></div>", "Before it. {0} {0}"),
+        ("<div><div><h1>Title</h1></div><div><div><p>{0}</p></div></div></div>", "Title {0}"),
+        ("<article><p>{0}</p><div class=menu><p>The menu of the inn has fish, and bread.</p></div><div class=search><p>The search went on.</p></div><p class=reply>She gave no reply.</p></article>", "{0} The menu of the inn has fish, and bread. The search went on. She gave no reply."),
+        ("<article><p>{0}</p><div class=menu><a href=1>Home</a> <a href=2>News</a></div></article>", "{0}"),
+        ("<nav><a>Home</a></nav><div><div class=sidebar><p>Archive.</p></div><div><div><p>{0}</p></div></div></div><footer>Imprint</footer>", "{0}"),
+    ],
+)
+def test_known_article_text(page, want):
+    assert main_text("<body>" + page.format(LONG.strip()) + "</body>") == want.format(LONG.strip())

@@ -40,10 +40,12 @@ NOTICE_WORDS = set("cookie cookies consent gdpr notice notices alert popup modal
 HEADER_WORDS = {"header", "banner", "masthead"}
 PLACE_WORDS = set("sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs topbar footer contentinfo complementary form search toolbar pagination pager".split())
 LINK_WORDS = set("discussion related recommended recommendations share sharing social widget widgets tagcloud copyright disclaimer".split())
+#: Of those, words that an article's own block may have, too, if it isn't a list of links.
+MENU_WORDS = LINK_WORDS | set("menu menus search toolbar form".split())
 #: Words that mark comments and adverts wherever they stand, and those that mark a single paragraph.
 STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS
-PARAGRAPH_WORDS = STRONG_WORDS | NOTICE_WORDS
-FURNITURE_WORDS = PARAGRAPH_WORDS | HEADER_WORDS | PLACE_WORDS | LINK_WORDS
+PARAGRAPH_WORDS = (STRONG_WORDS | NOTICE_WORDS) - {"reply", "respond"}
+FURNITURE_WORDS = STRONG_WORDS | NOTICE_WORDS | HEADER_WORDS | PLACE_WORDS | LINK_WORDS
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
 #: What a container's points are multiplied by if its tag or words name content.
 CONTENT_BONUS = 1.25
@@ -215,7 +217,7 @@ def _furniture(tree: _Tree) -> list[bool]:
             out = bool(marked & (STRONG_WORDS if tag[i] in HEADINGS else PARAGRAPH_WORDS))
         elif marked & STRONG_WORDS:
             out = True
-        elif not marked - LINK_WORDS or inside[p] and tag[i] == "section":
+        elif not marked - LINK_WORDS or inside[p] and (tag[i] == "section" or not marked - MENU_WORDS):
             # kept unless it is a list of links
             out = linked
         else:
@@ -262,8 +264,8 @@ def scores(tree: _Tree, gone: list[bool]) -> tuple[list[float], list[int], list[
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order with white space as single spaces. Null, empty and text-free pages give ''.
 
-    Taken is the container with the most points, or one around it with nearly as many, and its siblings that aren't mostly links. Where
-    that is the page itself, lists of links go, as only there nothing tells a menu from an article's own list.
+    Taken is the container with the most points, or one around it with nearly as many, and what lies beside it or beside an element around it, unless that is mostly
+    links. So parts of an article in wrappers of their own, however deep, stay. Where the container is the page itself, lists of links go, as only there nothing tells a menu from an article's own list.
     """
     if not html:
         return ""
@@ -278,14 +280,19 @@ def main_text(html: str | None) -> str:
     while parent[best] > 0 and tag[parent[best]] not in ("body", "html") and score[parent[best]] >= CLIMB * score[best]:
         best = parent[best]
     whole = best == 0 or tag[best] in ("body", "html")
-    beside = parent[best] if not whole else -1
+    around = [False] * n  # the elements that hold the container: an article's parts may lie beside it at any level
+    at = best
+    while at > 0 and not whole:
+        at = parent[at]
+        around[at] = True
     kept = [False] * n
     kept[0] = best == 0
     for i in range(1, n):
-        sibling = parent[i] == beside and total[i] and links[i] < MOST_LINKS * total[i]
+        sibling = around[parent[i]] and not around[i] and total[i] and links[i] < MOST_LINKS * total[i]
         menu = whole and tag[i] in ("ul", "ol") and total[i] and links[i] > 0.8 * total[i]
         kept[i] = (i == best or kept[parent[i]] or bool(sibling)) and not gone[i] and not menu
-    return " ".join(unescape("".join(text or " " for node, text, _ in tree.pieces if kept[node])).split())
+    wraps = [around[i] and i > 0 and tag[i] not in ("body", "html") for i in range(n)]  # whose own text stands beside the container
+    return " ".join(unescape("".join(text or " " for node, text, link in tree.pieces if kept[node] or wraps[node] and not link)).split())
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
