@@ -346,18 +346,24 @@ def q_photo_hashes(spark, d):
     return photos.hash_photos(containers.read_packed(packed, keys), photos.decode_pgm)
 
 
-@query("encode_store", f"{WITH}, {_IMAGES}, first AS (SELECT DISTINCT base_title_image AS image_key FROM pairs) "
-    "SELECT i.image_key, i.dhash, i.found, CASE WHEN f.image_key IS NOT NULL AND i.found THEN 1 ELSE 2 END AS run, NOT i.found AS missing FROM images i LEFT JOIN first f USING (image_key)")
+@query(
+    "encode_store",
+    "WITH t AS (SELECT md5(text) AS text_key, CAST(any_value(length(text)) AS BIGINT) AS chars, bool_or(doc_id % 2 = 0) AS early FROM documents WHERE text IS NOT NULL GROUP BY text), "
+    "f AS (SELECT *, CAST('0x' || substr(text_key, 1, 15) AS BIGINT) % 9 <> 0 AS found FROM t) "
+    "SELECT text_key, chars, found, CASE WHEN early AND found THEN 1 ELSE 2 END AS run, NOT found AS missing FROM f",
+)
 def q_encode_store(spark, d):
-    """A store of encodes that two runs fill: the base sides' photos, then those of both sides that it lacks. What wasn't found is tried again; a third run lacks no other."""
-    table = materialize(images(spark, d).select("image_key", "dhash", "found"), "photo-table")
-    kept = EncodeStore(spark, new_path(spark, "encode-store"), buckets=8)
-    pairs = derived_pairs(spark, d)
-    for run, columns in ((1, ("base_title_image",)), (2, ("base_title_image", "cand_title_image"))):
-        todo = kept.missing(photos.photo_keys(pairs, *columns))
-        kept.append(table.join(todo, "image_key", "left_semi").withColumn("run", F.lit(run)))
-    left = kept.missing(table.select("image_key")).withColumn("missing", F.lit(True))
-    return kept.rows().join(left, "image_key", "left").select("image_key", "dhash", "found", "run", F.coalesce("missing", F.lit(False)).alias("missing"))
+    """A store of encodes that two runs fill: the texts of half of the documents, then those of all that it lacks. What wasn't found is tried again; a third run lacks no other."""
+    documents = read_table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.length("text").cast("long").alias("chars")).where("text_key is not null")
+    table = materialize(documents, "store-texts")
+    found = F.conv(F.substring("text_key", 1, 15), 16, 10).cast("long") % 9 != 0
+    kept = EncodeStore(spark, new_path(spark, "encode-store"), key="text_key")
+    for run, rows in ((1, table.where("doc_id % 2 = 0")), (2, table)):
+        distinct = rows.select("text_key", "chars").distinct()
+        todo = kept.missing(distinct.select("text_key"))
+        kept.append(distinct.join(todo, "text_key", "left_semi").select("text_key", "chars", found.alias("found"), F.lit(run).alias("run")))
+    left = kept.missing(table.select("text_key").distinct()).withColumn("missing", F.lit(True))
+    return kept.rows().join(left, "text_key", "left").select("text_key", "chars", "found", "run", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 def _weights(rows: int, columns: int) -> np.ndarray:
