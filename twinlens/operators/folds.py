@@ -74,7 +74,7 @@ def assign_folds(sizes: DataFrame, n_splits: int, bucket: str = "n") -> DataFram
 def _to_rows(df: DataFrame, group: str, table: DataFrame, values: dict[str, str]) -> DataFrame:
     """``df`` with ``values`` of its group in ``table`` (a written table of all groups, with their rows ``n``)."""
     key = fresh(df, "_group")
-    tagged = df.withColumn(key, F.coalesce(F.col(group).cast("string"), F.lit(_NULL)))
+    tagged = df.withColumn(key, F.coalesce(F.col(group).cast("string"), F.lit(_NULL))).drop(*values)  # new values replace old ones
     total = table.agg(F.sum("n")).first()[0] or 0
     # fewer than HEAVY_SHARE groups
     heavy = [r["_g"] for r in table.where(F.col("n") * HEAVY_SHARE > total).select("_g").collect()] if table.count() > BROADCAST_ROWS else []
