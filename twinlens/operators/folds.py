@@ -133,7 +133,7 @@ def nested_folds(df: DataFrame, group: str, n_splits: int = 5, inner: int = 3, s
     The rows are read twice: once for the sizes of their groups and once with their group's row of :func:`nested_matrix`, from which all outer folds are expanded.
     """
     rows = _to_rows(df, group, nested_matrix(df, group, n_splits, inner, seed), {"_inner": "inner"})
-    return rows.select(*df.columns, F.posexplode("_inner").alias("outer", "fold")).where("fold is not null")
+    return rows.select(*(c for c in df.columns if c not in ("outer", "fold")), F.posexplode("_inner").alias("outer", "fold")).where("fold is not null")
 
 
 def leakage(df: DataFrame, fold: str, ids: tuple[str, ...] = ("base_item_id", "cand_item_id")) -> DataFrame:
