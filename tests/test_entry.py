@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import ROOT
 
-NAMES = ["build_features", "restore_homoglyphs", "auc_per_fold", "rank_blend", "leakage", "mine_triplets", "embedding_features", "photo_features", "ap_by_group", "pair_features", "side_vectors", "triplet_losses", "split_comparison", "nested_keys"]
+NAMES = ["build_features", "restore_homoglyphs", "auc_per_fold", "rank_blend", "leakage", "mine_triplets", "embedding_features", "photo_features", "ap_by_group", "pair_features", "side_vectors", "triplet_losses", "split_comparison", "nested_keys", "auc_merged_states", "metric_levels"]
 
 
 def test_entry(spark):

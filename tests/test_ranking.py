@@ -77,3 +77,48 @@ def test_compare_splits(spark):
     df = spark.createDataFrame([("group", 0, 0.4), ("group", 1, 0.6), ("random", 0, 0.6), ("random", 1, 0.9)], "split string, fold int, pr_auc double")
     got = {r["split"]: (r["pr_auc"], r["over_group"]) for r in ranking.compare_splits(df, "group").collect()}
     assert got["group"] == (0.5, 1) and got["random"] == pytest.approx((0.75, 1.5))
+
+
+def test_states_of_parts_merge(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 2)), None if i % 50 == 0 else float(rng.integers(0, 60)), i % 4) for i in range(800)]
+    df = spark.createDataFrame(rows, "y int, s double, part int")
+    whole = ranking.auc_metrics(df, "s", "y").first()
+    halves = [ranking.score_states(df.where(f"part % 2 = {h}"), "s", "y", ("part",)) for h in (0, 1)]
+    merged = ranking.auc_of_states(ranking.merge_states(halves[0].unionByName(halves[1]))).first()
+    assert merged == whole and whole["rows"] == 784
+    by = {r["part"]: r["pr_auc"] for r in ranking.auc_of_states(ranking.merge_states(halves[0].unionByName(halves[1]), ("part",)), ("part",)).collect()}
+    assert by == pytest.approx({r["part"]: r["pr_auc"] for r in ranking.auc_metrics(df, "s", "y", ("part",)).collect()})
+    empty = ranking.auc_of_states(ranking.merge_states(halves[0].limit(0))).first()
+    assert empty["pr_auc"] is None
+    known = ranking.rank_normalize(df, "s", "r", ranking.score_states(df.where("s < 30"), "s"))
+    alone = {(r["s"], r["r"]) for r in ranking.rank_normalize(df.where("s < 30"), "s", "r").collect()}
+    assert {(r["s"], r["r"]) for r in known.where("s < 30").collect()} == alone and known.where("s >= 30 and r is not null").count() == 0
+
+
+def test_levels_equal_single_metrics(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ORDERED_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 2)), float(rng.integers(0, 90)), None if i % 3 == 0 else f"k{i % 3}", i % 2) for i in range(700)]
+    df = spark.createDataFrame(rows, "y int, s double, k string, f int")
+    got = {(r["level"], r["k"], r["f"]): (r["rows"], r["pr_auc"], r["roc_auc"]) for r in ranking.auc_levels(df, "s", "y", ((), ("k",), ("k", "f"))).collect()}
+    want = {}
+    for level in ((), ("k",), ("k", "f")):
+        for r in ranking.auc_metrics(df, "s", "y", level).collect():
+            r = r.asDict()
+            want[",".join(level), r.get("k"), r.get("f")] = (r["rows"], r["pr_auc"], r["roc_auc"])
+    assert len(got) == 1 + 3 + 6 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_ranges_by_binary_search(spark):
+    scores = [None, float("nan"), float("-inf"), float("inf"), 0.0, -0.0, *(float(i) for i in range(200))]
+    df = ranking.materialize(spark.createDataFrame([(s,) for s in scores], "s double"), "ranges")
+    rows = ranking._in_ranges(df, "s", 8, "b").collect()
+    assert {r["b"] for r in rows if r["s"] == 0} == {0} and {r["b"] for r in rows if r["s"] is None} == {0}
+    finite = sorted((r["s"], r["b"]) for r in rows if r["s"] is not None and r["s"] == r["s"])
+    assert [b for _, b in finite] == sorted(b for _, b in finite) and len({b for _, b in finite}) == 8
+    assert all(r["b"] >= finite[-1][1] for r in rows if r["s"] is not None and r["s"] != r["s"])
+    # the cost of a row is a search, not a chain of comparisons
+    plan = ranking._in_ranges(df, "s", 100, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan.lower().replace("filters:", "")

@@ -436,6 +436,17 @@ def q_auc_fold(spark, d):
     return r6(ranking.auc_metrics(scored(spark, d), "score_a", "y", ("fold",)))
 
 
+@query("auc_merged_states", f"{SCORED}, t AS (SELECT score_a AS s, y FROM scored){_AUC.format(k='', q='1')} SELECT 8::BIGINT AS parts, {_AUC_OUT} FROM c")
+def q_auc_states(spark, d):
+    """Stored states of seven parts' scores and of the one that comes later, merged; no row of the seven is read again."""
+    parts = scored(spark, d).withColumn("part", F.col("event_id") % 8)
+    early = materialize(ranking.score_states(parts.where("part < 7"), "score_a", "y", ("part",)), "score-states")
+    late = materialize(ranking.score_states(parts.where("part = 7"), "score_a", "y", ("part",)), "score-states")
+    states = early.unionByName(late)
+    merged = r6(ranking.auc_of_states(ranking.merge_states(states)))
+    return merged.crossJoin(states.agg(F.countDistinct("part").alias("parts"))).select("parts", *merged.columns)  # one row each
+
+
 _AP = f"{SCORED}, r AS (SELECT user_id, y, row_number() OVER w AS rank, sum(y) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM scored WINDOW w AS (PARTITION BY user_id ORDER BY score_a DESC, event_id)), a AS (SELECT user_id, sum(CASE WHEN y = 1 THEN hits / rank ELSE 0 END) / sum(y) AS ap, CAST(sum(y) AS BIGINT) AS n_pos FROM r GROUP BY user_id HAVING sum(y) > 0)"
 
 
@@ -592,6 +603,41 @@ def q_split(spark, d):
     return r6(ranking.compare_splits(ranking.auc_metrics(group.unionByName(random), "s", "is_double", ("split", "fold")), "group"))
 
 
+_LEVELS = ("split", "fold", "model")
+
+
+def _levels_sql() -> str:
+    cosine = f"round(list_dot_product({_UNIT.format(e='b.embedding')}, {_UNIT.format(e='c.embedding')}), 6)"
+    random = f"CAST({s_draw('CAST(pair_id AS VARCHAR)', 'CAST(y AS VARCHAR)', chr(39) + '42' + chr(39))} % 5 AS INTEGER)"
+    before = "OVER (PARTITION BY level, split, fold, model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = "OVER (PARTITION BY level, split, fold, model)"
+    both = "max(pa) > 0 AND max(na) > max(pa)"
+    return f"""{_FOLDED},
+c AS (SELECT pair_id, is_double AS y, fold, {cosine} AS s FROM folded JOIN embeddings b ON b.vec_id = base_vec_id JOIN embeddings c ON c.vec_id = cand_vec_id),
+k AS (SELECT 'group' AS split, fold, pair_id, s, y FROM c UNION ALL SELECT 'random', {random}, pair_id, s, y FROM c),
+t AS (SELECT split, fold, 'cosine' AS model, s, y FROM k UNION ALL SELECT split, fold, 'number', CAST(pair_id % 97 AS DOUBLE), y FROM k),
+gg AS (SELECT concat_ws(',', {", ".join(f"CASE WHEN grouping({k}) = 0 THEN '{k}' END" for k in _LEVELS)}) AS level, split, fold, model, s AS score, count(*) AS n, sum(y) AS p
+  FROM t GROUP BY GROUPING SETS ((model, s), (split, model, s), (split, fold, model, s))),
+cc AS (SELECT *, coalesce(sum(n) {before}, 0) AS nb, coalesce(sum(p) {before}, 0) AS pb, sum(n) {whole} AS na, sum(p) {whole} AS pa FROM gg)
+SELECT level, split, fold, model, CAST(max(na) AS BIGINT) AS rows, CAST(max(pa) AS BIGINT) AS positives,
+  CASE WHEN {both} THEN round(sum(p * ((pa - pb) / (na - nb))) / max(pa), 6) END AS pr_auc,
+  CASE WHEN {both} THEN round(sum(p * ((nb - pb) + 0.5 * (n - p))) / (max(pa) * (max(na) - max(pa))), 6) END AS roc_auc
+FROM cc GROUP BY level, split, fold, model"""
+
+
+@query("metric_levels", _levels_sql())
+def q_metric_levels(spark, d):
+    """Metrics of two scores, pooled, over both splits and over each fold of these, from one reading of the rows."""
+    c = materialize(_cosines(spark, d), "cosines")
+    both = folds.group_folds(c, "group_id", hashed=True).withColumnRenamed("fold", "_group_fold")
+    both = folds.stratified_folds(both, "pair_id", "is_double")
+    cell = lambda split, fold, model, s: F.struct(F.lit(split).alias("split"), F.col(fold).alias("fold"), F.lit(model).alias("model"), s.cast("double").alias("s"))
+    scores = {"cosine": F.col("s"), "number": F.col("pair_id") % 97}
+    cells = F.array(*(cell(split, fold, model, s) for split, fold in (("group", "_group_fold"), ("random", "fold")) for model, s in scores.items()))
+    each = both.select("is_double", F.inline(cells))
+    return r6(ranking.auc_levels(each, "s", "is_double", (_LEVELS, ("split", "model"), ("model",)))).select("level", *_LEVELS, "rows", "positives", "pr_auc", "roc_auc")
+
+
 @query("triplet_losses", f"{s_mining(1, 42)}, t AS (SELECT {_UNIT.format(e='a.embedding')} AS a, {_UNIT.format(e='p.embedding')} AS p, {_UNIT.format(e='n.embedding')} AS n FROM got JOIN pairs x ON x.pair_id = anchor_pair JOIN pairs y ON y.pair_id = neg_pair "
     "JOIN embeddings a ON a.vec_id = x.base_vec_id JOIN embeddings p ON p.vec_id = x.cand_vec_id JOIN embeddings n ON n.vec_id = y.cand_vec_id), "
     "f AS (SELECT sqrt(greatest(2 - 2 * list_dot_product(a, p), 0)) AS dp, sqrt(greatest(2 - 2 * list_dot_product(a, n), 0)) AS dn FROM t) "
