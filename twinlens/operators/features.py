@@ -16,26 +16,28 @@ CATEGORIES = ("category_name", "subcategory_name", "param1", "param2")
 
 
 def normalized_texts(pairs: DataFrame, stable: bool = False) -> DataFrame:
-    """``pairs`` with the normal forms ``_{side}_{field}`` as columns, so that each is evaluated once."""
-    new = {}
-    for field, (_, chars) in TEXT_FIELDS.items():
-        for side in ("base", "cand"):
-            raw = T.blank_safe(F.col(f"{side}_{field}"))
-            new[f"_{side}_{field}"] = T.normalize(F.substring(raw, 1, chars) if chars else raw, stable=stable)
-    return pairs.withColumns(new)
+    """``pairs`` with the normal forms ``_{side}_{field}`` as columns, so that each is evaluated once.
+
+    Texts are cut in a step of their own, so that no whole description goes through the Python worker's queue.
+    """
+    texts = {f"_{side}_{field}": (f"{side}_{field}", chars) for field, (_, chars) in TEXT_FIELDS.items() for side in ("base", "cand")}
+    cut = {name: T.blank_safe(F.substring(raw, 1, chars) if chars else F.col(raw)) for name, (raw, chars) in texts.items()}
+    return pairs.withColumns(cut).withColumns({name: T.normalize(F.col(name), stable=stable) for name in texts})
 
 
 def _set_sizes(df: DataFrame) -> DataFrame:
-    """``df`` with sets of words and n-grams of the normal forms, then with the sizes that the features need, each evaluated once."""
+    """``df`` with sets of words and n-grams of the normal forms, then with the sizes that the features need, each evaluated once.
+
+    The long texts' helper comes first, so that arrays stay on this side of the Python worker.
+    """
     texts = [f"_{side}_{field}" for side in ("base", "cand") for field in TEXT_FIELDS]
+    long = {f: T.long_text_overlap(F.col(f"_base_{f}"), F.col(f"_cand_{f}"), F.lit(n)) for f, (n, chars) in TEXT_FIELDS.items() if chars}
+    df = df.withColumns({f"_{f}_long": c for f, c in long.items()})
     df = df.withColumns({f"{t}_w": T.token_set(F.col(t)) for t in texts})
     new = {f"{t}_d": T.digit_tokens(F.col(f"{t}_w")) for t in texts}
     for field, (n, chars) in TEXT_FIELDS.items():
-        b, c = f"_base_{field}", f"_cand_{field}"
-        if chars:
-            new[f"_{field}_long"] = T.long_text_overlap(F.col(b), F.col(c), F.lit(n))
-        else:
-            new |= {f"{t}_g": T.char_ngrams(F.col(t), n) for t in (b, c)}
+        if not chars:
+            new |= {f"{t}_g": T.char_ngrams(F.col(t), n) for t in (f"_base_{field}", f"_cand_{field}")}
     return df.withColumns(new)
 
 
