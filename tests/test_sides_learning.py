@@ -82,6 +82,7 @@ def test_out_of_fold_and_ablation(spark, learnable):
     mean = learn.average_prediction(models, learnable, columns).toPandas()
     one = [learn.predict(m, learnable, columns, "p").toPandas().set_index("pair_id").p for m in models]
     assert np.allclose(mean.set_index("pair_id").score.sort_index(), (sum(one) / 3).sort_index())
+    assert not [c for c in mean.columns if c.startswith("_")] and len(mean) == 400
     top = learn.importances(models, columns, top=1).collect()
     assert [r["feature"] for r in top] == ["title_a"]
     told = {r["name"]: r for r in learn.ablation(learnable, columns, {"no titles": ("title_",)}, trees=4, depth=2).collect()}

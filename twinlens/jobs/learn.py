@@ -51,11 +51,13 @@ def out_of_fold(df: DataFrame, columns: list[str], y: str = "is_double", fold: s
 
 
 def average_prediction(models: list, test: DataFrame, columns: list[str]) -> DataFrame:
-    """``test`` with the mean ``score`` of the fold models."""
-    scored = test
+    """``test``, its missing ``columns`` filled, with the mean ``score`` of the fold models. Rows are assembled once for all of them."""
+    scored = models[0].stages[0].transform(_ready(test, columns))
     for k, model in enumerate(models):
-        scored = predict(model, scored, columns, f"_p{k}")
-    return scored.withColumn("score", sum((F.col(f"_p{k}") for k in range(len(models))), F.lit(0.0)) / len(models)).drop(*(f"_p{k}" for k in range(len(models))))
+        trees = model.stages[-1]
+        scored = trees.copy({trees.rawPredictionCol: "", trees.predictionCol: "", trees.probabilityCol: f"_p{k}"}).transform(scored)
+    each = [f"_p{k}" for k in range(len(models))]
+    return scored.withColumn("score", sum((vector_to_array(p)[1] for p in each), F.lit(0.0)) / len(models)).drop("_features", *each)
 
 
 def importances(models: list, columns: list[str], top: int = 20) -> DataFrame:

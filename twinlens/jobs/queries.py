@@ -666,6 +666,15 @@ def q_oof(spark, d):
     return oof.select("pair_id", "base_item_id", "is_double", "fold", "score")
 
 
+@query("test_predictions")
+def q_test_predictions(spark, d):
+    """A fifth of the groups, which no model has seen, scored by the mean of four fold models of the rest."""
+    df, columns = _learnable(spark, d, 5)
+    rest = df.where("fold > 0").withColumn("fold", F.col("fold") - 1)
+    _, models = learn.out_of_fold(rest, columns, n_splits=4, trees=5, depth=3)
+    return learn.average_prediction(models, df.where("fold = 0"), columns).select("pair_id", "group_id", "is_double", "score")
+
+
 @query("stacked_score")
 def q_stack(spark, d):
     """Cross-fitted scores on the absolute difference of the sides' vectors; a fifth of the groups is held out and scored by the full learner."""
