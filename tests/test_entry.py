@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,6 +17,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 2
 
 
+def nulls_first(row):
+    return tuple((v is not None, 0 if v is None else v) for v in row)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, small, name):
     con = duckdb.connect()
@@ -27,7 +32,7 @@ def test_query_matches_sql(spark, small, name):
     assert columns == sorted(want.columns)
 
     def rows(df):
-        return sorted(tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+        return sorted((tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=nulls_first)
 
     assert rows(got) == rows(want)
 
