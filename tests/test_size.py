@@ -1,5 +1,6 @@
 """What keeps the work of large tables in proportion: tables stored once, keys shuffled instead of texts, cheap tests before costly ones."""
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
@@ -9,6 +10,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_subsample_reads_its_pairs_once(spark, small):
+    files = entry.queries()["negative_subsample"](spark, small).inputFiles()
+    assert files and all("subsample-pairs-" in f for f in files)
+
+
 def test_normal_form_looks_up_no_letter_and_matches_ascii_once(spark):
     texts = ["ё" * 3 + "мост 12", "ﬁne", "ＡＢＣ", "plain text", "снег — x", "été", "", None, "½ кот"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
