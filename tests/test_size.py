@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
+from twinlens.operators import lookup
 
 
 def plan(df):
@@ -15,6 +16,14 @@ def test_subsample_reads_its_pairs_once(spark, small):
     assert files and all("subsample-pairs-" in f for f in files)
 
 
+def test_exact_count_of_texts_shuffles_keys(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "a"), ("c", None), ("", "b")], "x string, y string")
+    counted = lookup.count_unique(df, "x", "y")
+    assert counted.first()["texts"] == lookup.unique_texts(df, "x", "y").count() == 4
+    keys = [x for x in plan(counted).splitlines() if "Exchange hashpartitioning" in x]
+    assert keys and all("text_key" in x for x in keys)
+
+
 def test_normal_form_looks_up_no_letter_and_matches_ascii_once(spark):
     texts = ["ё" * 3 + "мост 12", "ﬁne", "ＡＢＣ", "plain text", "снег — x", "été", "", None, "½ кот"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
