@@ -100,3 +100,26 @@ def test_cleans_up(spark):
     result = repeats.repeat_digests(spark.createDataFrame(corpus(3), DOCS))
     assert result.count() == 127
     assert len(set(os.listdir(folder)) - before) == 1 and spark.catalog.listTables() == tables
+
+
+def test_questions_of_a_chunk_leave_it_together(monkeypatch):
+    monkeypatch.setattr(repeats, "SENT", 1000)
+    names, types = [c.split()[0] for c in repeats._ASKED.split(", ")], repeats._TYPES
+    rows = [[0, part, 7, bytes([part % 256]) * (5000 if part == 300 else 10), None, None, None, None, None] for part in range(600)]
+    batches = list(repeats._together(iter(rows), names, types))
+    assert [list(r.values()) for b in batches for r in b.to_pylist()] == rows and 4 < len(batches) < 10
+    assert list(repeats._together(iter([]), names, types)) == []
+
+
+def test_context_hashes_tell_stretches_seeds_and_sizes_apart():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 4000, dtype=np.uint8)
+    text[2000:] = text[:2000]
+    first, size = np.arange(0, 1900), rng.integers(8, 80, 1900)
+    seed = rng.integers(0, 40, 1900)
+    one = repeats._context_hashes(text, first, size, seed)
+    assert (repeats._context_hashes(text, first + 2000, size, seed) == one).all()
+    known = {(text[a : a + n].tobytes(), s) for a, n, s in zip(first.tolist(), size.tolist(), seed.tolist(), strict=True)}
+    assert len(set(one.tolist())) == len(known)
+    assert not (repeats._context_hashes(text, first, size, seed + 1) == one).any() and not (repeats._context_hashes(text, first, size - 1, seed)[size > 8] == one[size > 8]).any()
+    assert len(repeats._context_hashes(text, first[:0], size[:0], seed[:0])) == 0

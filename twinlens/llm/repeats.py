@@ -40,6 +40,8 @@ CHUNK, BUCKET_CHUNKS, RANGE_BITS = 6 << 20, 2, 20
 MANY, CROWD = 1 << 20, 128
 #: Strings whose anchors are found at once, and symbols whose suffixes are sorted at once, unless one anchor has more.
 STEP, SORTED = 1 << 19, 1 << 20
+#: Bytes of questions that leave a chunk together, unless one has more; a chunk asks every range, so single ones would be as many batches as chunks times ranges.
+SENT = 1 << 20
 #: What chunks ask for: which anchors are shared, which contexts to send, and the smallest documents of the contexts' strings and of single strings.
 SHARED, SENDERS, CONTEXTS, STRINGS = range(4)
 #: What becomes of a context: it is its anchor's only one, this chunk sends it, its strings go one by one, another chunk sends it.
@@ -83,6 +85,34 @@ def _cut(documents: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
     return table
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a whole number."""
+    out = np.empty(max(len(text) - 7, 0), "<u8")
+    for k in range(min(8, len(out))):
+        out[k::8] = np.frombuffer(text, "<u8", (len(text) - k) // 8, k)
+    return out
+
+
+def _context_hashes(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """64 bits of each stretch of at least 8 bytes, its size and its seed: word after word, the last one ending with the stretch."""
+    words, steps = _words(text), (sizes + 7) // 8
+    order = np.argsort(-steps, kind="stable")  # those with most words first, so that those left are the first ones
+    start, last, steps = first[order], (first + sizes - 8)[order], steps[order]
+    h = (seed[order].astype(np.uint64) << np.uint64(32)) ^ sizes[order].astype(np.uint64)
+    for k in range(int(steps[0]) if len(steps) else 0):
+        n = int(np.searchsorted(-steps, -k))  # rows with over k words
+        one = words[np.minimum(start[:n] + 8 * k, last[:n])] * np.uint64(0x87C37B91114253D5)
+        one ^= one >> np.uint64(31)
+        one *= np.uint64(0x4CF5AD432745937F)
+        mixed = (h[:n] ^ one) * np.uint64(0x9FB21C651E98DF25)
+        mixed ^= mixed >> np.uint64(28)
+        h[:n] = mixed * np.uint64(0xFF51AFD7ED558CCD)
+        h[:n] ^= h[:n] >> np.uint64(33)
+    out = np.empty(len(h), np.uint64)
+    out[order] = h
+    return out
+
+
 def anchors(text: np.ndarray, valid: np.ndarray, length: int) -> list[np.ndarray]:
     """Contexts of the strings that start at ``valid`` places: their anchors' hashes, first starts, numbers of strings, and the anchors' places after the first start."""
     gram = max(8, min(16, length // 3))
@@ -93,7 +123,7 @@ def anchors(text: np.ndarray, valid: np.ndarray, length: int) -> list[np.ndarray
         at = np.flatnonzero(valid[start:end])
         if not len(at):
             continue
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text[start : end + length - 1], 8)).view("<u8").ravel()
+        words = _words(text[start : end + length - 1])
         hashes = words[: len(words) - gram + 8] * np.uint64(0x9E3779B97F4A7C15)
         hashes += words[gram - 8 :]
         hashes *= np.uint64(0xD6E8FEB86659FD93)
@@ -184,9 +214,8 @@ class Chunk:
         verdict = np.concatenate([np.frombuffer(b, np.uint8) for b in self.told.get(SHARED, [])] or [np.zeros(0, np.uint8)])[number]
         some = np.flatnonzero(verdict)
         self.hash, self.first, self.n, self.place, self.row = (x[some] for x in (self.hash, self.first, self.n, self.place, self.row))
-        many, view, more = verdict[some] == 2, memoryview(self.bytes), self.length - 1
-        places = zip(self.first.tolist(), (self.first + self.n + more).tolist(), self.place.tolist(), strict=True)
-        own = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], p) for a, b, p in places), np.uint64, len(some))
+        many = verdict[some] == 2
+        own = _context_hashes(self.text, self.first, self.n + self.length - 1, self.place)
         part = (np.where(many, own, self.hash) >> self.shift).astype(np.int64) * 2 + many
         order = np.lexsort((own, self.hash, part))
         heads = _heads(part[order], self.hash[order], own[order])
@@ -380,7 +409,7 @@ def least_documents(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k
         begins = np.full(len(text), -1, np.int64)  # the number of the string that begins there
         begins[_ranges(at, strings[members])] = _ranges(first_string[members], strings[members])
         array = array[begins[array] >= 0]
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
+        words = _words(raw)
         same = np.ones(max(len(array) - 1, 0), bool)
         for offset in [*range(0, length - 7, 8), length - 8]:
             w = words[array + offset]
@@ -433,6 +462,23 @@ def _tell_least(length: int):
     return run
 
 
+def _together(rows: Iterator[list], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of SENT bytes."""
+    kept, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], names)
+
+    for row in rows:
+        kept.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= SENT:
+            yield out()
+            kept, size = [], 0
+    if kept:
+        yield out()
+
+
 class _Rounds:
     """The chunks of a corpus and what they have been told."""
 
@@ -459,8 +505,7 @@ class _Rounds:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    for row in method(Chunk(batch.slice(i, 1).to_pylist()[0], length, bits)):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+                    yield from _together(method(Chunk(batch.slice(i, 1).to_pylist()[0], length, bits)), names, types)
 
         return self._joined().select("chunk", "doc_ids", "sizes", "text", "told").mapInArrow(run, schema)
 
