@@ -1,6 +1,7 @@
 """What keeps the work of large tables in proportion: tables stored once, keys shuffled instead of texts, cheap tests before costly ones."""
 
 import __spark_entry__ as entry
+import pytest
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
@@ -32,3 +33,28 @@ def test_normal_form_looks_up_no_letter_and_matches_ascii_once(spark):
     assert dict(normal.select("t", "n").collect())["ﬁne"] == "fine"
     used = plan(df.select(T.normalize(F.col("t"))))
     assert "translate(" not in used
+
+
+def test_repair_makes_no_array_of_runs(spark, monkeypatch):
+    monkeypatch.setattr(T._Repairs, "KEPT", 2)  # the words found before are dropped now and then
+    texts = {
+        "Ябл\u006fк\u006f7z\u0430p_ж Ⅷж\u0061": "Яблоко7zap_ж Ⅷжа",  # runs end at digits and at _, not at letter-like numbers
+        "n\u0430me n\u0430me, \u0441at's": "name name, cat's",
+        "plain": "plain", "": "", None: "", "\u0430" * 70 + "z": "a" * 70 + "z", "  ё\u0061\n": "  ёа\n",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.restore_homoglyphs(F.col("t")).alias("r"))
+    assert {r["t"]: r["r"] for r in df.collect()} == texts
+    assert "regexp_extract_all" not in plan(df) and "transform(" not in plan(df)
+
+
+@pytest.mark.parametrize(("name", "prepared"), [("build_features", ("translate(", "regexp_replace(")), ("feature_means_by_label", ("regexp_replace(",)), ("pair_features", ("regexp_replace(",)), ("encoder_text", ("_repair(",))])
+def test_texts_are_prepared_before_they_are_paired(spark, small, name, prepared):
+    df = entry.queries()[name](spark, small)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        optimized = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    paired = next(i for i, line in enumerate(optimized) if "Join Inner" in line and "block" in line)
+    above = "\n".join(optimized[:paired])
+    assert not any(f in above for f in prepared) and any(f in "\n".join(optimized[paired:]) for f in prepared)
