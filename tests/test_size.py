@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
-from twinlens.operators import lookup
+from twinlens.operators import lookup, mining
+from twinlens.sources import pairs as P
 
 
 def plan(df):
@@ -58,3 +59,17 @@ def test_texts_are_prepared_before_they_are_paired(spark, small, name, prepared)
     paired = next(i for i, line in enumerate(optimized) if "Join Inner" in line and "block" in line)
     above = "\n".join(optimized[:paired])
     assert not any(f in above for f in prepared) and any(f in "\n".join(optimized[paired:]) for f in prepared)
+
+
+@pytest.mark.parametrize("name", ["mining_levels", "mine_triplets", "triplet_losses"])
+def test_bucket_keys_are_made_before_listings_are_paired(spark, small, monkeypatch, name):
+    seen = []
+    mine = mining.mine_triplets
+    monkeypatch.setattr(mining, "mine_triplets", lambda pairs, *a, **k: seen.append(pairs) or mine(pairs, *a, **k))
+    entry.queries()[name](spark, small)
+    assert all(c.startswith("_") for c in [k._jc.toString() for s in ("base", "cand") for k in mining._keys(seen[0], s)[1:]])
+
+
+def test_prepared_bucket_keys_give_the_same_triplets(spark, small):
+    plain, prepared = (mining.mine_triplets(P.derived_pairs(spark, small, prepare=p), 2) for p in (None, mining.prepare_keys))
+    assert sorted(plain.collect()) == sorted(prepared.collect()) != []

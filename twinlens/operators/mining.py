@@ -14,10 +14,21 @@ from .folds import ranks_in_buckets
 LEVELS = ("same_base", "param2", "param1", "subcategory", "category", "random")
 
 
-def _keys(side: str) -> list[Column]:
-    """Bucket of each level but the last for one side of a pair."""
-    nested = nested_keys(*(F.col(f"{side}_{c}") for c in ("category_name", "subcategory_name", "param1", "param2")))
-    return [F.col("base_item_id").cast("string"), nested["param2"], nested["param1"], nested["subcategory"], nested["category"]]
+_NAMES = ("category_name", "subcategory_name", "param1", "param2")
+
+
+def prepare_keys(listings: DataFrame) -> DataFrame:
+    """``listings`` with the buckets that they are in, from ``_bucket_param2`` to ``_bucket_category``: a listing is in several pairs, so its keys are worked out before it is paired."""
+    return listings.withColumns({f"_bucket_{n}": k for n, k in nested_keys(*(F.col(c) for c in _NAMES)).items()})
+
+
+def _keys(pairs: DataFrame, side: str) -> list[Column]:
+    """Bucket of each level but the last for one side of a pair; keys of :func:`prepare_keys` are taken as they are."""
+    if f"_{side}_bucket_category" in pairs.columns:
+        nested = {n: F.col(f"_{side}_bucket_{n}") for n in LEVELS[1:5]}
+    else:
+        nested = nested_keys(*(F.col(f"{side}_{c}") for c in _NAMES))
+    return [F.col("base_item_id").cast("string"), *(nested[n] for n in LEVELS[1:5])]
 
 
 def _narrow(keys: DataFrame) -> DataFrame:
@@ -25,16 +36,17 @@ def _narrow(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def mine_triplets(pairs: DataFrame, n_negatives: int = 1, seed: int = 42) -> DataFrame:
+def mine_triplets(pairs: DataFrame, n_negatives: int = 1, seed: int = 42, *, stored: bool = False) -> DataFrame:
     """anchor_pair, draw, level and neg_pair: for each positive pair a negative pair whose candidate is drawn from the
     first level at which the anchor's bucket holds one.
 
-    ``pairs`` has pair_id, base_item_id, is_double and the category attributes of both sides; its keys are stored once. The
+    ``pairs`` has pair_id, base_item_id, is_double and the category attributes of both sides, or the keys of :func:`prepare_keys`; its keys are stored once, unless these are ``stored`` already. The
     levels are a cascade: each is only asked by the anchors that the ones before left over, and only ranks the buckets that are
     asked; the random level ranks the whole pool only if anchors are left. Fails if a class is missing.
     """
-    columns = [k.alias(f"{side[0]}{i}") for side in ("base", "cand") for i, k in enumerate(_keys(side))]
-    keyed = materialize(pairs.where("is_double in (0, 1)").select("pair_id", F.col("is_double").cast("int").alias("y"), *columns), "mining-keys")
+    columns = [k.alias(f"{side[0]}{i}") for side in ("base", "cand") for i, k in enumerate(_keys(pairs, side))]
+    keyed = pairs.where("is_double in (0, 1)").select("pair_id", F.col("is_double").cast("int").alias("y"), *columns)
+    keyed = keyed if stored else materialize(keyed, "mining-keys")
     sizes = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         raise ValueError("mining needs pairs of both classes")
