@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
@@ -73,3 +74,11 @@ def test_bucket_keys_are_made_before_listings_are_paired(spark, small, monkeypat
 def test_prepared_bucket_keys_give_the_same_triplets(spark, small):
     plain, prepared = (mining.mine_triplets(P.derived_pairs(spark, small, prepare=p), 2) for p in (None, mining.prepare_keys))
     assert sorted(plain.collect()) == sorted(prepared.collect()) != []
+
+
+def test_sides_read_pairs_once(spark, small):
+    pairs = P.derived_pairs(spark, small).select("pair_id", "base_param1", "cand_param1")
+    made = P.sides(pairs, ("param1", "price"))
+    assert sorted(map(str, made.collect())) == sorted(str(Row(pair_id=r[0], side=s, param1=r[i])) for r in pairs.collect() for i, s in ((1, "base"), (2, "cand")))
+    assert made.columns == ["pair_id", "side", "param1"]
+    assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -18,7 +18,7 @@ LEAST_SPREAD = 1e-6
 def numbered_sides(pairs: DataFrame, *keep: str) -> DataFrame:
     """pair_id, side, the ``keep`` columns of the side and its five numbers."""
     numbers = side_numbers(F.col("price"), F.col("count_images"), F.col("title"), F.col("description"))
-    flat = sides(pairs).select("pair_id", "side", *keep, numbers.alias("_v"))
+    flat = sides(pairs, (*keep, "price", "count_images", "title", "description")).select("pair_id", "side", *keep, numbers.alias("_v"))
     return flat.select("pair_id", "side", *keep, *(F.col("_v")[i].alias(n) for i, n in enumerate(NUMBERS)))
 
 
