@@ -6,6 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
+from twinlens.jobs import queries
 from twinlens.operators import lookup, mining
 from twinlens.sources import pairs as P
 
@@ -76,6 +77,15 @@ def test_prepared_bucket_keys_give_the_same_triplets(spark, small):
     assert sorted(plain.collect()) == sorted(prepared.collect()) != []
 
 
+@pytest.mark.parametrize("name", ["nested_folds", "triplet_losses"])
+def test_pairs_are_derived_once(spark, small, monkeypatch, name):
+    """Parts are read by no plan but the one that stores what is derived from them."""
+    made = []
+    monkeypatch.setattr(queries, "derived_pairs", lambda *a, **k: made.append(1) or P.derived_pairs(*a, **k))
+    files = entry.queries()[name](spark, small).inputFiles()
+    assert len(made) == 1 and not [f for f in files if "part.parquet" in f]
+
+
 def test_sides_read_pairs_once(spark, small):
     pairs = P.derived_pairs(spark, small).select("pair_id", "base_param1", "cand_param1")
     made = P.sides(pairs, ("param1", "price"))
