@@ -77,7 +77,7 @@ def test_prepared_bucket_keys_give_the_same_triplets(spark, small):
     assert sorted(plain.collect()) == sorted(prepared.collect()) != []
 
 
-@pytest.mark.parametrize("name", ["nested_folds", "triplet_losses"])
+@pytest.mark.parametrize("name", ["photo_features", "photo_signal", "photo_cache", "photo_hashes", "nested_folds", "triplet_losses"])
 def test_pairs_are_derived_once(spark, small, monkeypatch, name):
     """Parts are read by no plan but the one that stores what is derived from them."""
     made = []

@@ -172,12 +172,12 @@ def align_cache(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return met.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def photo_pair_features(pairs: DataFrame, images: DataFrame, base: str, cand: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and six features from ``images`` (image_key, dhash, embedding, found); blank keys never match."""
+def photo_pair_features(pairs: DataFrame, images: DataFrame, base: str, cand: str, keep: tuple[str, ...], *, stored: bool = False) -> DataFrame:
+    """``keep`` and six features from ``images`` (image_key, dhash, embedding, found; stored or cheap), of pairs that are ``stored`` or will be; blank keys never match."""
     usable = images.where("found").select("image_key", "dhash", "embedding")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     keyed = pairs.select(*keep, *(F.when(~blank(c), F.col(c)).alias(f"_{s}") for s, c in (("base", base), ("cand", cand))))
-    met = lookup_both(keyed, usable, "image_key", "_base", "_cand", ("dhash", "embedding"))
+    met = lookup_both(keyed, usable, "image_key", "_base", "_cand", ("dhash", "embedding"), stored=stored)
     distance = hamming(F.col("base_dhash"), F.col("cand_dhash"))
     both = F.col("base_embedding").isNotNull() & F.col("cand_embedding").isNotNull()
     # least and greatest pass over nulls
