@@ -86,6 +86,27 @@ def test_pairs_are_derived_once(spark, small, monkeypatch, name):
     assert len(made) == 1 and not [f for f in files if "part.parquet" in f]
 
 
+def test_losses_join_vectors_to_listings(spark, small):
+    """A listing is in about eight pairs, so vectors meet listings: pairs are neither stored nor shuffled for them."""
+    df = entry.queries()["losses"](spark, small)
+    assert not [f for f in df.inputFiles() if "lookup-pairs-" in f]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        optimized = entry.queries()["losses"](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    paired = next(i for i, line in enumerate(optimized) if "Join Inner" in line and "block" in line)
+    assert not [line for line in optimized[:paired] if "Join" in line]
+
+
+def test_vectors_of_listings_are_those_looked_up(spark, small):
+    keys = ("pair_id", "is_double", "base_vec_id", "cand_vec_id")
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
+    looked = lookup.lookup_both(P.derived_pairs(spark, small).select(*keys), vectors, "vec_id", "base_vec_id", "cand_vec_id", ("embedding",))
+    own = P.derived_pairs(spark, small, vectors=True).select(*keys, "_base_embedding", "_cand_embedding")
+    assert sorted(map(tuple, own.collect())) == sorted(tuple(r[c] for c in (*keys, "base_embedding", "cand_embedding")) for r in looked.collect()) != []
+
+
 def test_sides_read_pairs_once(spark, small):
     pairs = P.derived_pairs(spark, small).select("pair_id", "base_param1", "cand_param1")
     made = P.sides(pairs, ("param1", "price"))
