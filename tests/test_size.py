@@ -86,6 +86,12 @@ def test_pairs_are_derived_once(spark, small, monkeypatch, name):
     assert len(made) == 1 and not [f for f in files if "part.parquet" in f]
 
 
+@pytest.mark.parametrize("name", ["random_folds", "losses"])
+def test_listings_meet_in_blocks(spark, small, name):
+    met = [x for x in plan(entry.queries()[name](spark, small)).splitlines() if "Join" in x and "cluster#" in x]
+    assert met and all("block#" in x for x in met)
+
+
 def test_losses_join_vectors_to_listings(spark, small):
     """A listing is in about eight pairs, so vectors meet listings: pairs are neither stored nor shuffled for them."""
     df = entry.queries()["losses"](spark, small)
