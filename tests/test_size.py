@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import text as T
 from twinlens.jobs import queries
-from twinlens.operators import lookup, mining
+from twinlens.operators import folds, lookup, mining, sides
 from twinlens.sources import pairs as P
 
 
@@ -113,6 +113,49 @@ def test_vectors_of_listings_are_those_looked_up(spark, small):
     assert sorted(map(tuple, own.collect())) == sorted(tuple(r[c] for c in (*keys, "base_embedding", "cand_embedding")) for r in looked.collect()) != []
 
 
+def above_the_pairs(df):
+    """The optimized plan's lines above the join that pairs listings."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return lines[: next(i for i, line in enumerate(lines) if "Join Inner" in line and "block" in line)]
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """What queries store, by name."""
+    seen, write = {}, queries.materialize
+    monkeypatch.setattr(queries, "materialize", lambda df, name: seen.setdefault(name, df) and write(df, name))
+    return seen
+
+
+def test_stacked_rows_are_not_shuffled(spark, small, stored):
+    """Folds, vectors and numbers come with the listings; of descriptions their length alone is joined."""
+    rows = queries._differences(spark, small)
+    lines = stored["stacked"]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in above_the_pairs(stored["stacked"]) if "Join" in x] and "length(text" in lines and "AS description" not in lines
+    assert not [x for x in plan(rows).splitlines() if "Exchange hashpartitioning" in x] and all("stacked-" in f or "side-statistics-" in f for f in rows.inputFiles())
+
+
+def test_stacked_rows_are_those_of_side_vectors(spark, small):
+    pairs = P.derived_pairs(spark, small).persist()
+    split = folds.group_folds(pairs.select("pair_id", "group_id"), "group_id")
+    train = split.where("fold <> 0")
+    stats = sides.statistics(sides.numbered_sides(pairs.join(train.select("pair_id"), "pair_id", "left_semi")))
+    both = sides.pair_vectors(sides.side_vectors(pairs, spark.read.parquet(f"{small}/embeddings.parquet"), stats))
+    want = {r["pair_id"]: r["x"] for r in both.select("pair_id", sides.absolute_difference(F.col("base"), F.col("cand")).alias("x")).collect()}
+    outer, inner = (dict(f.select("pair_id", "fold").collect()) for f in (split, folds.group_folds(train, "group_id", 4, 43)))
+    got = queries._differences(spark, small).collect()
+    assert len(got) == len(want) == pairs.count()
+    for r in got:
+        assert (r["outer"], r["fold"]) == (outer[r["pair_id"]], inner.get(r["pair_id"]))
+        assert r["known"] == (want[r["pair_id"]] is not None) and (not r["known"] or r["difference"] == pytest.approx(want[r["pair_id"]]))
+
+
+def test_long_difference(spark):
+    rows = [([1.0, 2.0], [3.5, 1.0]), (None, [1.0]), ([1.0], [1.0, 2.0]), ([], []), ([1.0] * 3, [2.0] * 3), (None, None)]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>").select(sides.long_difference("a", "b").alias("x"))
+    assert [r["x"] for r in df.collect()] == [[2.5, 1.0], None, None, [], [1.0] * 3, None]
+
+
 def test_sides_read_pairs_once(spark, small):
     pairs = P.derived_pairs(spark, small).select("pair_id", "base_param1", "cand_param1")
     made = P.sides(pairs, ("param1", "price"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.attributes import side_numbers
 from ..sources.pairs import sides
@@ -16,9 +19,12 @@ LEAST_SPREAD = 1e-6
 
 
 def numbered_sides(pairs: DataFrame, *keep: str) -> DataFrame:
-    """pair_id, side, the ``keep`` columns of the side and its five numbers."""
-    numbers = side_numbers(F.col("price"), F.col("count_images"), F.col("title"), F.col("description"))
-    flat = sides(pairs, (*keep, "price", "count_images", "title", "description")).select("pair_id", "side", *keep, numbers.alias("_v"))
+    """pair_id, side, the ``keep`` columns of the side and its five numbers. Those that listings brought (``_base_numbers``, ``_cand_numbers``) aren't worked out again."""
+    if "_base_numbers" in pairs.columns:
+        flat = sides(pairs.withColumnsRenamed({f"_{s}_numbers": f"{s}_v" for s in ("base", "cand")}), (*keep, "v")).withColumnRenamed("v", "_v")
+    else:
+        numbers = side_numbers(F.col("price"), F.col("count_images"), F.col("title"), F.col("description"))
+        flat = sides(pairs, (*keep, "price", "count_images", "title", "description")).select("pair_id", "side", *keep, numbers.alias("_v"))
     return flat.select("pair_id", "side", *keep, *(F.col("_v")[i].alias(n) for i, n in enumerate(NUMBERS)))
 
 
@@ -46,6 +52,11 @@ def side_vectors(pairs: DataFrame, table: DataFrame, stats: DataFrame | None = N
     return met.select("pair_id", "side", F.when(F.col("_e").isNotNull(), F.concat("_e", F.array(*NUMBERS))).alias("vector"))
 
 
+def standardised_numbers(numbers: Column) -> Column:
+    """An array of the five numbers, standardised, where the row of :func:`statistics` is joined."""
+    return F.array(*((numbers[i] - F.col(f"mean_{c}")) / F.col(f"std_{c}") for i, c in enumerate(NUMBERS)))
+
+
 def pair_vectors(vectors: DataFrame) -> DataFrame:
     """pair_id with the ``base`` and ``cand`` vector of :func:`side_vectors` in one row."""
     of = lambda side: F.first(F.when(F.col("side") == side, F.col("vector")), ignorenulls=True)
@@ -71,3 +82,13 @@ def distinct_side_vectors(pairs: DataFrame, table: DataFrame, stats: DataFrame |
 
 def absolute_difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def long_difference(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The absolute difference of embeddings in double precision, many times faster than :func:`absolute_difference`; null if either is null or lengths differ."""
+    sizes, other = np.asarray(a.value_lengths().fill_null(-1)), np.asarray(b.value_lengths().fill_null(-2))
+    met = sizes == other
+    x, y = (np.asarray(v.filter(pa.array(met)).flatten(), dtype=np.float64) for v in (a, b))
+    offsets = np.concatenate([[0], np.cumsum(np.where(met, sizes, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.abs(x - y)), mask=pa.array(~met))
