@@ -1,6 +1,7 @@
 """What keeps the work of large tables in proportion: tables stored once, keys shuffled instead of texts, cheap tests before costly ones."""
 
 import __spark_entry__ as entry
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -150,6 +151,19 @@ def test_stacked_rows_are_those_of_side_vectors(spark, small):
         assert r["known"] == (want[r["pair_id"]] is not None) and (not r["known"] or r["difference"] == pytest.approx(want[r["pair_id"]]))
 
 
+def test_towers_encode_listings(spark, small, stored):
+    """Pairs are neither stored nor shuffled, and of descriptions their length alone is joined; scores are those of distinct sides looked up for pairs."""
+    df = entry.queries()["tower_scores"](spark, small)
+    lines = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in above_the_pairs(df) if "Join" in x] and "length(text" in lines and "AS description" not in lines and set(stored) == {"side-statistics"}
+    weights = (queries._weights(69, 32), np.zeros(32), queries._weights(32, 16), np.zeros(16))
+    pairs = P.derived_pairs(spark, small).persist()
+    encoded = lookup.apply_tower(sides.distinct_side_vectors(pairs, spark.read.parquet(f"{small}/embeddings.parquet")), "side_key", "vector", weights)
+    want = dict(lookup.tower_score(sides.keyed_sides(pairs), encoded, "side_key", "base_side", "cand_side", ("pair_id",)).collect())
+    got = dict(df.collect())
+    assert got.keys() == want.keys() and all(got[k] == (None if x is None else pytest.approx(x, abs=6e-5)) for k, x in want.items())
+
+
 def test_long_difference(spark):
     rows = [([1.0, 2.0], [3.5, 1.0]), (None, [1.0]), ([1.0], [1.0, 2.0]), ([], []), ([1.0] * 3, [2.0] * 3), (None, None)]
     df = spark.createDataFrame(rows, "a array<float>, b array<float>").select(sides.long_difference("a", "b").alias("x"))
