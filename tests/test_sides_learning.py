@@ -1,5 +1,7 @@
 """Side vectors, the table of all features, and cross-fitted learners."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,23 @@ def test_out_of_fold_and_ablation(spark, learnable):
     assert features.drop_groups(learnable, ("title_",)).columns == ["pair_id", "g", "is_double", "fold", "v", "price_b"]
 
 
+@pytest.mark.parametrize(("name", "learner"), [("ablation", "ablation")])
+def test_registered_learners_are_whole(spark, small, monkeypatch, name, learner):
+    """Five folds, and the trees of the functions' defaults."""
+    seen, own = {}, inspect.signature(getattr(learn, learner))
+
+    def learned(*args, **kw):
+        seen.update(own.bind(*args, **kw).arguments)
+        return args[0], []
+
+    monkeypatch.setattr(learn, learner, learned)
+    entry.queries()[name](spark, small)
+    assert seen["df"].select("fold").distinct().count() == 5 and seen.get("n_splits", 5) == 5
+    trees = inspect.signature(learn.fit_gbt).bind(seen["df"], seen["columns"], **seen.get("kw", {}))
+    trees.apply_defaults()
+    assert (trees.arguments["trees"], trees.arguments["depth"]) == (20, 4)
+
+
 def test_vocabulary_maps_each_word_once(spark):
     df = spark.createDataFrame([("Aa b, Aa!",), (None,), ("b 12 c3",)], "t string")
     got = {r["token"]: (r["mapped"], r["n"]) for r in T.vocabulary(df, "t", F.upper).collect()}
