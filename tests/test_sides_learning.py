@@ -92,7 +92,7 @@ def test_out_of_fold_and_ablation(spark, learnable):
     assert features.drop_groups(learnable, ("title_",)).columns == ["pair_id", "g", "is_double", "fold", "v", "price_b"]
 
 
-@pytest.mark.parametrize(("name", "learner"), [("ablation", "ablation")])
+@pytest.mark.parametrize(("name", "learner"), [("ablation", "ablation"), ("importances", "out_of_fold")])
 def test_registered_learners_are_whole(spark, small, monkeypatch, name, learner):
     """Five folds, and the trees of the functions' defaults."""
     seen, own = {}, inspect.signature(getattr(learn, learner))
